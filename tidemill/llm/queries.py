@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm import packing
+from tidemill.llm import mixing, packing, sharding, token_counts
 from tidemill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,9 +18,27 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents repeated so that every source reaches its target weight, in a global random order."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, every distinct text encoded once."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards along a Hilbert curve; the text goes through as its size and digest."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = sharding.shards(docs, ties=("doc_id", "size", "text_crc32"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing,)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op4_token_counts, op6_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.SQL}
