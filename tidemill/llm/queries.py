@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import mixing, packing, sharding, token_counts
+from tidemill.llm import mixing, near_dups, packing, sharding, token_counts
 from tidemill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op4_token_counts, op6_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op4_token_counts, op6_sharding, op9_near_dups)}
 
 
 def oracle_sql() -> dict[str, str]:
