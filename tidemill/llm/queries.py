@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import mixing, near_dups, packing, sharding, token_counts
-from tidemill.session import table
+from tidemill.llm import chat, media, mixing, near_dups, packing, sharding, token_counts, topk
+from tidemill.session import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,11 +23,25 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that holds marks of templates, formatted in budgeted windows, written and read back."""
+    mark = "</s>[INST] ok [/INST]"
+    chats = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", mark), (-7, 1, "assistant", mark)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(stage(chat.format_chats(chats.unionByName(extra)), "windows"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, every distinct text encoded once."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows of every vector whose id is divisible by 20, against all rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards along a Hilbert curve; the text goes through as its size and digest."""
     text = F.coalesce("text", F.lit(""))
@@ -36,14 +50,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a motion-JPEG AVI file, read back and cut into shots."""
+    return media.describe(media.store(table(spark, sf_dir, "documents")))
+
+
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op4_token_counts, op6_sharding, op9_near_dups)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_chat, op4_token_counts, op5_topk, op6_sharding, op7_media, op9_near_dups)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL}
+    return {"op2_mixing": mixing.SQL, "op5_topk": topk.SQL}
