@@ -1,21 +1,63 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+1. Language ID: documents without a letter, or whose best language scores under ``LEAST_SCORE``, are rejected; a
+   missing language label is filled in.
+2. Near-duplicate removal: of each component the document with the smallest id stays (one row of it).
+3. Mixing: documents are repeated, or left out, so that each source reaches its target weight.
+4. Packing: what is left becomes sequences of 2048 tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm import packing
-from tidemill.session import stage, table
+from tidemill.llm import langid, mixing, near_dups, packing
+from tidemill.session import prepare, stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: With few languages a text of pure chance scores one over their number, so this is far from any clean text.
+LEAST_SCORE = 0.35
+#: Ids of removed documents that are sent to every task; with more of them the texts are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 1: keep documents whose language is recognised."""
+    prepare(spark)
+    found = langid.identify(docs.select(*COLUMNS), langid.train(docs))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2: one document of each near-duplicate component stays."""
+    prepare(spark)
+    docs = docs.select(*COLUMNS)
+    removed = stage(near_dups.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "removed")
+    if removed.count() <= BROADCAST_IDS:  # a checked size
+        removed = F.broadcast(removed)
+    left = docs.join(removed, "doc_id", "left_anti")
+    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():  # rows that share an id are one document
+        left = left.join(repeated, "doc_id", "left_anti").unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return left.select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 3: repeat documents to the target weights of their sources, in a global random order."""
+    prepare(spark)
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 4: pack what is left into sequences of 2048 tokens."""
+    prepare(spark)
     return packing.pack_documents(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [("language ID", known_language), ("near dedup", without_near_duplicates), ("mixing", mixed), ("packing", packed)]
+#: Trained models and MinHash candidates have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

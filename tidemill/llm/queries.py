@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat, media, mixing, near_dups, packing, sharding, token_counts, topk
+from tidemill.llm import chat, html_text, langid, media, mixing, near_dups, packing, sharding, token_counts, topk
 from tidemill.session import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,13 +55,27 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store(table(spark, sf_dir, "documents")))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    net = langid.train(docs)
+    out = F.coalesce(langid.held_out(), F.lit(False)).alias("held_out")
+    return langid.identify(docs.select("doc_id", out, "text"), net, keep_text=False)
+
+
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_chat, op4_token_counts, op5_topk, op6_sharding, op7_media, op9_near_dups)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_chat, op4_token_counts, op5_topk, op6_sharding, op7_media, op8_langid, op9_near_dups, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
