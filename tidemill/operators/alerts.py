@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tidemill.operators import search
 
@@ -21,7 +22,7 @@ def matches(jobs: DataFrame, subscriptions: DataFrame, users: DataFrame, now: Co
     """
     live = subscriptions.where("is_active").join(users.where("not is_banned").select(F.col("id").alias("user_id")), "user_id", "left_semi")
     asked = live.select(F.col("id").alias("subscription_id"), "user_id", *(F.col(c).alias(f"s_{c}") for c in FILTERS))
-    open_jobs = jobs.where(search.is_open(now))
+    open_jobs = jobs.where(search.is_open(now)).drop("user_id")
     test = search.matches(now, usd_rate)
     out = ["id", "published_at", "subscription_id", "user_id"]
     with_category = open_jobs.join(asked.where("s_category is not null"), F.col("category") == F.col("s_category")).where(test).select(*out)
@@ -47,7 +48,7 @@ def capped(messages: DataFrame, limit: int, seconds: int = 86400, user: str = "u
     Only sent rows count, so the rule is recursive: rows of a user are read in order from sorted partitions, and only
     the last ``limit`` sent times are held. ``rows``: how many rows a message spends (one by default).
     """
-    schema = messages.schema.add("status", "string")
+    schema = StructType([*messages.schema.fields, StructField("status", StringType())])
     names = messages.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +124,7 @@ def decided_prefix(rows: DataFrame, now: Column, wait_s: int) -> DataFrame:
 
 def parts(items: DataFrame, most: int, owner: str = "owner", order: str = "id", length: str = "length") -> DataFrame:
     """Greedy parts of an owner's items in order: a part ends where the next item would take it over ``most``. Items are streamed from sorted partitions."""
-    schema = items.schema.add("part", "int")
+    schema = StructType([*items.schema.fields, StructField("part", IntegerType())])
     names = items.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import queue, reports, search
 from tidemill.plans.catalog import query
-from tidemill.plans.views import NOW, ctes, view
+from tidemill.plans.views import NOW, ctes, now, view
 from tidemill.session import table
 
 RATE = 12500.0
-NOW_COL = F.lit(NOW).cast("timestamp")
 T = f"TIMESTAMP '{NOW}'"
 OPEN = f"kind = 'job' AND status = 'published' AND (expires_at IS NULL OR expires_at > {T})"
 TIER = "coalesce(priority_tier, 2)"
@@ -23,28 +22,28 @@ SHOWN_SQL = ", ".join(SHOWN)
 WHERE {OPEN} AND category = 'high' AND region = 'asia' ORDER BY {TIER}, published_at DESC, id DESC LIMIT 20 OFFSET 5""")
 def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters, order, paging and total."""
-    return search.search(view(spark, sf_dir, "jobs").select("*"), search.Filters(category="high", region="asia"), NOW_COL, RATE, 20, 5).select(*SHOWN, "total")
+    return search.search(view(spark, sf_dir, "jobs").select("*"), search.Filters(category="high", region="asia"), now(), RATE, 20, 5).select(*SHOWN, "total")
 
 
 @query("search_salary", ctes("jobs") + f"""SELECT id, salary_min, salary_max, currency FROM jobs WHERE {OPEN} AND currency IN ('UZS', 'USD')
 AND (salary_period IS NULL OR salary_period = 'month') AND (salary_max * CASE WHEN currency = 'USD' THEN {RATE} ELSE 1 END >= 300000 OR salary_min * CASE WHEN currency = 'USD' THEN {RATE} ELSE 1 END >= 300000)""")
 def search_salary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pay in so'm or dollars a month, either bound."""
-    found = search.matching(view(spark, sf_dir, "jobs"), search.Filters(min_salary=300000), NOW_COL, RATE)
+    found = search.matching(view(spark, sf_dir, "jobs"), search.Filters(min_salary=300000), now(), RATE)
     return found.select("id", "salary_min", "salary_max", "currency")
 
 
 @query("search_remote", ctes("jobs") + f"SELECT id, region FROM jobs WHERE {OPEN} AND is_remote AND profession = 'role3'")
 def search_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The remote filter and a profession."""
-    return search.matching(view(spark, sf_dir, "jobs"), search.Filters(region=search.REMOTE, profession="role3"), NOW_COL, RATE).select("id", "region")
+    return search.matching(view(spark, sf_dir, "jobs"), search.Filters(region=search.REMOTE, profession="role3"), now(), RATE).select("id", "region")
 
 
 @query("search_keyword", ctes("jobs") + f"""SELECT id, search_text FROM jobs WHERE {OPEN}
 AND len(list_filter(regexp_extract_all(search_text, '[a-z0-9_]+'), lambda t: starts_with(t, 'nation_1'))) > 0 AND len(list_filter(regexp_extract_all(search_text, '[a-z0-9_]+'), lambda t: starts_with(t, 'urg'))) > 0""")
 def search_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word prefixes over an inverted index."""
-    return search.matching(view(spark, sf_dir, "jobs"), search.Filters(keyword="Nation_1 URG"), NOW_COL, RATE).select("id", "search_text")
+    return search.matching(view(spark, sf_dir, "jobs"), search.Filters(keyword="Nation_1 URG"), now(), RATE).select("id", "search_text")
 
 
 @query("token_index", ctes("posts") + """SELECT token, count(DISTINCT id) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM posts) GROUP BY token""")
@@ -56,7 +55,7 @@ def token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("newest_open", ctes("jobs") + f"SELECT id, published_at FROM jobs WHERE {OPEN} ORDER BY published_at DESC, id DESC LIMIT 50")
 def newest_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest open jobs."""
-    jobs = view(spark, sf_dir, "jobs").where(search.is_open(NOW_COL))
+    jobs = view(spark, sf_dir, "jobs").where(search.is_open(now()))
     return search.page(jobs.select("id", "published_at"), [F.desc("published_at"), F.desc("id")], 50)
 
 
@@ -133,7 +132,7 @@ def usage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = view(spark, sf_dir, "jobs")
     last = jobs.groupBy(F.col("user_id").alias("id")).agg(F.max("created_at").alias("last_active_at"))
     users = view(spark, sf_dir, "users").join(last, "id", "left")
-    return reports.usage(users, view(spark, sf_dir, "subscriptions"), jobs, NOW_COL, F.date_trunc("day", NOW_COL))
+    return reports.usage(users, view(spark, sf_dir, "subscriptions"), jobs, now(), F.date_trunc("day", now()))
 
 
 @query("top_searches", "SELECT json_extract_string(props, '$.k') AS value, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
@@ -169,13 +168,13 @@ count(*) FILTER (status IN ('queued', 'retry') AND (next_retry_at IS NULL OR nex
 def queue_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queue's counts in one pass."""
     s = F.col("status")
-    return view(spark, sf_dir, "jobs").agg(*(F.count_if(s == k).alias(k) for k in ("queued", "retry", "failed")), F.count_if(queue.due(NOW_COL)).alias("due_now"))
+    return view(spark, sf_dir, "jobs").agg(*(F.count_if(s == k).alias(k) for k in ("queued", "retry", "failed")), F.count_if(queue.due(now())).alias("due_now"))
 
 
 @query("tier_published", ctes("jobs") + f"SELECT count(*) AS n FROM jobs WHERE origin = 'aggregator' AND published_at >= {T} - INTERVAL 1 DAY AND status IN ('published', 'expired', 'closed') AND {TIER} = 2")
 def tier_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tier's publications in the last day."""
-    return queue.published_in_tier(view(spark, sf_dir, "jobs"), 2, NOW_COL - F.expr("INTERVAL 1 DAY"))
+    return queue.published_in_tier(view(spark, sf_dir, "jobs"), 2, now() - F.expr("INTERVAL 1 DAY"))
 
 
 @query("rolling_day", """SELECT event_id, event_type, user_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS rolling FROM events""")
@@ -221,7 +220,7 @@ def publish_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("next_due", ctes("jobs") + f"SELECT id, status FROM jobs WHERE status IN ('queued', 'retry') AND (next_retry_at IS NULL OR next_retry_at <= {T}) AND {TIER} < 3 ORDER BY coalesce(next_retry_at, created_at), id LIMIT 1")
 def next_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H2: the next due job while the bottom tier waits."""
-    return queue.next_due(view(spark, sf_dir, "jobs"), NOW_COL, "fifo", bottom_allowed=False).select("id", "status")
+    return queue.next_due(view(spark, sf_dir, "jobs"), now(), "fifo", bottom_allowed=False).select("id", "status")
 
 
 RULES = [("profession", "role1", 3, "role 1"), ("profession", "role2", -3, "role 2"), ("category", "urgent", 2, "urgent"), ("word", "africa", 1, "africa"), ("word", "nation_3", -1, "nation 3"), ("category", "low", -2, "low")]

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.session import table
 
@@ -60,6 +61,10 @@ NOW = "1998-06-01 12:00:00"
 NAMES = re.compile(r"\{(\w+)\}")
 
 
+def now() -> Column:
+    return F.lit(NOW).cast("timestamp")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An entity as a DataFrame."""
     text = VIEWS[name]
