@@ -115,3 +115,57 @@ def test_source_identifiers(spark):
     given = {"https://t.me/Some_Channel": ("channel", "some_channel"), "@Other": ("channel", "other"), "t.me/+AbCdEfGhIjK": ("invite", "AbCdEfGhIjK"), "https://a.uz/rss.xml": ("feed", "https://a.uz/rss.xml"), "https://site.uz/jobs": ("site", "site.uz"), "??": (None, None)}
     df = spark.createDataFrame([(k,) for k in given], "given string")
     assert {r["given"]: (r["kind"], r["identifier"]) for r in feeds.identify_source(df).collect()} == given
+
+
+def test_slots_avoid_quiet_hours(spark, sf):
+    from tidemill.operators import queue
+    from tidemill.plans.views import view
+
+    jobs = view(spark, sf, "jobs").limit(400)
+    for start, interval, a, b in (("2024-01-01 12:00:00", 300, 23, 7), ("2024-01-01 23:30:00", 420, 23, 7), ("2024-01-01 03:10:00", 4000, 1, 5), ("2024-01-01 22:59:59", 3600, 23, 7), ("2024-01-01 10:00:00", 500, 0, 0)):
+        got = [r["publish_at"] for r in queue.slot_times(jobs, start, interval, a, b).orderBy("rank").collect()]
+        t, want = dt.datetime.fromisoformat(start), []
+        for k in range(len(got)):
+            t += dt.timedelta(seconds=interval if k else 0)
+            quiet = a != b and ((t.hour >= a or t.hour < b) if a > b else a <= t.hour < b)
+            if quiet:
+                end = t.replace(hour=b, minute=0, second=0)
+                t = end if end > t else end + dt.timedelta(days=1)
+            want.append(t)
+        assert got == want
+
+
+def test_source_types_are_registered(spark, tmp_path):
+    import pytest
+
+    from tidemill.sources import registry
+
+    rss = """<rss><channel><item><guid>g</guid><title>T</title><link>https://a/1</link><description>&lt;p&gt;x&lt;/p&gt;</description><pubDate>Mon, 06 May 2024 07:08:09 GMT</pubDate></item></channel></rss>"""
+    (tmp_path / "f.xml").write_text(rss)
+    got = registry.read(spark, "rss", f"file://{tmp_path}/f.xml").collect()
+    assert [(r["title"], r["text"], r["url"], len(r["external_id"])) for r in got] == [("T", "x", "https://a/1", 20)]
+    (tmp_path / "f.json").write_text('{"jobs":[{"guid":"1","title":"A"},{"guid":"2"}]}')
+    assert registry.read(spark, "himalayas", f"file://{tmp_path}/f.json").count() == 1
+    with pytest.raises(ValueError):
+        registry.read(spark, "nothing", "x")
+
+
+def test_messages_and_albums(spark):
+    schema = "id long, text string, entities array<struct<offset:int,length:int,url:string>>, buttons array<struct<text:string,url:string>>, media string"
+    rows = [(1, "see here now", [(4, 4, "https://a")], [("Go", "https://b"), ("No", None)], None), (2, "", [], [], None), (3, None, None, None, "photo")]
+    got = {r["id"]: r for r in feeds.flatten_message(spark.createDataFrame(rows, schema)).collect()}
+    assert set(got) == {1, 3}
+    assert [tuple(x) for x in got[1]["links"]] == [("here", "https://a")] and [tuple(x) for x in got[1]["buttons"]] == [("Go", "https://b")]
+    assert got[3]["media"] == "photo" and got[3]["links"] == []
+    parts = spark.createDataFrame([("s", 1, 11, "b", at(0)), ("s", 1, 10, "a", at(0.5)), ("s", 1, 12, "", at(0.9)), ("s", 1, 13, "late", at(5))], "source string, grouped_id long, id long, text string, fetched_at timestamp")
+    merged = sorted((r["id"], r["text"], r["n_parts"]) for r in steps.albums(parts).collect())
+    assert merged == [(10, "a\nb", 3), (13, "late", 1)]
+
+
+def test_lists_of_positions(spark):
+    from tidemill.operators import extract
+
+    rows = extract.lines(spark.createDataFrame([(1, "We hire:\n1. Cook https://a/1\n2) Driver https://a/2\n- cook https://a/1"), (2, "Cook https://a/9")], "id long, text string"))
+    assert sorted((r["pos"], r["position"], r["url"]) for r in extract.linked_positions(rows).collect()) == [(1, "Cook", "https://a/1"), (2, "Driver", "https://a/2"), (3, "cook", "https://a/1")]
+    found = extract.positions(extract.lines(spark.createDataFrame([(1, "1. Cook\n2) Driver\n- cook"), (2, "- cook")], "id long, text string")), ["cook", "driver"]).collect()
+    assert [(r["id"], r["positions"]) for r in found] == [(1, ["Cook", "Driver"])]

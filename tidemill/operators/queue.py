@@ -111,6 +111,8 @@ def slot_times(jobs: DataFrame, start: str, interval_s: int, quiet_from: int, qu
     # the first day starts at its own second; the days after it start when the quiet hours end
     left = F.floor((F.lit(open_s) - first + interval_s - 1) / interval_s)
     later = F.col("rank") - left
+    if quiet_from == quiet_to:
+        return ranked.select("id", "rank", F.timestamp_seconds(begin + F.col("rank") * interval_s).alias("publish_at"))
     at = F.when(F.col("rank") < left, day0 + first + F.col("rank") * interval_s).otherwise(day0 + 86400 * (1 + F.floor(later / per_day)) + F.pmod(later, F.lit(per_day)) * interval_s)
     return ranked.select("id", "rank", F.timestamp_seconds(at).alias("publish_at"))
 

@@ -169,7 +169,7 @@ def identify_source(asked: DataFrame, column: str = "given") -> DataFrame:
     bare = F.regexp_replace(x, r"(?i)^(?:https?://)?(?:www\.)?", "")
     name = F.regexp_extract(bare, r"(?i)^(?:(?:t|telegram)\.me/(?:s/)?|@)([A-Za-z][A-Za-z0-9_]{3,31})/?(?:\d+)?$", 1)
     invite = F.regexp_extract(bare, r"(?i)^(?:t|telegram)\.me/(?:\+|joinchat/)([A-Za-z0-9_-]{10,})$", 1)
-    feed = x.rlike(r"(?i)^https?://\S+(?:rss|feed|atom)\S*$|^https?://\S+\.xml$")
+    feed = x.rlike(r"(?i)^https?://[^/?#\s]+/[^?#\s]*(?:rss|feed|atom|\.xml$)")
     site = F.regexp_extract(bare, r"(?i)^([a-z0-9-]+(?:\.[a-z0-9-]+)+)(?:/|$)", 1)
     kind = F.when(invite != "", "invite").when(name != "", "channel").when(feed, "feed").when((site != "") & ~site.rlike(r"(?i)^(?:t|telegram)\.me$"), "site").when(x.rlike(HANDLE), "channel")
     ident = F.when(kind == "invite", invite).when(kind == "channel", F.lower(F.when(name != "", name).otherwise(x))).when(kind == "feed", x).when(kind == "site", F.lower(site))
