@@ -1,11 +1,13 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian verification, exact check, components.
 
 1. One pass over the texts gives every document's number of distinct word shingles, the digest of its words and
-   ``HASHES`` MinHash values. Documents with the same words form a class; one of them stands for it.
-2. Representatives that agree in a band of ``ROWS`` values meet in a bucket. Each is paired with the smallest id
+   ``HASHES`` MinHash values: ``BANDS`` keys of ``ROWS`` values each, and the last byte of every value to compare.
+   Documents with the same words form a class; one of them stands for it.
+2. Representatives that agree in a band meet in a bucket. Each is paired with the smallest id
    of its buckets: a star, never all pairs of a bucket.
 3. Candidate pairs are compared ``BATCH`` hash values at a time. After each batch a pair is dropped when the
-   posterior chance that its similarity reaches the threshold (uniform prior) is under ``MISS``.
+   posterior chance that its similarity reaches the threshold (uniform prior) is under ``MISS``. Different values
+   share their last byte with chance 1/256, which the threshold on matches takes in.
 4. Survivors are verified on their full shingle sets, and the verified links give components.
 5. Members of one bucket that are still in different components are compared in blocks (arrays of signatures
    inside a task, pairs of the bucket's largest component left out); survivors are verified exactly again. The
@@ -13,7 +15,7 @@
    reported by the first band it shares only. So every colliding pair ends up in one component or was compared.
 
 A pair at the threshold itself meets in no band with chance (1 - t**ROWS)**BANDS = 2e-5, and is dropped wrongly by
-the batches with chance under 5 * MISS.
+the batches with chance under 8 * MISS.
 
 Defined results: a null or blank text has no shingles, is linked with nothing and kept; a text with fewer words
 than a shingle has one shingle, its whole sequence; rows with the same id count as one document with all their
@@ -22,6 +24,7 @@ texts' links; an empty table gives no rows; extra columns are ignored; texts of
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from math import lgamma
@@ -38,15 +41,14 @@ from tidemill.session import stage
 WORDS = 5
 THRESHOLD = 75  # per cent
 BANDS, ROWS = 40, 5
-HASHES = BANDS * ROWS
-BATCH = 40
-MISS = 1e-5
+HASHES, BATCH = 512, 64
+MISS = 3e-5
 #: Rows of one side of a block, and partners tried for each document the first time.
 BLOCK, BEST = 4096, 4
 #: Ids of colliding documents that are sent to every task, instead of shuffling all texts to pick theirs (16 bytes an id).
 BROADCAST_IDS = 2_000_000
 #: Words that are hashed together, distinct words whose hash a worker keeps, shingles that are min-hashed together.
-CHUNK_WORDS, MEMO_WORDS, CHUNK_SHINGLES = 1_000_000, 1_000_000, 1 << 16
+CHUNK_WORDS, MEMO_WORDS, CHUNK_SHINGLES = 200_000, 400_000, 1 << 16
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -126,18 +128,29 @@ def minhash(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, n_shingles long, words binary, sig binary"
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """A 64-bit key (int64) for each band of MinHash values."""
+    rows = values[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    keys = np.arange(BANDS, dtype=np.uint64) * _ODD[0] * np.ones((len(values), 1), dtype=np.uint64)
+    for k in range(ROWS):
+        keys = _mix(keys ^ (rows[:, :, k] * _ODD[k]))
+    return keys.view(np.int64)
+
+
+SIGNED = "doc_id long, n_shingles long, words binary, bands array<long>, sig binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(ids: list[int], docs: list[list[bytes]]) -> pa.RecordBatch:
         sets = shingle_sets(docs)
         full = [i for i, s in enumerate(sets) if len(s)]
-        sigs = minhash([sets[i] for i in full]) if full else []
-        sig, words = [None] * len(ids), [None] * len(ids)
-        for i, row in zip(full, sigs, strict=True):
-            sig[i], words[i] = row.tobytes(), hashlib.blake2b(b" ".join(docs[i]), digest_size=16).digest()
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(words, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "words", "sig"])
+        sig, words, bands = [None] * len(ids), [None] * len(ids), [None] * len(ids)
+        if full:
+            values = minhash([sets[i] for i in full])
+            for i, row, keys in zip(full, values.astype(np.uint8), band_keys(values), strict=True):
+                sig[i], bands[i], words[i] = row.tobytes(), keys, hashlib.blake2b(b" ".join(docs[i]), digest_size=16).digest()
+        columns = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(words, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "words", "bands", "sig"])
 
     for batch in batches:
         ids, docs, held = [], [], 0
@@ -152,11 +165,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield done(ids, docs)
 
 
-def least_matches(threshold: float, miss: float = MISS) -> list[int]:
-    """For each batch: the fewest equal values of n with P(similarity >= threshold | matches) >= miss, prior uniform.
+@functools.cache
+def least_matches(similarity: float, miss: float = MISS) -> list[int]:
+    """For each batch: the fewest equal bytes of n with P(chance of a match >= that at ``similarity`` | matches) >= miss, prior uniform.
 
     The posterior is Beta(m + 1, n - m + 1), whose upper tail at t equals P(Binomial(n + 1, t) <= m).
     """
+    threshold = similarity + (1 - similarity) / 256
     out = []
     for n in range(BATCH, HASHES + 1, BATCH):
         below, m = 0.0, -1
@@ -167,11 +182,15 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
+def _bytes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+
+
 def _survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) that no batch of hash values rules out."""
     least = least_matches(THRESHOLD / 100)
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, HASHES) for c in (2, 3))
+        x, y = (_bytes(batch.column(c)) for c in (2, 3))
         alive, matches = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
         for k, m in enumerate(least):
             matches[alive] += (x[alive, k * BATCH : (k + 1) * BATCH] == y[alive, k * BATCH : (k + 1) * BATCH]).sum(axis=1)
@@ -202,25 +221,31 @@ def _blocks(best: int | None):
         band = key[1].as_py()
         ids, comp, role = (table.column(c).to_numpy() for c in ("id", "component", "role"))
         is_outer = table.column("is_outer").to_numpy().astype(bool)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+        # a contiguous row for each hash, and for each band
+        sig = np.ascontiguousarray(_bytes(table.column("sig")).T)
+        keys = np.ascontiguousarray(np.array(table.column("bands").combine_chunks().values).reshape(-1, BANDS).T)
         inner, outer = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        one, two, score = [], [], []
-        width = max(1, (1 << 21) // max(len(inner), 1))
+        one, two = [], []
+        width = max(1, (1 << 20) // max(len(inner), 1))
         for lo in range(0, len(outer), width):
             o = outer[lo : lo + width]
+            # the first batch compares whole columns of bytes: most pairs end here
+            equal, first = np.empty((len(o), len(inner)), dtype=bool), np.zeros((len(o), len(inner)), dtype=np.uint8)
+            for h in range(BATCH):
+                np.equal(sig[h, o][:, None], sig[h, inner][None, :], out=equal)
+                first += equal.view(np.uint8)
             # a pair of two outer members would turn up on both sides: the smaller id asks
-            ask = (comp[o][:, None] != comp[inner][None, :]) & ((~is_outer[inner])[None, :] | (ids[o][:, None] < ids[inner][None, :]))
-            i, j = np.nonzero(ask)
-            i, j = o[i], inner[j]
-            matches = np.zeros(len(i), dtype=np.int64)
-            for k, m in enumerate(least):
+            ask = (first >= least[0]) & (comp[o][:, None] != comp[inner][None, :]) & ((~is_outer[inner])[None, :] | (ids[o][:, None] < ids[inner][None, :]))
+            at, to = np.nonzero(ask)
+            i, j, matches = o[at], inner[to], first[at, to].astype(np.int64)
+            for h in range(band):  # a pair that shares an earlier band is compared there
+                apart = keys[h, i] != keys[h, j]
+                i, j, matches = i[apart], j[apart], matches[apart]
+            for k, m in enumerate(least[1:], 1):
                 for h in range(k * BATCH, (k + 1) * BATCH):
-                    matches += sig[i, h] == sig[j, h]
+                    matches += sig[h, i] == sig[h, j]
                 alive = matches >= m
                 i, j, matches = i[alive], j[alive], matches[alive]
-            same = (sig[i] == sig[j]).reshape(-1, BANDS, ROWS).all(axis=2)
-            first = same.argmax(axis=1) == band
-            i, j, matches = i[first], j[first], matches[first]
             if best is not None and len(i):
                 order = np.lexsort((ids[j], -matches, comp[j], i))
                 i, j, matches = i[order], j[order], matches[order]
@@ -241,7 +266,7 @@ def _cross(members: DataFrame, parts: DataFrame, reps: DataFrame, best: int | No
     inside = members.join(parts, members["id"] == parts["node"], "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
     sizes = inside.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n_main")).where("k > 1")
-    rows = inside.join(mixed, "bucket").join(reps.select("id", "sig"), "id")
+    rows = inside.join(mixed, "bucket").join(reps, "id")
     rows = rows.withColumn("is_outer", (F.col("component") != F.col("main")).cast("int"))
     tall = F.ceil(F.col("n") / BLOCK).cast("int")
     wide = F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int")
@@ -249,7 +274,7 @@ def _cross(members: DataFrame, parts: DataFrame, reps: DataFrame, best: int | No
     # every member is once an inner row of its own chunk for each chunk of outer rows; outer rows also go to all chunks
     inner = rows.withColumn("role", F.lit(0)).withColumn("i", place % tall).withColumn("j", F.explode(F.sequence(F.lit(0), wide - 1)))
     outer = rows.where("is_outer = 1").withColumn("role", F.lit(1)).withColumn("j", place % wide).withColumn("i", F.explode(F.sequence(F.lit(0), tall - 1)))
-    columns = ["bucket", "band", "i", "j", "id", "component", "is_outer", "role", "sig"]
+    columns = ["bucket", "band", "i", "j", "id", "component", "is_outer", "role", "bands", "sig"]
     return inner.select(columns).unionByName(outer.select(columns)).groupBy("bucket", "band", "i", "j").applyInArrow(_blocks(best), "a long, b long").distinct()
 
 
@@ -257,11 +282,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stage(docs.mapInArrow(_sign, SIGNED), "signed")
-    classes = signed.where("words is not null").groupBy("words").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
+    classes = signed.where("words is not null").groupBy("words").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = stage(classes, "classes")
-    reps = classes.select("id", "sig")
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * (ROWS * 4) + 1, F.lit(ROWS * 4))))
-    banded = reps.select("id", F.posexplode(band).alias("band", "bucket"))
+    reps = classes.select("id", "bands", "sig")
+    banded = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub < other").drop("other")
     members = stage(banded.join(shared, "bucket").select("bucket", "band", "id", "hub"), "members")
     wanted = stage(members.select(F.col("id").alias("doc_id")).distinct(), "wanted")
