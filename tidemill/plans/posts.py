@@ -9,7 +9,7 @@ from tidemill.functions import contacts, text
 from tidemill.operators import alerts, dedup, reports
 from tidemill.plans.catalog import query
 from tidemill.plans.views import NOW, ctes, now, view
-from tidemill.session import table
+from tidemill.session import spread, table
 from tidemill.sources import feeds
 from tidemill.streaming import posts as steps
 
@@ -20,7 +20,7 @@ STOP_WORDS = {"en": ["the", "of", "and", "to", "that", "was"], "de": ["der", "di
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
 
 
 _WORDS_SQL = "regexp_extract_all(lower(text), '[\\p{L}]+(?:''[\\p{L}]+)*')"
@@ -115,7 +115,7 @@ def dedup_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = view(spark, sf_dir, "posts").withColumn("text", F.lower("text"))
+    posts = spread(view(spark, sf_dir, "posts")).withColumn("text", F.lower("text"))
     return dedup.entries(posts, contacts.emails(F.col("text")))
 
 
@@ -152,7 +152,7 @@ _MATCHED = ctes("jobs", "subscriptions", "users").rstrip() + f""", live AS (SELE
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alerts.matches(view(spark, sf_dir, "jobs"), view(spark, sf_dir, "subscriptions"), view(spark, sf_dir, "users"), now(), 12500.0)
+    return alerts.matches(spread(view(spark, sf_dir, "jobs")), view(spark, sf_dir, "subscriptions"), view(spark, sf_dir, "users"), now(), 12500.0)
 
 
 @query("subscription_matches", _MATCHED + "SELECT subscription_id, count(*) AS n, min(id) AS first_job FROM m GROUP BY subscription_id")

@@ -67,6 +67,15 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, where the input has fewer splits than there are cores (a single small file).
+
+    For work that is heavy beside reading. Large inputs have more splits than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return prepare(spark).read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
