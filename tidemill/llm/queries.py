@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import chat, html_text, langid, media, mixing, near_dups, packing, sharding, token_counts, topk
-from tidemill.session import stage, table
+from tidemill.session import spread, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, every distinct text encoded once."""
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return token_counts.count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a motion-JPEG AVI file, read back and cut into shots."""
-    return media.describe(media.store(table(spark, sf_dir, "documents")))
+    return media.describe(media.store(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,18 +60,18 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = langid.train(docs)
     out = F.coalesce(langid.held_out(), F.lit(False)).alias("held_out")
-    return langid.identify(docs.select("doc_id", out, "text"), net, keep_text=False)
+    return langid.identify(spread(docs.select("doc_id", out, "text")), net, keep_text=False)
 
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dups.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     pages = table(spark, sf_dir, "pages")
-    return html_text.extract(pages, html_text.train(pages))
+    return html_text.extract(spread(pages), html_text.train(pages))
 
 
 def queries() -> dict[str, Query]:
