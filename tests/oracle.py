@@ -1,6 +1,7 @@
 """Compare a query with its SQL on the same tables, as sorted rows of text."""
 
 import math
+import numbers
 import os
 
 import duckdb
@@ -19,9 +20,12 @@ def connect(sf_dir):
 
 
 def plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA:
         return ""
-    return f"{value:.9g}" if isinstance(value, float) else str(value)
+    if isinstance(value, numbers.Real) and not isinstance(value, (bool, int)):
+        value = float(value)
+        return "" if math.isnan(value) else f"{value:.9g}"
+    return str(value)
 
 
 def rows(frame):
