@@ -16,8 +16,8 @@ from tidemill.llm import langid, mixing, near_dups, packing
 from tidemill.session import prepare, stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: With few languages a text of pure chance scores one over their number, so this is far from any clean text.
-LEAST_SCORE = 0.35
+#: Texts in two languages, and very short ones, score little more than one over the number of languages and are to stay.
+LEAST_SCORE = 0.3
 #: Ids of removed documents that are sent to every task; with more of them the texts are shuffled.
 BROADCAST_IDS = 2_000_000
 
