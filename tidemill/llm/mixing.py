@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.session import stage
+
 SEED = "mix-1"
 #: Exponent of a source's size in the default target weights: between 1 (as is) and 0 (all sources alike).
 ALPHA = 0.5
@@ -53,6 +55,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPH
     else:
         given = weights.select(F.col(weights.columns[0]).alias("w_source"), F.col(weights.columns[1]).cast("double").alias("weight"))
         weighted = sizes.join(given, F.col("mix_source").eqNullSafe(F.col("w_source")), "left").select("mix_source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    weighted = stage(weighted, "weights")  # a row for each source, read three times
     total = weighted.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
     scale = (total["size"] or 0.0) / total["weight"] if total["weight"] else 0.0
     return weighted.select("mix_source", F.when(F.col("size") > 0, F.col("weight") * F.lit(scale) / F.col("size")).otherwise(1.0).alias("rate"))
