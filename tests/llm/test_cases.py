@@ -233,6 +233,8 @@ def test_near_duplicate_cases(spark):
     df = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], SCHEMA)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(df).collect()}
     assert [got[d][1] for d in range(10, 23)] == [10, 10, 10, 13, 13, 15, 16, 17, 18, 10, 20, 21, 21]
+    nameless = near_dups.near_duplicates(spark.createDataFrame([(None, base, "en", "a", 1), (1, base, "en", "a", 1), (None, "alone", "en", "a", 1)], SCHEMA)).collect()
+    assert sorted((r["doc_id"] or 0, r["kept"]) for r in nameless) == [(0, True), (0, True), (1, True)]
     assert got[16] == (0, 16, True) and got[13][0] == 1 and got[10][0] == 36
 
 

@@ -19,7 +19,7 @@ the batches with chance under 8 * MISS.
 
 Defined results: a null or blank text has no shingles, is linked with nothing and kept; a text with fewer words
 than a shingle has one shingle, its whole sequence; rows with the same id count as one document with all their
-texts' links; an empty table gives no rows; extra columns are ignored; texts of any length are used whole.
+texts' links; a row without an id is always kept; an empty table gives no rows; extra columns are ignored; texts of any length are used whole.
 """
 
 from __future__ import annotations
@@ -317,4 +317,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = stage(parts, "parts")
     found = signed.select("doc_id", "n_shingles", "words").join(classes.select("words", "id"), "words", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
     own = F.coalesce("component", "id", "doc_id")
-    return found.select("doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
