@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions import contacts
+from tidemill.functions import contacts, text
 from tidemill.operators import extract, queue, search, submissions
 from tidemill.plans.catalog import query
 from tidemill.plans.parsing import _ADS, ads
@@ -193,3 +193,29 @@ def word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def open_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup of visible jobs."""
     return view(spark, sf_dir, "jobs").where(search.is_open(now()) & F.col("id").isin(*range(5, 80, 10))).select("id", "category")
+
+
+@query("search_texts", ctes("jobs") + "SELECT id, lower(category) || chr(10) || lower(source) AS search_text FROM jobs")
+def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search forms of joined fields, filled in where they are missing."""
+    jobs = view(spark, sf_dir, "jobs").withColumn("search_text", F.lit(None).cast("string"))
+    return jobs.select("id", F.coalesce("search_text", text.search_text(F.upper("category"), F.col("source"))).alias("search_text"))
+
+
+@query("touched_users", """WITH u AS (SELECT c_custkey AS id, c_name AS name, TIMESTAMP '2024-01-30 20:00:00' AS active_at, CAST(c_custkey % 3 AS BIGINT) AS trust FROM customer), v AS (SELECT user_id * 2 AS id, max(ts) AS seen, arg_max('n' || (event_id % 2), (ts, event_id)) AS new_name, max(event_id % 2) AS new_trust FROM events GROUP BY 1)
+SELECT coalesce(u.id, v.id) AS id, coalesce(new_name, name) AS name, CASE WHEN seen IS NOT NULL AND (active_at IS NULL OR floor(epoch(seen)) - floor(epoch(active_at)) >= 60) THEN seen ELSE active_at END AS active_at, greatest(trust, new_trust) AS trust, (name IS NULL OR (new_name IS NOT NULL AND new_name <> name)) AS changed FROM u FULL JOIN v ON u.id = v.id""")
+def touched_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users after their visits."""
+    k = F.col("c_custkey")
+    users = table(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_name").alias("name"), F.lit("2024-01-30 20:00:00").cast("timestamp").alias("active_at"), (k % 3).alias("trust"))
+    e = F.col("event_id")
+    visits = table(spark, sf_dir, "events").select((F.col("user_id") * 2).alias("id"), "ts", e.alias("visit"), F.concat(F.lit("n"), (e % 2).cast("string")).alias("name"), (e % 2).alias("trust"))
+    return steps.touched_users(users, visits)
+
+
+@query("album_rows", ctes("posts", "jobs") + "SELECT p.id FROM posts p WHERE (p.id % 7 <> 0 AND (p.id - 1) IN (SELECT id FROM jobs WHERE status = 'published' AND id % 20 = 1)) OR p.id IN (SELECT raw_post_id FROM jobs WHERE status = 'published' AND id % 20 = 1)")
+def album_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I16: all posts behind some published jobs, once each."""
+    jobs = view(spark, sf_dir, "jobs").where("status = 'published' AND id % 20 = 1").select("id", "raw_post_id")
+    posts = view(spark, sf_dir, "posts").select("id", F.when(F.col("id") % 7 != 0, F.col("id") - 1).alias("job_id"))
+    return submissions.current_rows(jobs, posts).select("id")
