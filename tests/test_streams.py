@@ -1,10 +1,12 @@
 """Stateful operators against plain loops, and stream forms against batch forms."""
 
 import datetime as dt
+import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from tidemill.functions import similarity
 from tidemill.operators import alerts, dedup
 from tidemill.session import table
 from tidemill.sources import feeds
@@ -71,6 +73,36 @@ def test_duplicate_layers(spark):
     assert {r["seq"]: r["root"] for r in dedup.roots(dedup.same_text(e)).collect()} == {2: 1, 3: 1}
 
 
+def typos(words, every, rng):
+    return " ".join(w[:-1] + rng.choice("xyz") if k % every == 0 else w for k, w in enumerate(words))
+
+
+def test_fuzzy_layer_equals_all_pairs(spark):
+    """Spread typos leave few whole shingles; every earlier post of the window counts."""
+    rng, rows = random.Random(5), []
+    for k in range(24):
+        words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(80)]
+        title = " ".join(words[:4]) if k % 4 else ""
+        for copy, every in enumerate((99, 3, 5, 8)):
+            t = [title, title + "s", " ".join(title.split()[::-1]), "something else"][copy if k % 3 else 0] if title else ""
+            rows.append((len(rows) + 1, at(rng.randint(0, 20 * 24 * 60)), typos(words, every, rng), t, ["@c"] if (k + copy) % 5 == 0 else [], ""))
+    short = "a text of forty characters, or just less"
+    rows += [(900, at(0), short[:39], "brief", [], ""), (901, at(1), short, "brief", [], "")]
+    ratio, want = similarity.ratio_of, {}
+    for b in rows:
+        for a in rows:
+            if a[0] >= b[0] or not dt.timedelta(0) <= b[1] - a[1] <= dt.timedelta(days=14) or len(b[2]) < 40 or (score := ratio(a[2], b[2])) < 85:
+                continue
+            titles = similarity.token_sort_of(a[3], b[3]) if a[3] and b[3] else None
+            alike, shared = titles is not None and titles >= 85, bool({*a[4]} & {*b[4]})
+            if (alike and shared) if score < 90 else alike or (shared and (titles is None or titles >= 50)):
+                want[b[0]] = min(want.get(b[0], (0, 0)), (-score, a[0]))
+    got = {r["seq"]: (-r["score"], r["parent"]) for r in dedup.similar_text(entries(spark, rows)).collect()}
+    assert len(want) > 20 and 901 in want
+    assert got == want
+    assert set(want) <= {r["seq"] for r in dedup.parents(entries(spark, rows)).collect()}
+
+
 def test_hold_window_stream_equals_batch(spark, tmp_path):
     rows = [(1, 1, 1.0, at(0)), (1, 2, 3.0, at(5)), (1, 3, 9.0, at(25)), (2, 4, 2.0, at(1)), (2, 5, 2.0, at(2)), (9, 6, 1.0, at(300))]
     df = spark.createDataFrame(rows, "root long, seq long, score double, posted_at timestamp")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 
 def _lcs(a: str, b: str) -> int:
@@ -42,6 +44,25 @@ def token_set_of(a: str | None, b: str | None) -> float:
     return max(best, ratio_of(both, left), ratio_of(both, right)) if both else best
 
 
+def bigrams_of(text: str | None) -> list[int]:
+    """Neighbouring characters of the sorted tokens, numbered by occurrence: arrays share as many items as the texts share bigrams.
+
+    Texts of lengths a and b with a common subsequence of length c share at least 3 c - a - b - 1 of them: a character
+    that is left out breaks two bigrams of its text, one that is put in breaks one.
+    """
+    tokens, seen, out = " ".join(sorted((text or "").split())), Counter(), []
+    for x, y in zip(tokens, tokens[1:]):
+        gram = ord(x) << 21 | ord(y)
+        out.append(gram << 21 | seen[gram])
+        seen[gram] += 1
+    return out
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def bigrams(a: pd.Series) -> pd.Series:
+    return a.map(bigrams_of)
+
+
 def _pairwise(f):
     @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
