@@ -1,5 +1,7 @@
 """Queries cover whole tables and whole texts."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemill.plans import catalog
@@ -8,6 +10,31 @@ from tidemill.session import table
 QUERIES = catalog.queries()
 
 
+def summary(text, limit):
+    out = ""
+    for unit in re.findall(r"[^.!?\n]+[.!?]*\s*|\n+", text, re.ASCII):
+        if len((out + unit).rstrip(" ")) > limit:
+            break
+        out += unit
+    return re.sub(r"(\n[^\n]*:)+\s*$", "", out.rstrip(" "), flags=re.ASCII)
+
+
+def test_summaries_equal_a_loop_over_whole_texts(spark, sf, tmp_path):
+    late = spark.createDataFrame([(10**9, "." * 2500 + "After the dots. And more.", "en", "a", 2525)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = table(spark, sf, "documents").select(*late.columns).unionByName(late)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["summary"] for r in QUERIES["whole_units"](spark, str(tmp_path)).collect()}
+    assert got[10**9] == "After the dots. And more."
+    assert got == {r["doc_id"]: summary(r["text"], 300) for r in docs.collect()}
+
+
+def test_slugs_read_past_the_prefix(spark, tmp_path):
+    text = "\u4e2d" * 100 + " late title\nbody"
+    docs = spark.createDataFrame([(1, text, "en", "a", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["slugs_all"](spark, str(tmp_path)).first()["slug"] == "late-title"
+
+
 def test_whole_tables_are_covered(spark, sf):
     sources = QUERIES["source_overview_all"](spark, sf)
     assert sources.count() == table(spark, sf, "supplier").count()

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions import text
 from tidemill.operators import queue, reports, search, submissions
 from tidemill.plans.catalog import query
 from tidemill.plans.views import NOW, ctes, now, view
-from tidemill.session import table
+from tidemill.session import spread, table
 from tidemill.streaming import posts as steps
 
 RATE = 12500.0
@@ -90,3 +91,10 @@ def album_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that arrive close together as one post, with the digest of their merged texts."""
     parts = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), (F.col("user_id") % 20).alias("grouped_id"), F.col("event_id").alias("id"), F.col("props").alias("text"), F.col("ts").alias("fetched_at"))
     return steps.albums(parts, 3600).withColumn("digest", F.md5("text")).drop("text")
+
+
+@query("slugs_all", "SELECT doc_id, regexp_replace(substr(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), 1, 60), '^-+|-+$', '', 'g') AS slug FROM documents")
+def slugs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL slugs of whole first lines."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", text.slug(F.substring_index("text", "\n", 1)).alias("slug"))
