@@ -11,7 +11,7 @@ from tidemill.llm import chat, components, html_text, html_tree, langid, media,
 LONG = "word soup with many different things number " * 3000
 DOCS = [(1, "Hello world, this is a text", "en", "a", 27), (1, "Hello world, this is a text", "en", "a", 27), (2, None, None, None, None), (3, "", "en", "a", 0), (4, LONG, None, "b", len(LONG)), (None, "no id", "en", "a", 5), (5, "<|endoftext|> 12 ?!", "en", "a", 19), (6, "  \n\t ", "en", "a", 5)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = "start long, length long, part int, rank long, curve long, shard int, slot long, copy int, score double, lang_pred string, media binary, a int, b int, id long, node long, component long"
+EXTRA = "rate double, mix_source string, n_copies long, salt int, row_place long, before long, start long, length long, part int, rank long, curve long, shard int, slot long, copy int, score double, lang_pred string, media binary, a int, b int, id long, node long, component long"
 
 
 def docs(spark, rows=DOCS):
@@ -163,6 +163,51 @@ def test_odd_texts_have_the_library_s_ids():
 VECTORS = [(1, [0.5, -0.25]), (2, [0.5, -0.25]), (2, [0.1, 0.1]), (3, None), (4, [0.1, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [-0.5, 0.9]), (8, [0.0, 0.0]), (9, [0.3, 0.2, 0.1]), (20, [0.5, -0.25]), (40, [-1.0, 2.0])]
 
 
+def test_values_of_clashing_columns_stay(spark):
+    names = ["rate", "mix_source", "n_copies", "salt", "salt_of_source", "row_place", "before", "part", "rank", "__text", "Rate_"]
+    df = docs(spark)
+    for k, name in enumerate(names):
+        df = df.withColumn(name, F.lit(-7 - k))
+    for out in (mixing.mix(df), sharding.shards(df)):
+        rows = out.collect()
+        assert rows and set(df.columns) <= set(out.columns)
+        assert all(r[name] == -7 - k for r in rows for k, name in enumerate(names))
+
+
+def test_mixing_with_many_sources_is_the_same(spark, monkeypatch):
+    few = keyed(mixing.mix(docs(spark)).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert keyed(mixing.mix(docs(spark)).collect()) == few
+
+
+def test_top_k_of_large_components_and_clashing_columns(spark):
+    rows = [(0, [3e5, 1.0]), (20, [4e5, 0.0]), (1, [1e6, -1e12]), (2, [1e12, 3.5]), (3, [-1e300, 2.0]), (4, [0.1, 0.2]), (5, [-0.3, 0.9]), (6, []), (40, []), (7, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = [(i, [int(np.floor(x * 64)) if abs(x) < 2**53 else int(x) * 64 for x in v]) for i, v in rows]
+    want = []
+    for q, w in exact:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, v in exact if i != q and len(v) == len(w))
+            want += [(q, n + 1, i, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, i) in enumerate(best)]
+    more = df
+    for name in ("v", "wide", "width", "block", "chunk", "ids", "rank", "score", "exact"):
+        more = more.withColumn(name, F.lit(3))
+    for frame in (df, more):
+        assert sorted(map(tuple, topk.top_k(frame, frame.where("vec_id % 20 = 0")).collect())) == sorted(want)
+
+
+def test_index_is_stored_once_and_searched_again(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(k, rng.normal(0, 0.2, 6).tolist()) for k in range(700)], "vec_id long, embedding array<double>")
+    one = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 20 = 0")).collect()))
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    monkeypatch.setattr(topk, "CHUNK", 5)
+    index = topk.build_index(df)
+    assert 5 <= index.count() <= 7
+    for _ in range(2):
+        assert sorted(map(tuple, topk.search_index(index, df.where("vec_id % 20 = 0")).collect())) == one
+
+
 def test_top_k_equals_brute_force(spark):
     df = spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>")
     rng = np.random.default_rng(2)
@@ -194,6 +239,24 @@ def test_curve_visits_neighbours():
         assert all(np.abs(np.subtract(place[i], place[i + 1])).sum() == 1 for i in range(len(place) - 1))
 
 
+def test_curve_prunes_files_better_than_a_plain_sort(spark, sf01, tmp_path):
+    """Files whose min-max ranges meet a filter, on each dimension in turn."""
+    from tidemill.session import table
+
+    df = table(spark, sf01, "documents")
+    names = [c for c, _ in sharding.DIMENSIONS]
+    filters = {"source": [r[0] for r in df.select("source").distinct().collect()], "lang": [r[0] for r in df.select("lang").distinct().collect()], "n_chars": [200, 1000, 4000], "doc_id": [50, 500, 900]}
+
+    def met(rows, column):
+        ranges = rows.groupBy("f").agg(F.min(column).alias("a"), F.max(column).alias("b")).collect()
+        return sum(r["a"] <= v <= r["b"] for v in filters[column] if v is not None for r in ranges if r["a"] is not None)
+
+    curve = sharding.shards(df).withColumn("f", F.col("shard"))
+    plain = df.withColumn("f", F.expr("cast(doc_id * 16 div 1000 as int)"))
+    by_curve, by_id = ({c: met(x, c) for c in names} for x in (curve, plain))
+    assert sum(by_curve[c] for c in names if c != "doc_id") < 0.75 * sum(by_id[c] for c in names if c != "doc_id"), (by_curve, by_id)
+
+
 def test_shards_are_written_as_folders(spark, tmp_path):
     out = f"file://{tmp_path}/shards"
     placed = sharding.shards(docs(spark), n_shards=3)

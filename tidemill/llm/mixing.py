@@ -10,8 +10,8 @@ Rates above ``STEP`` are drawn as sums of smaller draws (a sum of Poisson number
 
 Defined results: a null source is a source of its own; a null text has size 0; a source of size 0 keeps rate 1;
 rows with the same id and source get the same number of copies; a null id is drawn like the text "null"; an empty
-table gives no rows; columns of the input pass through and win over nothing (``copy`` and ``shuffle_key`` are added,
-or replaced where the input has them).
+table gives no rows; columns of the input pass through, whatever their names, except that ``copy`` and
+``shuffle_key`` are added, or replaced where the input has them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.names import unused, without
 from tidemill.session import stage
 
 SEED = "mix-1"
@@ -26,8 +27,8 @@ SEED = "mix-1"
 ALPHA = 0.5
 #: The largest mean of one draw, and the largest number that one draw can give (its chance to be more is under 1e-28).
 STEP, MOST = 16.0, 96
-#: Source rates that are sent to every task; with more sources the join shuffles.
-BROADCAST_SOURCES = 100_000
+#: Source rates that are sent to every task. With more sources the join shuffles, and every source is dealt over ``SALTS`` keys.
+BROADCAST_SOURCES, SALTS = 100_000, 64
 
 
 def uniform(*parts: Column) -> Column:
@@ -63,19 +64,28 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPH
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPHA, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """All copies of all documents in a global random order: the input's columns, ``copy`` (from 1) and ``shuffle_key``."""
-    columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    rate = rates(docs, weights, alpha, source_col, text_col)
-    if rate.count() <= BROADCAST_SOURCES:  # a checked size
-        rate = F.broadcast(rate)
+    columns = without(docs, "copy", "shuffle_key")
+    docs = docs.select(*columns)
+    rate_name, source_name, count_name, salt_name = unused(docs, "rate", "mix_source", "n_copies", "salt")
+    found = rates(docs, weights, alpha, source_col, text_col).toDF(source_name, rate_name)
+    same = F.col(source_col).eqNullSafe(F.col(source_name))
+    if found.count() <= BROADCAST_SOURCES:  # a checked size
+        rated = docs.join(F.broadcast(found), same)
+    else:
+        salted = docs.withColumn(salt_name, F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(SALTS)).cast("int"))
+        (other,) = unused(salted, "salt_of_source")
+        found = found.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = salted.join(found, same & (F.col(salt_name) == F.col(other)))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int")
+    rate = F.col(rate_name)
+    draws = F.greatest(F.lit(1), F.ceil(rate / STEP)).cast("int")
     copies = F.aggregate(
         F.sequence(F.lit(1), draws),
         F.lit(0),
-        lambda n, j: n + poisson(uniform(F.lit(seed), name, j.cast("string")), F.col("rate") / draws),
+        lambda n, j: n + poisson(uniform(F.lit(seed), name, j.cast("string")), rate / draws),
     )
-    drawn = docs.select(*columns).join(rate, F.col(source_col).eqNullSafe(F.col("mix_source"))).withColumn("n_copies", copies).where("n_copies > 0")
-    out = drawn.select(*columns, F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    drawn = rated.withColumn(count_name, copies).where(F.col(count_name) > 0)
+    out = drawn.select(*columns, F.explode(F.sequence(F.lit(1), F.col(count_name))).alias("copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), name, F.col("copy").cast("string"))), 1, 13), 16, 10).cast("long")
     return out.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col, "copy")
 

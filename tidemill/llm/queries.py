@@ -43,16 +43,18 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards along a Hilbert curve; the text goes through as its size and digest."""
+    """All documents in 16 shards along a Hilbert curve, whole texts in them; sizes and digests are those of the texts read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text").withColumn("tie", F.xxhash64("text"))
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = sharding.shards(docs, ties=("doc_id", "size", "text_crc32"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    placed = sharding.shards(docs, ties=("doc_id", "tie"))
+    size, digest = F.octet_length(text).cast("long") + 1, F.crc32(text.cast("binary"))
+    return placed.select("doc_id", size.alias("size"), digest.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as a motion-JPEG AVI file, read back and cut into shots."""
-    return media.describe(media.store(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    """Every text stored as a motion-JPEG AVI file in the shared folder, read back from there and cut into shots."""
+    stored = stage(media.store(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "media")
+    return media.describe(stored)
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

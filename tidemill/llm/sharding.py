@@ -13,8 +13,12 @@ Quantisation needs only each dimension's smallest and largest value. Numbers: by
 from the smallest value (``log``) or linearly (``linear``). Texts: by the first three characters after the prefix
 that all values share, which keeps their order. Null is the lowest cell.
 
-Defined results: null texts count as absent (size 1, digest of the empty text); repeated rows get a place each;
-an empty table gives no rows; input columns named like an added column are replaced.
+The sorted partitions are written once, in the shared folder, with all columns of the input, texts too: these files
+are runs of the curve. Everything afterwards is read back from them, so a repeated task cannot move a row.
+
+Defined results: nulls in a dimension are its lowest cell; repeated rows get a place each; an empty table gives no
+rows; columns of the input pass through, whatever their names, except that ``curve``, ``shard`` and ``slot`` are
+replaced where the input has them.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.names import unused, without
 from tidemill.session import stage
 
 BITS = 5
@@ -110,31 +115,33 @@ def quantise(df: DataFrame, dimensions: tuple[tuple[str, str], ...], bits: int =
 def shards(df: DataFrame, dimensions: tuple[tuple[str, str], ...] = DIMENSIONS, n_shards: int = N_SHARDS, ties: tuple[str, ...] = ("doc_id",), bits: int = BITS) -> DataFrame:
     """All rows with ``curve`` (Hilbert index), ``shard`` and ``slot`` (place in the shard, from 0)."""
     spark = df.sparkSession
-    df = df.drop("curve", "shard", "slot", "row_place")
+    columns = without(df, "curve", "shard", "slot")
+    df = df.select(*columns)
+    place, part, before, rank = unused(df, "row_place", "part", "before", "rank")
     order = ["curve", *ties]
     indexed = df.withColumn("curve", hilbert_index(quantise(df, dimensions, bits), bits))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the id counts rows of a sorted partition in its lower 33 bits; written once, so that a repeated task cannot change it
-    ordered = indexed.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn("row_place", F.monotonically_increasing_id())
+    ordered = indexed.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
     ordered = stage(ordered, "curve")
-    part = F.shiftrightunsigned("row_place", 33)
-    counts = sorted((r["part"], r["n"]) for r in ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each shuffle partition
+    part_of = F.shiftrightunsigned(place, 33)
+    counts = sorted((r[0], r[1]) for r in ordered.groupBy(part_of.alias(part)).agg(F.count(F.lit(1))).collect())  # a row for each shuffle partition
     total = sum(n for _, n in counts)
-    before, firsts = 0, []
+    done, firsts = 0, []
     for p, n in counts:
-        firsts.append((p, before))
-        before += n
-    offsets = spark.createDataFrame(firsts, "part long, before long")
-    rank = F.col("before") + F.col("row_place").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = ordered.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("rank", rank)
-    return (
-        placed.withColumn("shard", F.expr(f"cast(rank * {n_shards} div {max(total, 1)} as int)"))
-        .withColumn("slot", F.expr(f"rank - (cast(shard as bigint) * {total} + {n_shards - 1}) div {n_shards}"))
-        .drop("part", "before", "rank", "row_place")
-    )
+        firsts.append((p, done))
+        done += n
+    offsets = spark.createDataFrame(firsts, f"{part} long, {before} long")
+    placed = ordered.withColumn(part, part_of).join(F.broadcast(offsets), part)
+    placed = placed.withColumn(rank, F.col(before) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1)))
+    shard = F.expr(f"cast({rank} * {n_shards} div {max(total, 1)} as int)")
+    return placed.withColumn("shard", shard).select(*columns, "curve", "shard", F.expr(f"{rank} - (cast(shard as bigint) * {total} + {n_shards - 1}) div {n_shards}").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write the rows as one folder of Parquet files for each shard, in slot order inside each file."""
-    ordered = sharded.repartitionByRange(max(1, int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", "slot").sortWithinPartitions("shard", "slot")
-    ordered.write.partitionBy("shard").parquet(path)
+    """Write the rows as one folder of Parquet files for each shard.
+
+    The rows come from sorted runs that a shard's end cuts, so nothing is shuffled: a task writes to the folders of
+    its own run only, in slot order.
+    """
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

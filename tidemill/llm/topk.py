@@ -5,20 +5,28 @@ for each bit of (value - smallest value of the block). A query's score is a sum
 components as weights, added up as bitmaps by carry-save adders, 64 rows a machine word. Negative weights use
 complemented slices, so all terms are positive. The score's own slices then give the top rows: from the most
 significant slice downward, rows that have the bit are kept while at least k remain; the rows that are still tied
-at the end are resolved by id. Only the rows found get their scores computed from the integers.
+at the end are resolved by id. Only the rows found get their scores computed, from the integers that their bits give.
 
-Rows are dealt to blocks and queries to chunks by a hash of the id; each (block, chunk) is one group of a grid, and
+``build_index`` writes the index once: a row for each block, dealt by a hash of the id, with its slices packed (about
+a byte a component). ``search_index`` takes queries in chunks past it; each (block, chunk) is one group of a grid, and
 a query's best rows of all blocks are merged by a ranked window. Nothing but block-wise top rows is kept, and there
-is no pair of rows in any table.
+is no pair of rows in any table. What moves is blocks times chunks of packed slices, never a vector again.
 
-Defined results: vectors that are null, hold a null or non-finite component, or a component of magnitude 2**24 or
-more take no part; vectors of different lengths are compared only with their own kind; repeated ids are separate
+Integers have any width: vectors with a component beyond ``WIDE`` are dealt to blocks of their own, where values are
+Python integers, so that scores are exact and other blocks stay compact.
+
+Defined results: vectors that are null, or hold a null or non-finite component, take no part; empty vectors score 0
+with each other; vectors of different lengths are compared only with their own kind; repeated ids are separate
 candidates, and none of them is a candidate of a query with the same id; ties go to the smaller id; fewer than k
-candidates give all of them; an empty table or no query gives no rows; extra columns are ignored.
+candidates give all of them; a score beyond the range of a long is ranked exactly and shown as that range's end; an
+empty table or no query gives no rows; a null id takes no part; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,8 +36,11 @@ from tidemill.session import stage
 
 K = 20
 SCALE = 64
-#: Rows of a block (bitmaps of 8 kB), queries of a chunk.
-BLOCK, CHUNK = 1 << 16, 512
+#: Rows of a block at most (bitmaps of 8 kB), components of a block at most, queries of a chunk at most and at least.
+BLOCK, CELLS, CHUNK, LEAST_CHUNK = 1 << 16, 1 << 22, 4096, 256
+#: Quantised components from here on are kept as Python integers; below, sums of any usual width fit a machine word.
+WIDE = 1 << 24
+LEAST_LONG, MOST_LONG = -(1 << 63), (1 << 63) - 1
 
 Bitmap = np.ndarray
 
@@ -39,15 +50,38 @@ def _bitmap(bits: np.ndarray) -> Bitmap:
     return np.pad(packed, (0, -len(packed) % 8)).view(np.uint64)
 
 
+def quantised(vector: list[float], scale: float) -> list[int]:
+    """floor(scale * x), without overflow for large x."""
+    return [math.floor(x * scale) if abs(x) < 1 << 53 else math.floor(Fraction(x) * Fraction(scale)) for x in vector]
+
+
 class Slices:
-    """Bit-sliced index of a block: ``values`` is a (rows, attributes) array of integers."""
+    """Bit-sliced index of a block: each attribute's least value, and a table of bitmaps of what is above it."""
+
+    def __init__(self, rows: int, least: list[int], counts: list[int], table: np.ndarray):
+        self.rows, self.least, self.counts, self.table = rows, least, counts, table
+        self.every = _bitmap(np.ones(rows, dtype=np.uint8))
+        opposite, ends = self.every & ~table, np.cumsum(counts).tolist()
+        self.plain, self.opposite = ([list(t[e - n : e]) for e, n in zip(ends, counts, strict=True)] for t in (table, opposite))
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> Slices:
+        """From a (rows, attributes) array of integers, of Python integers where its type is object."""
+        least, counts, slices = [int(c.min()) for c in values.T], [], []
+        for column, low in zip(values.T, least, strict=True):
+            above = column - low
+            counts.append(int(above.max()).bit_length())
+            slices += [_bitmap(((above >> b) & 1).astype(np.uint8)) for b in range(counts[-1])]
+        return cls(len(values), least, counts, np.array(slices, dtype=np.uint64).reshape(len(slices), -(-len(values) // 64)))
 
-    def __init__(self, values: np.ndarray):
-        self.rows = len(values)
-        self.every = _bitmap(np.ones(self.rows, dtype=np.uint8))
-        shifted = values - values.min(axis=0)
-        self.plain = [[_bitmap(((column >> b) & 1).astype(np.uint8)) for b in range(int(column.max()).bit_length())] for column in shifted.T]
-        self.opposite = [[self.every & ~s for s in slices] for slices in self.plain]
+    def scores(self, rows: np.ndarray, weights: list[int]) -> list[int]:
+        """Exact scores of some rows, from the bits of their values."""
+        base = sum(w * v for w, v in zip(weights, self.least, strict=True))
+        each = [w << b for w, n in zip(weights, self.counts, strict=True) for b in range(n)]
+        bits = (self.table[:, rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
+        if sum(map(abs, each)) < 1 << 62:
+            return [base + int(s) for s in np.array(each, dtype=np.int64) @ bits.astype(np.int64)]
+        return [base + sum(e for e, bit in zip(each, column, strict=True) if bit) for column in bits.T.tolist()]
 
     def score(self, weights: list[int]) -> list[Bitmap]:
         """Slices of the weighted sum, least significant first, up to a constant."""
@@ -107,55 +141,121 @@ class Slices:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little")[: self.rows])
 
 
-def _search(k: int, scale: float):
-    def integers(column: pa.ChunkedArray) -> np.ndarray:
-        flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False)
-        return np.floor(flat.astype(np.float64) * scale).astype(np.int64).reshape(len(column), -1)
+INDEX = "width int, block int, wide boolean, ids binary, least array<string>, counts array<int>, slices binary"
+
+
+def _build(scale: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("vec_id")
+        wide = table.column("wide")[0].as_py()
+        column, n = table.column("v"), len(table)
+        if wide:
+            values = np.array([quantised(v, scale) for v in column.to_pylist()], dtype=object).reshape(n, -1)
+        else:
+            flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False)
+            values = np.floor(flat.astype(np.float64) * scale).astype(np.int64).reshape(n, -1)
+        index = Slices.of(values)
+        return pa.table(
+            {
+                "width": pa.array([values.shape[1]], pa.int32()),
+                "block": pa.array([table.column("block")[0].as_py()], pa.int32()),
+                "wide": pa.array([wide], pa.bool_()),
+                "ids": pa.array([table.column("vec_id").to_numpy().astype(np.int64).tobytes()], pa.binary()),
+                "least": pa.array([[str(v) for v in index.least]], pa.list_(pa.string())),
+                "counts": pa.array([index.counts], pa.list_(pa.int32())),
+                "slices": pa.array([index.table.tobytes()], pa.binary()),
+            }
+        )
+
+    return run
 
+
+def _search(k: int, scale: float):
     def run(table: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        is_query = table.column("is_query").to_numpy(zero_copy_only=False)
-        rows, queries = (table.filter(pa.array(is_query == flag)) for flag in (False, True))
-        if len(rows) and len(queries):
-            rows = rows.sort_by("vec_id")
-            ids, values = rows.column("vec_id").to_numpy(), integers(rows.column("v"))
-            index = Slices(values)
-            for query, weights in zip(queries.column("vec_id").to_pylist(), integers(queries.column("v")), strict=True):
+        out: list[tuple[int, int, int]] = []
+        blocks, queries = (table.filter(pa.array([(v is None) == is_query for v in table.column("ids").to_pylist()])) for is_query in (False, True))
+        asked = [(i, quantised(v, scale)) for i, v in zip(queries.column("vec_id").to_pylist(), queries.column("v").to_pylist(), strict=True)]
+        for at in range(len(blocks) if asked else 0):
+            ids, least, counts, slices = (blocks.column(c)[at].as_py() for c in ("ids", "least", "counts", "slices"))
+            ids = np.frombuffer(ids, dtype=np.int64)
+            index = Slices(len(ids), [int(v) for v in least], counts, np.frombuffer(slices, dtype=np.uint64).reshape(sum(counts), -(-len(ids) // 64)))
+            for query, weights in asked:
                 own = np.arange(np.searchsorted(ids, query), np.searchsorted(ids, query, "right"))
-                found = index.top(weights.tolist(), k, own)
-                out.append((np.full(len(found), query, dtype=np.int64), ids[found], values[found] @ weights))
-        one, two, score = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0, dtype=np.int64)] * 3
-        return pa.table({"query_id": one, "vec_id": two, "score": score})
+                found = index.top(weights, k, own)
+                # exact scores decide between blocks too, so those beyond a long keep their order
+                out += [(query, int(i), s) for i, s in zip(ids[found].tolist(), index.scores(found, weights), strict=True)]
+        best = {}
+        for query, i, s in sorted(out, key=lambda r: (r[0], -r[2], r[1])):
+            best.setdefault(query, [])
+            if len(best[query]) < k:
+                best[query].append((i, s))
+        rows = [(q, i, s) for q, found in best.items() for i, s in found]
+        return pa.table(
+            {
+                "query_id": pa.array([r[0] for r in rows], pa.int64()),
+                "vec_id": pa.array([r[1] for r in rows], pa.int64()),
+                "exact": pa.array([_ordered(r[2]) for r in rows], pa.string()),
+                "score": pa.array([min(max(r[2], LEAST_LONG), MOST_LONG) for r in rows], pa.int64()),
+            }
+        )
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's k best rows. ``queries`` has the columns of ``vectors``."""
-    most = float(1 << 24) / scale
+def _ordered(score: int) -> str | None:
+    """A text that sorts like the integer, for scores beyond a long; null for others."""
+    if LEAST_LONG < score < MOST_LONG:
+        return None
+    size = abs(score)
+    digits = f"{len(str(size)):04d}{size}"
+    return "1" + digits if score > 0 else "0" + "".join(chr(ord("9") - ord(c) + ord("0")) for c in digits)
+
+
+def _usable(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
+    v = F.col(vector_col)
+    # a difference with itself is 0 for finite numbers only
+    finite = F.forall(v, lambda x: F.coalesce(x.cast("double") - x.cast("double") == 0.0, F.lit(False)))
+    kept = df.where(F.col(id_col).isNotNull() & v.isNotNull() & finite).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
+    return kept.withColumn("wide", F.exists("v", lambda x: F.abs(x) >= float(WIDE) / scale)).withColumn("width", F.size("v"))
 
-    def usable(df: DataFrame) -> DataFrame:
-        # abs(x) < most is false for NaN and null
-        v = F.col(vector_col)
-        return df.where(v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(F.abs(x) < most, F.lit(False)))).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
-    rows, asked = usable(vectors), usable(queries)
-    n_blocks = -(-rows.count() // BLOCK) or 1
-    n_chunks = -(-asked.count() // CHUNK) or 1
+def build_index(vectors: DataFrame, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The index, written once in the shared folder: see ``INDEX``; ids are sorted, 8 bytes each."""
+    rows = _usable(vectors, id_col, vector_col, scale)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("width"), F.lit(1)).alias("width")).first()
+    n_blocks = -(-size["n"] // max(1, min(BLOCK, CELLS // max(1, size["width"])))) or 1
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
+    return stage(dealt.groupBy("width", "block", "wide").applyInArrow(_build(scale), INDEX), "bit-slices")
 
-    def dealt(df: DataFrame, n: int, name: str, other: int, other_name: str, flag: bool) -> DataFrame:
-        place = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-        grid = df.withColumn(name, place).withColumn(other_name, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
-        return grid.select("vec_id", "v", F.size("v").alias("width"), "block", "chunk", F.lit(flag).alias("is_query"))
 
-    both = dealt(rows, n_blocks, "block", n_chunks, "chunk", False).union(dealt(asked, n_chunks, "chunk", n_blocks, "block", True))
-    best = both.groupBy("width", "block", "chunk").applyInArrow(_search(k, scale), "query_id long, vec_id long, score long")
+def search_index(index: DataFrame, queries: DataFrame, k: int = K, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``query_id, rank, vec_id, score``: each query's k best rows of an index."""
+    asked = _usable(queries, id_col, vector_col, scale).select("vec_id", "v", "width")
+    blocks = index.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("block"), F.lit(0)).alias("last")).first()
+    n_blocks, n_asked = blocks["last"] + 1, asked.count()
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    # as many chunks as their size asks for, and enough to use all cores where there are few blocks
+    n_chunks = max(1, -(-n_asked // CHUNK), min(-(-n_asked // LEAST_CHUNK), -(-cores // max(blocks["rows"], 1))))
+
+    def each(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    held = index.select("width", "block", each(n_chunks).alias("chunk"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "ids", "least", "counts", "slices")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "binary"), ("least", "array<string>"), ("counts", "array<int>"), ("slices", "binary"))]
+    placed = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)).cast("int"))
+    grid = held.unionByName(placed.select("width", each(n_blocks).alias("block"), "chunk", "vec_id", "v", *none))
+    best = grid.groupBy("width", "block", "chunk").applyInArrow(_search(k, scale), "query_id long, vec_id long, exact string, score long")
     # searched once: without this, a later recount would search again
     best = stage(best, "best-of-blocks")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("exact"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``query_id, rank, vec_id, score``: each query's k best rows. ``queries`` has the columns of ``vectors``."""
+    return search_index(build_index(vectors, scale, id_col, vector_col), queries, k, scale, id_col, vector_col)
+
+
 #: All rows whose id is divisible by 20 against all rows, in DuckDB's SQL.
 SQL = f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS c FROM embeddings
