@@ -349,6 +349,68 @@ def test_html_cases(spark):
     assert html_text.extract(df.limit(0), model).count() == 0
 
 
+def test_hard_pages_take_linear_time():
+    import time
+
+    hard = ["<a " * 1_000_000, "<div>" * 200_000 + "x" + "</div>" * 200_000, "<ul>" * 100_000 + "<p>x</p>" * 100_000, "<select>" * 100_000, "<a b=\"x' " * 200_000, "<script " * 200_000]
+    for source in hard:
+        start = time.perf_counter()
+        page = html_tree.parse(source)
+        assert sum(len(x) for x in html_tree.feature_chunks([page], {"a": 0})) == len(page.tags)
+        assert time.perf_counter() - start < 5, source[:20]
+
+
+@pytest.mark.parametrize(
+    ("source", "runs"),
+    [
+        ("<a title=it's>x</a> rest", ["x rest"]),
+        ("<p title='a > b' class=x>t</p>u", ["t", "u"]),
+        ("<p>a<b>b</b> 1 < 2 <3 &#8217;&eacute;&nbsp;x</p>", ["ab 1 < 2 <3 \u2019\u00e9 x"]),
+        ("<p>AT&<b>amp;T</b></p>", ["AT&amp;T"]),
+        ("<math>x<mi>y</mi></math> <object>fall</object><noscript>back</noscript>", ["xy fallback"]),
+        ("<p>kept</p><p class='cut", ["kept"]),
+        ("<ul><li>a<li>b</ul><script>x</script><!-- c --><style>y", ["a", "b"]),
+    ],
+)
+def test_markup_is_read_as_browsers_do(source, runs):
+    assert [r for _, r, _ in html_tree.parse(source).runs] == runs
+
+
+def test_marks_mean_nothing_on_pages():
+    page = html_tree.parse("<article><p>text</p><div class=comments><p>said</p></div></article><div data-main>more</div>")
+    known = html_text.labels(page)
+    assert [r for k, r, _ in page.runs if known[k]] == ["text"]
+
+
+def test_all_parts_of_a_name_are_tokens():
+    assert len(html_tree.attribute_tokens(f'class="{" ".join(f"n{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))}"')[0]) == 60
+
+
+def test_features_do_not_depend_on_chunks():
+    pages = [html_tree.parse(PAGE), html_tree.parse(""), html_tree.parse("<div class=sidebar><p>a</p></div>")]
+    vocabulary = {"sidebar": 0, "x": 1}
+    whole = html_tree.features(pages, vocabulary)
+    assert (np.concatenate(list(html_tree.feature_chunks(pages, vocabulary, 1))) == whole).all() and len(whole) == sum(len(p.tags) for p in pages)
+
+
+def test_samples_are_the_same_in_every_run(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(html_text, "fit", lambda pages: seen.append(pages))
+    monkeypatch.setattr(html_text, "SAMPLE", 5)
+    pages = spark.createDataFrame([(k % 3, f"<p>{k // 2}") for k in range(40)] + [(None, None)], "page_id long, html string")
+    html_text.train(pages)
+    html_text.train(pages.repartition(7))
+    assert len(seen[0]) == 5 and seen[0] == seen[1]
+    taken = []
+    monkeypatch.setattr(langid, "fit", lambda texts, labels: taken.append((texts, labels)))
+    monkeypatch.setattr(langid, "SAMPLE", 2)
+    rows = [(1, f"text {k} of {k % 90}", f"l{k % 90:02}", "a", 1) for k in range(400)] + [(1, "same", "zz", "a", 1)] * 50
+    langid.train(docs(spark, rows))
+    langid.train(docs(spark, rows).repartition(5))
+    # every language is learned, the 91st too, and one of equal rows
+    assert len(set(taken[0][1])) == 91 and taken[0][1].count("zz") == 1 and taken[0] == taken[1]
+
+
 def test_decoding_never_keeps_under_a_dropped_node():
     rng = np.random.default_rng(6)
     page = html_tree.parse("<div><section><p>a</p><p>b</p></section><ul><li>c<li>d</ul></div><div><p>e</div>")
@@ -369,7 +431,7 @@ def test_layouts_are_learned():
     model = html_text.fit(train)
     good = total = 0
     for _ in range(60):
-        page = html_tree.parse(html_text.Layout(rng, vocabulary).page(blocks(int(rng.integers(2, 8)))))
+        page = html_tree.parse(html_text.Layout(rng, vocabulary).page(blocks(int(rng.integers(2, 8)))), html_text.MARK)
         known = html_text.labels(page)
         kept = html_text.decode(page, model.trees.score(html_tree.features([page], model.vocabulary)).tolist())
         for node, run, _ in page.runs:

@@ -129,7 +129,14 @@ def test_pages_give_their_articles(spark, sf01):
         blocks = re.split(r"<(?:/?(?:p|h1|h2|ul|li|div))(?:\s[^>]*)?>", inner)
         return "\n".join(b for b in (" ".join(unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " "))).split()) for x in blocks) if b)
 
-    sources = {r["page_id"]: r["html"] for r in table(spark, sf01, "pages").collect()}
+    from tidemill.llm import html_text
+
+    every = table(spark, sf01, "pages")
+    sources = {r["page_id"]: r["html"] for r in every.collect()}
+    # learned from every second page, so that the others are new to the model
+    model = html_text.train(every.where("page_id % 2 = 0"))
+    new = {r["page_id"]: r["text"] for r in html_text.extract(every.where("page_id % 2 = 1"), model).collect()}
+    assert len(new) > 100 and np.mean([t == article(sources[p]) for p, t in new.items()]) > 0.98
     got = {r["page_id"]: r for r in queries.op10_html(spark, sf01).collect()}
     assert set(got) == set(sources)
     assert np.mean([got[p]["text"] == article(s) for p, s in sources.items()]) > 0.98

@@ -6,13 +6,17 @@ give the chance that a node is, or holds, main text. Decoding picks the most lik
 everything under a dropped node is dropped, so an ancestor and a descendant never contradict each other. The text runs
 of kept nodes are joined in page order.
 
-Training needs no labels from outside. A bounded sample of pages (``SAMPLE``, by a digest of the page id) with one
-``article`` or ``main`` element gives labelled trees: what is inside it, apart from menus, asides, forms and footers,
-is main text. The same texts are then wrapped in random layouts that lack such elements, or hold comments, notices,
-adverts, share bars and forms beside and inside the text, with their labels known. Trees are trained on both.
+Training needs no labels from outside. A bounded sample of pages (``SAMPLE``, the first in the order of a digest of
+id and html, so the same in every run) with one ``article`` or ``main`` element gives labelled trees: what is inside
+it is main text, apart from menus, asides, forms and footers, and apart from what its own names call comments,
+adverts, share bars and the like. The same texts are then wrapped in random layouts that lack such elements, or hold
+comments, notices, adverts, share bars and forms beside and inside the text, with their labels known. Trees are
+trained on a bounded sample of the nodes of both (``NODES``), with every attribute token that ``LEAST_PAGES`` of the
+training pages hold. Only the made layouts carry the attribute that marks main text; on pages it means nothing.
 
 Defined results: null or empty html, or a page without main text, gives an empty text; repeated rows each give a row;
-an empty table gives no rows; pages of any length are read whole; extra columns are ignored.
+an empty table gives no rows; pages of any length are read whole, in time that grows with their length, and a large
+page's nodes are scored some at a time; a tag that the page's end cuts off is dropped; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,19 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.html_tree import Page, features, parse
+from tidemill.llm.html_tree import Page, feature_chunks, parse
 
-#: Pages of the training sample, characters of html at most for a sampled page, random layouts made of their texts.
-SAMPLE, SAMPLE_CHARS, LAYOUTS = 400, 20_000, 400
+#: Pages of the training sample, random layouts made of their texts, nodes (labelled rows) that trees are trained on.
+SAMPLE, LAYOUTS, NODES = 400, 400, 80_000
 #: Main texts of fewer characters count so many times.
 SHORT, SHORT_TIMES = 250, 4
-VOCABULARY = 110
+#: Training pages that hold a token of the vocabulary, at least.
+LEAST_PAGES = 8
+MARK = "data-main"
 #: Trees, their depth, learning rate, bins of a feature, rows of a leaf, penalty, share of the features that a tree may use.
 TREES, LEVELS, RATE, BINS, LEAST_ROWS, SHRINK, SHARE, SEED = 90, 4, 0.3, 24, 6, 1.0, 0.2, 5
-#: Nodes whose features are computed together.
+#: Nodes of small pages whose features are computed together.
 CHUNK_NODES = 6000
 
 NOT_MAIN = {"nav", "aside", "footer", "form"}
+#: Words in the names of elements that stand inside an article and are none of its text.
+NOT_MAIN_NAMES = frozenset("comment comments reply replies responses discussion disqus advert advertisement ads sponsor sponsored promo newsletter subscribe signup share sharing related sidebar cookie consent".split())
 
 
 class Trees:
@@ -138,7 +146,7 @@ def labels(page: Page) -> list[bool] | None:
         own = [False] * n
         for k in range(roots[0], page.end[roots[0]]):
             inside = k == roots[0] or own[page.parent[k]]
-            own[k] = inside and page.tags[k] not in NOT_MAIN
+            own[k] = inside and page.tags[k] not in NOT_MAIN and (k == roots[0] or NOT_MAIN_NAMES.isdisjoint(page.tokens[k]))
         own = [o and (k in with_text or k == roots[0]) for k, o in enumerate(own)]
     out = [bool(o) and k in with_text for k, o in enumerate(own)]
     for k in range(n - 1, 0, -1):
@@ -220,7 +228,7 @@ class Layout:
         for _ in range(int(self.rng.integers(0, 3))):
             at = int(self.rng.integers(len(words)))
             words[at] = self.pick((f"<b>{words[at]}</b>", f'<a href="#">{words[at]}</a>', f"<em>{words[at]}</em>"))
-        inner, mark = " ".join(words), " data-main"
+        inner, mark = " ".join(words), f" {MARK}"
         if k == 0 and self.chance(0.6):
             return f"<h1{mark}>{inner}</h1>" if self.chance(0.7) else f"<header><h1{mark}>{inner}</h1></header>"
         how = self.rng.random()
@@ -273,16 +281,23 @@ def fit(pages: list[str], seed: int = SEED) -> Model:
         words = " ".join(run for _, run, _ in page.runs).split()[:400]
         most = int(rng.integers(3, 12)) if rng.random() < 0.25 else 120  # not all blocks are long
         blocks = [" ".join(run.split()[:most]) for node, run, _ in page.runs if known[node]]
-        made = parse(Layout(rng, words).page(blocks[: int(rng.integers(1, 10))] or ["word"]))
+        made = parse(Layout(rng, words).page(blocks[: int(rng.integers(1, 10))] or ["word"]), MARK)
         trees.append((made, labels(made)))
     if not trees:
-        made = [parse(Layout(rng, "some words to fill a page with text".split()).page(["Some words, and more of them. " * 3] * 4)) for _ in range(50)]
+        made = [parse(Layout(rng, "some words to fill a page with text".split()).page(["Some words, and more of them. " * 3] * 4), MARK) for _ in range(50)]
         trees = [(p, labels(p)) for p in made]
     seen = Counter(t for page, _ in trees for t in {t for ts in page.tokens for t in ts})
-    vocabulary = {t: k for k, (t, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
-    x = features([p for p, _ in trees], vocabulary)
-    y = np.array([v for _, known in trees for v in known], dtype=float)
-    return Model(vocabulary, Trees().fit(x, y))
+    vocabulary = {t: k for k, t in enumerate(sorted(t for t, n in seen.items() if n >= LEAST_PAGES))}
+    share = min(1.0, NODES / max(1, sum(len(p.tags) for p, _ in trees)))
+    xs, ys = [], []
+    for page, known in trees:
+        at = 0
+        for x in feature_chunks([page], vocabulary):
+            y, taken = np.array(known[at : at + len(x)], dtype=float), rng.random(len(x)) < share
+            at += len(x)
+            xs.append(x[taken])
+            ys.append(y[taken])
+    return Model(vocabulary, Trees().fit(np.concatenate(xs), np.concatenate(ys)))
 
 
 def main_texts(model: Model, sources: list[str | None]) -> list[str]:
@@ -291,7 +306,7 @@ def main_texts(model: Model, sources: list[str | None]) -> list[str]:
     part: list[Page] = []
 
     def run() -> None:
-        odds = model.trees.score(features(part, model.vocabulary)).tolist()
+        odds = [o for x in feature_chunks(part, model.vocabulary) for o in model.trees.score(x).tolist()]
         at = 0
         for page in part:
             kept = decode(page, odds[at : at + len(page.tags)])
@@ -309,12 +324,13 @@ def main_texts(model: Model, sources: list[str | None]) -> list[str]:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Model:
-    """Train on a bounded sample of pages, taken by a digest of their id."""
-    n = pages.count()
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    rows = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) <= SAMPLE_CHARS) & (draw < min(1.0, SAMPLE / max(n, 1)))).select(html_col)
-    # about SAMPLE rows; the limit only guards against many rows that share an id
-    return fit(sorted(r[0] for r in rows.limit(2 * SAMPLE + 100).collect()))
+    """Train on a bounded sample of pages, the first in the order of a digest of id and html."""
+    known = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).cast("string").alias("h"), F.xxhash64(F.col(id_col).cast("string"), html_col).alias("d"))
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first")).first()
+    # about twice the pages are let through, so that few are sorted; the first always is. Of equal rows one is taken
+    draw = F.pmod("d", F.lit(1_000_003)) / F.lit(1_000_003.0)
+    drawn = known.where((draw < (2.0 * SAMPLE + 50) / max(size["n"], 1)) | (F.col("d") == size["first"])).dropDuplicates(["d"])
+    return fit([r["h"] for r in drawn.orderBy("d").limit(SAMPLE).collect()])
 
 
 def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Fixed values of the HTML standard: elements that start a block, elements without text of the page, elements without end tag.
+#: Fixed values of the HTML standard: elements that start a block, elements whose content is never shown as text of the
+#: page or is a form's, elements whose content is no markup.
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 header footer nav aside ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset blockquote pre figure figcaption address details summary hgroup menu dialog".split()
 )
-SKIPPED = frozenset("script style noscript template svg math iframe object title textarea select button head canvas audio video map".split())
-RAW = frozenset("script style textarea title noscript iframe".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CLOSES_P = BLOCKS - {"html", "body"} | {"hr"}
+SKIPPED = frozenset("script style template iframe title textarea select button head".split())
+RAW = frozenset("script style textarea title iframe".split())
+CLOSES_P = BLOCKS - {"html", "body"}
+HOLDS_P = ("td", "th", "li", "div", "section", "article", "main", "aside", "blockquote", "table")
 #: An element, the open elements that its start tag ends, and the elements that this does not reach beyond.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -25,8 +27,12 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
 }
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: What follows "<" in a start or end tag: its name, then attributes up to ">". An attribute's name ends at white space, "/",
+#: ">" or "="; its value is quoted, or ends at white space or ">". All repeats are possessive, so a tag is read once.
+NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+VALUE = r"[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"([^\"]*+)\"|'([^']*+)'|(?![\"'])([^ \t\n\f\r>]*+))"
+TAG = re.compile(rf"(/?)([A-Za-z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|{NAME}(?:{VALUE})?+)*+)>")
+ATTRIBUTE = re.compile(rf"({NAME})(?:{VALUE})?+")
 WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?]")
 NAMED = ("class", "id", "role", "itemprop", "aria-label")
@@ -45,26 +51,32 @@ class Page:
         self.runs: list[tuple[int, str, int]] = []
 
 
-def attribute_tokens(raw: str) -> tuple[tuple[str, ...], bool]:
-    """Lower-case word parts of the naming attributes, and whether the element is marked as main text (training pages only)."""
+def attribute_tokens(raw: str, mark: str | None = None) -> tuple[tuple[str, ...], bool]:
+    """Lower-case word parts of the naming attributes, and whether the element has the attribute ``mark``."""
     if not raw or raw.isspace():
         return (), False
     found, marked = [], False
     for name, a, b, c in ATTRIBUTE.findall(raw):
         name = name.lower()
         if name in NAMED:
-            found += [w.lower() for w in WORD_PARTS.findall(a or b or c)][:12]
-        marked |= name == "data-main"
+            found += [w.lower() for w in WORD_PARTS.findall(a or b or c)]
+        marked |= name == mark
     return tuple(dict.fromkeys(found)), marked
 
 
-def parse(source: str) -> Page:
-    """A tolerant parse: unknown end tags are ignored, missing ones are implied."""
+def parse(source: str, mark: str | None = None) -> Page:
+    """A tolerant parse in one forward pass: unknown end tags are ignored, missing ones are implied.
+
+    A tag that the page's end cuts off is dropped with what follows, as browsers do. ``mark``: an attribute of main
+    text, for made training pages.
+    """
     page = Page()
     stack: list[int] = []
     counts: list[int] = []
     last_child: list[int] = []
     text: list[str] = []
+    open_at: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag
+    missing: set[str] = set()  # end tags that do not come any more
     links = 0
     in_link = False
 
@@ -84,12 +96,13 @@ def parse(source: str) -> Page:
         if stack:
             counts[up] += 1
             last_child[up] = node
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append(node)
 
     def flush() -> None:
         nonlocal links
         if text:
-            run = " ".join(html.unescape("".join(text)).split())
+            run = " ".join("".join(text).split())
             if run:
                 page.runs.append((stack[-1], run, min(links, len(run))))
             text.clear()
@@ -97,73 +110,88 @@ def parse(source: str) -> Page:
 
     def close_to(size: int) -> None:
         while len(stack) > size:
-            page.end[stack.pop()] = len(page.tags)
+            node = stack.pop()
+            open_at[page.tags[node]].pop()
+            page.end[node] = len(page.tags)
+
+    def innermost(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
-    def close(names: set[str], within: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = page.tags[stack[k]]
-            if tag in names:
-                close_to(k)
-                return
-            if tag in within:
-                return
+    def close(names, within) -> None:
+        """End the innermost of ``names``, unless one of ``within`` is inside it."""
+        place = innermost(names)
+        if place and place > innermost(within):
+            close_to(place)
+
+    def put(piece: str) -> None:
+        text.append(html.unescape(piece) if "&" in piece else piece)
 
     start("html", (), False)
     at, n = 0, len(source)
     while at < n:
-        m = TOKEN.search(source, at)
-        if m is None:
-            text.append(source[at:])
+        here = source.find("<", at)
+        if here < 0:
+            put(source[at:])
             break
-        if m.start() > at:
-            text.append(source[at : m.start()])
+        if here > at:
+            put(source[at:here])
             if in_link:
-                links += m.start() - at
-        at = m.end()
-        if m[2] is None:
+                links += here - at
+        after = source[here + 1 : here + 2]
+        if after in ("!", "?"):
+            comment = source.startswith("<!--", here)
+            end = source.find("-->" if comment else ">", here + (2 if comment else 1))
+            at = n if end < 0 else end + (3 if comment else 1)
+            continue
+        letter = source[here + 2 : here + 3] if after == "/" else after
+        if not (letter.isascii() and letter.isalpha()):
+            text.append("<")
+            at = here + 1
             continue
+        m = TAG.match(source, here + 1)
+        if m is None:
+            break
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
             if tag == "a":
                 in_link = False
-            elif tag in BLOCKS and tag not in ("html", "body"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if page.tags[stack[k]] == tag:
-                        flush()
-                        close_to(k)
-                        in_link = False
-                        break
+            elif tag in BLOCKS and tag not in ("html", "body") and open_at.get(tag):
+                flush()
+                close_to(open_at[tag][-1])
+                in_link = False
             continue
         if tag in SKIPPED:
             if m[3].endswith("/") and tag not in RAW:
                 continue
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+            end = None
+            if tag not in missing:
+                end = re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.I).search(source, at)
             if end is not None:
-                at = end.end()
-            elif tag in RAW:
-                at = n
+                at = source.find(">", end.end()) + 1 or n
+            else:
+                missing.add(tag)
+                if tag in RAW:
+                    at = n
             text.append(" ")
             continue
         if tag == "a":
             in_link = True
-        elif tag in ("br", "hr", "img", "wbr"):
-            if tag != "wbr":
-                text.append(" ")
-            if tag == "hr":
-                flush()
-                close({"p"}, set())
+        elif tag in ("br", "img"):
+            text.append(" ")
+        elif tag == "hr":
+            flush()
+            close(("p",), HOLDS_P)
         elif tag == "input":
             page.inputs[stack[-1]] += 1
-        elif tag in ("html", "body"):
-            continue
-        elif tag in BLOCKS:
+        elif tag in BLOCKS and tag not in ("html", "body"):
             flush()
             in_link = False
             if tag in CLOSES_P:
-                close({"p"}, {"td", "th", "li", "div", "section", "article", "main", "aside", "blockquote", "table"})
+                close(("p",), HOLDS_P)
             if tag in ENDS:
                 close(*ENDS[tag])
-            start(tag, *attribute_tokens(m[3]))
+            start(tag, *attribute_tokens(m[3], mark))
     flush()
     close_to(0)
     return page
@@ -177,9 +205,13 @@ NUMBERS = (
 ).split()
 
 
-def features(pages: list[Page], vocabulary: dict[str, int]) -> np.ndarray:
-    """Feature rows of all nodes of the pages, page after page."""
-    sizes = np.array([len(p.tags) for p in pages])
+#: Cells of a feature matrix that is made at a time.
+CELLS = 3_000_000
+
+
+def feature_chunks(pages: list[Page], vocabulary: dict[str, int], cells: int = CELLS) -> Iterator[np.ndarray]:
+    """Feature rows of all nodes of the pages, page after page, some nodes at a time however large a page is."""
+    sizes = np.array([len(p.tags) for p in pages], dtype=np.int64)
     first = np.cumsum(sizes) - sizes
     n = int(sizes.sum())
     shift = np.repeat(first, sizes)
@@ -188,7 +220,7 @@ def features(pages: list[Page], vocabulary: dict[str, int]) -> np.ndarray:
     def joined(name: str) -> np.ndarray:
         return np.fromiter((v for p in pages for v in getattr(p, name)), dtype=np.int64, count=n)
 
-    parent, previous, depth = joined("parent"), joined("previous"), joined("depth")
+    parent, previous = joined("parent"), joined("previous")
     end = joined("end") + shift
     up = np.where(parent >= 0, parent + shift, np.arange(n))
     before_me = np.where(previous >= 0, previous + shift, -1)
@@ -207,8 +239,8 @@ def features(pages: list[Page], vocabulary: dict[str, int]) -> np.ndarray:
     own[:, 5] = joined("inputs")
     sums = np.concatenate([np.zeros((1, 6)), np.cumsum(own, axis=0)])
     below = sums[end] - sums[:-1]
-    whole = below[first][page_of]
-    before = sums[:-1] - sums[first][page_of]
+    whole = below[first][page_of] if n else below
+    before = sums[:-1] - sums[first][page_of] if n else below
     tag = np.fromiter((_TAG.get(t, len(TAGS)) for p in pages for t in p.tags), dtype=np.int64, count=n)
     siblings = np.bincount(up, minlength=n)[up]
     key, inverse, alike = np.unique(up * 64 + tag, return_inverse=True, return_counts=True)
@@ -217,37 +249,53 @@ def features(pages: list[Page], vocabulary: dict[str, int]) -> np.ndarray:
     def of(where: np.ndarray, values: np.ndarray) -> np.ndarray:
         return np.where(where >= 0, values[where], 0)
 
-    out = np.zeros((n, len(NUMBERS) + len(TAGS) + 1 + 2 * (len(vocabulary) + len(TAGS) + 1)), dtype=np.float32)
     log = np.log1p
     columns = (
-        depth, joined("place"), siblings, alike[inverse], np.bincount(up[parent >= 0], minlength=n),
+        joined("depth"), joined("place"), siblings, alike[inverse], np.bincount(up[parent >= 0], minlength=n),
         log(own[:, 0]), log(own[:, 1]), own[:, 2] / np.maximum(own[:, 0], 1), own[:, 3] / np.maximum(own[:, 1], 1), own[:, 0] / np.maximum(own[:, 1], 1),
         log(chars), links, (end - np.arange(n)) / (chars + 10), below[:, 3] / np.maximum(below[:, 1], 1), chars / np.maximum(whole[:, 0], 1), before[:, 0] / np.maximum(whole[:, 0], 1), below[:, 5],
         log(chars[up]), links[up], chars / np.maximum(chars[up], 1), log(of(before_me, chars)), of(before_me, links), log(of(after_me, chars)), of(after_me, links), own[:, 4],
     )
-    for k, c in enumerate(columns):
-        out[:, k] = c
-    base = len(NUMBERS)
-    out[np.arange(n), base + tag] = 1
-    # attribute tokens of the node itself, then tags and tokens of all nodes above it
-    mine, above = base + len(TAGS) + 1, base + len(TAGS) + 1 + len(vocabulary)
-    row, column = [], []
+    # sets of tokens and tags as bits of one number: the node's own tokens, then tokens and tags of all nodes above it
+    n_tokens, n_tags = len(vocabulary), len(TAGS) + 1
+    mine, above = [0] * n, [0] * n
     for p, f in zip(pages, first.tolist(), strict=True):
-        for k, tokens in enumerate(p.tokens):
+        for k, (tokens, parent_k) in enumerate(zip(p.tokens, p.parent, strict=True)):
+            bits = 0
             for t in tokens:
                 c = vocabulary.get(t)
                 if c is not None:
-                    row.append(f + k)
-                    column.append(c)
-    out[row, mine + np.array(column, dtype=np.int64)] = 1
-    tokens_end = above + len(vocabulary)
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        k = np.flatnonzero(depth == d)
-        u = up[k]
-        out[k, above:tokens_end] = np.maximum(out[u, above:tokens_end], out[u, mine:above])
-        out[k, tokens_end:] = out[u, tokens_end:]
-        out[k, tokens_end + tag[u]] = 1
-    return out
+                    bits |= 1 << c
+            mine[f + k] = bits
+            if parent_k >= 0:
+                u = f + parent_k
+                above[f + k] = above[u] | mine[u] | 1 << (n_tokens + int(tag[u]))
+    base = len(NUMBERS)
+    width = base + n_tags + n_tokens + n_tokens + n_tags
+    bytes_mine, bytes_above = (n_tokens + 7) // 8, (n_tokens + n_tags + 7) // 8
+
+    def unpacked(numbers: list[int], n_bytes: int, n_bits: int) -> np.ndarray:
+        packed = np.frombuffer(b"".join(v.to_bytes(n_bytes, "little") for v in numbers), dtype=np.uint8)
+        return np.unpackbits(packed.reshape(len(numbers), n_bytes), axis=1, bitorder="little")[:, :n_bits]
+
+    step = max(1, cells // width)
+    for lo in range(0, n, step):
+        hi = min(n, lo + step)
+        out = np.zeros((hi - lo, width), dtype=np.float32)
+        for k, c in enumerate(columns):
+            out[:, k] = c[lo:hi]
+        out[np.arange(hi - lo), base + tag[lo:hi]] = 1
+        at = base + n_tags
+        if n_tokens:
+            out[:, at : at + n_tokens] = unpacked(mine[lo:hi], bytes_mine, n_tokens)
+        out[:, at + n_tokens :] = unpacked(above[lo:hi], bytes_above, n_tokens + n_tags)
+        yield out
+
+
+def features(pages: list[Page], vocabulary: dict[str, int]) -> np.ndarray:
+    """All feature rows together."""
+    parts = list(feature_chunks(pages, vocabulary))
+    return np.concatenate(parts) if parts else np.zeros((0, 0), dtype=np.float32)
 
 
 _TAG = {t: k for k, t in enumerate(TAGS)}

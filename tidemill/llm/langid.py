@@ -5,12 +5,15 @@ the window (max pooling), and a softmax layer gives a probability for each langu
 mean over all its windows, weighted by their bytes. Windows overlap by the widest filter less one byte, so every
 position of the whole text is seen, and equal texts get equal results.
 
-Training reads a bounded sample of labelled rows: about ``SAMPLE`` rows for each language, taken by a digest of the
-id, ``SAMPLE_CHARS`` characters of each. Only text and label are used. Rows whose crc32(id) mod ``FOLDS`` is 0 are
-held out. The network (a few thousand numbers) goes to the tasks, which classify batches of windows.
+Training reads a bounded sample of labelled rows: at most ``SAMPLE`` rows of each language, fewer where there are so
+many languages that these would be more than ``SAMPLE_ROWS``, but one at least. Rows are taken in the order of a
+digest of id and text, so the sample is the same in every run. Their whole texts are read, and every language found
+is learned. Only text and label are used. Rows whose crc32(id) mod ``FOLDS`` is 0 are held out. The network (a few
+thousand numbers) goes to the tasks, which classify batches of windows.
 
 Defined results: a null text, or one without a letter, gets ``und`` with score 0; without labelled rows every text is
-``und``; repeated rows each get a row; an empty table gives no rows; extra columns are ignored.
+``und``; repeated rows each get a row; an empty table gives no rows; a label that is blank is one like others; other
+columns of the input pass through, ``lang_pred`` and ``score`` are replaced where the input has them.
 """
 
 from __future__ import annotations
@@ -20,15 +23,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tidemill.llm.names import unused, without
+from tidemill.session import stage
+
 FOLDS = 5
-#: Rows of a language in the training sample, characters of a row, and languages learned (the most frequent ones).
-SAMPLE, SAMPLE_CHARS, MOST_LANGUAGES = 600, 1536, 64
+#: Rows of a language in the training sample, and rows of all languages.
+SAMPLE, SAMPLE_ROWS = 500, 50_000
 WINDOW, WIDTHS, FILTERS, DIMS = 512, (2, 3, 4, 5), 8, 8
 EPOCHS, BATCH, RATE, SEED = 4, 32, 0.004, 11
+#: Windows seen in training, about: with more of them there are fewer epochs, one at least.
+SEEN = 40_000
+#: Languages whose shares are sent to every task.
+BROADCAST_LANGUAGES = 100_000
 #: Windows that are classified together.
 CHUNK = 32
 UNKNOWN = "und"
@@ -115,14 +125,15 @@ def fit(texts: list[str], labels: list[str], seed: int = SEED) -> Net | None:
         w, _ = windows_of(text.encode("utf-8"))
         parts.append(w)
         ys.append(np.full(len(w), languages.index(label)))
-    x, y = np.concatenate(parts).astype(np.int64), np.concatenate(ys)
+    x, y = np.concatenate(parts), np.concatenate(ys)
+    epochs = max(1, min(EPOCHS, round(SEEN / len(x))))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    step, steps = 0, EPOCHS * -(-len(x) // BATCH)
-    for _ in range(EPOCHS):
+    step, steps = 0, epochs * -(-len(x) // BATCH)
+    for _ in range(epochs):
         order = rng.permutation(len(x))
         for lo in range(0, len(x), BATCH):
             rows = order[lo : lo + BATCH]
-            batch = x[rows]
+            batch = x[rows].astype(np.int64)
             keep = np.where(rng.random(len(rows)) < 0.5, WINDOW, rng.integers(16, WINDOW, len(rows)))
             batch[np.arange(WINDOW)[None, :] >= keep[:, None]] = PAD
             step += 1
@@ -169,24 +180,28 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Net | None:
     """Train on a bounded sample of the labelled rows that are not held out."""
-    labelled = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)))
-    counts = labelled.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MOST_LANGUAGES).collect()
-    if not counts:
+    kept = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)))
+    labelled = kept.select(F.col(label_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"))
+    counts = stage(labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("first")), "labels")  # a row for each language, read twice
+    n = counts.count()
+    if not n:
         return None
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r[label_col], min(1.0, SAMPLE / r["count"]))))[F.col(label_col)]
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    start = 1 + F.pmod(F.xxhash64(F.col(text_col)), F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(1)))
-    taken = labelled.where(draw < share).select(F.substring(text_col, start.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"), F.col(label_col).alias("l"))
-    # about SAMPLE rows a language; the limit only guards against many rows that share an id
-    rows = sorted((r["l"], r["t"]) for r in taken.limit(2 * SAMPLE * len(counts) + 100).collect())
+    most = max(1, min(SAMPLE, SAMPLE_ROWS // n))
+    shares = counts.select("l", "first", (F.lit(2.0 * most + 50) / F.col("n")).alias("share"))
+    # about twice the rows are let through, so that the ranking meets few; the first row of a language always is
+    draw = F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0)
+    drawn = labelled.join(F.broadcast(shares) if n <= BROADCAST_LANGUAGES else shares, "l").where((draw < F.col("share")) | (F.col("h") == F.col("first")))
+    # of equal rows one is taken
+    taken = drawn.dropDuplicates(["l", "h"]).withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("place") <= most)
+    rows = sorted((r["l"], r["t"]) for r in taken.select("l", "t").collect())
     return fit([t for _, t in rows], [lang for lang, _ in rows])
 
 
 def identify(docs: DataFrame, net: Net | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """The input with ``lang_pred`` and ``score`` (replaced where the input has them), without the text where that is not wanted."""
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.select(*without(docs, "lang_pred", "score"))
     others = [c for c in docs.columns if c != text_col or keep_text]
-    given = docs.select(*others, F.col(text_col).cast("string").alias("__text"))
+    given = docs.select(*others, F.col(text_col).cast("string").alias(*unused(docs, "whole_text")))
     schema = StructType([*(given.schema[c] for c in others), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
