@@ -143,6 +143,33 @@ def test_cache_is_used_and_appended_to(spark, tmp_path, monkeypatch):
     assert {str(r) for r in token_counts.count_tokens(docs(spark)).collect()} == first
 
 
+def test_default_cache_stays_between_runs(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE_FOLDER", f"tidemill/counts-{np.random.default_rng().integers(1 << 60)}")
+    first = keyed(token_counts.count_tokens(docs(spark)).collect())
+
+    def never(tokenizer):
+        raise AssertionError("a stored content is encoded again")
+
+    monkeypatch.setattr(token_counts, "_encode", never)
+    assert keyed(token_counts.count_tokens(docs(spark)).collect()) == first
+
+
+def test_hot_contents_count_like_others(spark, monkeypatch):
+    rows = [(k, "the same words" if k % 3 else f"words of {k}", "en", "a", 1) for k in range(300)]
+    want = keyed(token_counts.count_tokens(docs(spark, rows)).collect())
+    assert len(want) == 300
+    monkeypatch.setattr(token_counts, "HOT_SHARE", 2.0)
+    assert keyed(token_counts.count_tokens(docs(spark, rows)).collect()) == want
+
+
+def test_long_chunks_are_not_kept():
+    count = tokens.Counter(tokens.public_path("word_bpe_49k.json"))
+    lib = tokens.library(count.path)
+    texts = ["x" * 5000 + " short " + "y" * 70, "short x"]
+    assert count(texts) == count(texts) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert set(count.memo) == {b"short", b"x"}
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_counts_of_other_tokenizers(spark, name):
     path = tokens.public_path(name)
@@ -153,6 +180,19 @@ def test_counts_of_other_tokenizers(spark, name):
         assert got[d] == want
 
 
+def test_random_unicode_has_the_library_s_ids():
+    bpe, words = tokens.public_path("byte_bpe_50k.json"), tokens.public_path("word_bpe_49k.json")
+    rng = np.random.default_rng(21)
+    blocks = [(0x20, 0x7F), (0, 0x20), (0xA0, 0x250), (0x300, 0x370), (0x400, 0x460), (0x600, 0x700), (0x900, 0x980), (0x2000, 0x2070), (0x3040, 0x30FF), (0x4E00, 0x4F00), (0x1F300, 0x1F600), (0xFF00, 0xFF60)]
+    texts = []
+    for _ in range(1500):
+        a, b = zip(*(blocks[k] for k in rng.integers(0, len(blocks), int(rng.integers(1, 4)))))
+        pick = rng.integers(0, len(a), int(rng.integers(0, 40)))
+        texts.append("".join(chr(int(rng.integers(a[k], b[k]))) if rng.random() < 0.85 else " " for k in pick))
+    assert [list(tokens.byte_bpe(bpe)(t)) for t in texts] == [tokens.library(bpe).encode(t, add_special_tokens=False).ids for t in texts]
+    assert tokens.Counter(words)(texts) == [len(tokens.library(words).encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_odd_texts_have_the_library_s_ids():
     bpe, words = tokens.public_path("byte_bpe_50k.json"), tokens.public_path("word_bpe_49k.json")
     odd = ["a<|endoftext|>b  c\n\n d", "", " ", "x\u0085y  z", "Ünḯ ١٢٣ ½ ²x 😀‍👨", "it's we'll I'M\r\n\t x", " \n a\n\n\n b", "a\x1fb \x1c", "x <|startoftext|> Y<|ENDOFTEXT|>z ΣΑΣ İ", "e ́x"]

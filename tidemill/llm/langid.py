@@ -34,9 +34,9 @@ FOLDS = 5
 #: Rows of a language in the training sample, and rows of all languages.
 SAMPLE, SAMPLE_ROWS = 500, 50_000
 WINDOW, WIDTHS, FILTERS, DIMS = 512, (2, 3, 4, 5), 8, 8
-EPOCHS, BATCH, RATE, SEED = 4, 32, 0.004, 11
-#: Windows seen in training, about: with more of them there are fewer epochs, one at least.
-SEEN = 40_000
+BATCH, RATE, SEED = 32, 0.004, 11
+#: Windows seen in training, about: the more there are, the fewer epochs, from ``EPOCHS`` down to one.
+SEEN, EPOCHS = 40_000, 40
 #: Languages whose shares are sent to every task.
 BROADCAST_LANGUAGES = 100_000
 #: Windows that are classified together.

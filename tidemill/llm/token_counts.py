@@ -1,8 +1,10 @@
 """Token counts through a digest cache.
 
 A text's key is the digest of its normalised content together with the digest of the tokenizer's file. Counts
-are kept in a Parquet table by key. A run joins its keys to that table, encodes each distinct missing content
-once, appends the new counts, and joins the counts back to the documents.
+are kept in a Parquet table by key, in a folder that stays (``CACHE_FOLDER`` in the shared folder, by default). A run
+joins its keys to that table, encodes each distinct missing content once, appends the new counts, and joins the counts
+back to the documents. Contents that more than ``HOT_SHARE`` of the rows have are few by that rule, so their counts go
+to every task; only the others are shuffled.
 
 Normalisation never changes a count: runs of ASCII white space become one space where the tokenizer drops white
 space (see :func:`tidemill.llm.tokens.drops_white_space`); for other tokenizers the content stays as it is.
@@ -13,7 +15,6 @@ gives no rows; texts of any length are counted whole; extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +28,10 @@ LIMIT = 2048
 CACHE = "content binary, n_tokens long, version string"
 #: Missing keys that are sent to every task instead of shuffling the texts (32 bytes a key).
 BROADCAST_KEYS = 200_000
+#: Share of the rows from which a content is hot: at most 1 / HOT_SHARE contents are.
+HOT_SHARE = 0.001
+#: Folder of stored counts in the shared folder.
+CACHE_FOLDER = "tidemill/token-counts"
 #: Texts of about this many characters go to the encoder together.
 ENCODE_CHARS = 4_000_000
 
@@ -57,11 +62,11 @@ def _encode(tokenizer: str):
 
 
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_bytes, n_tokens, over_limit. ``cache``: folder of stored counts (default: a new one for this run)."""
+    """Per document: id, n_bytes, n_tokens, over_limit. ``cache``: folder of stored counts (default: the one in the shared folder)."""
     spark = docs.sparkSession
     tokenizer = tokenizer or public_path("word_bpe_49k.json")
     version = file_digest(tokenizer)
-    cache = cache or f"{shared_dir(spark)}/tidemill/token-counts-{uuid.uuid4().hex}"
+    cache = cache or f"{shared_dir(spark)}/{CACHE_FOLDER}"
     spark.createDataFrame([], CACHE).write.mode("ignore").partitionBy("version").parquet(cache)
 
     def stored() -> DataFrame:
@@ -69,7 +74,8 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
 
     text = F.col(text_col).cast("string")
     keyed = stage(docs.select(F.col(id_col), F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"), content_digest(text, tokenizer).alias("content")), "contents")
-    missing = stage(keyed.select("content").distinct().join(stored(), "content", "left_anti"), "missing")
+    times = stage(keyed.groupBy("content").agg(F.count(F.lit(1)).alias("rows")), "distinct")
+    missing = stage(times.select("content").join(stored(), "content", "left_anti"), "missing")
     n_missing = missing.count()
     if n_missing:
         texts = docs.select(content_digest(text, tokenizer).alias("content"), F.coalesce(text, F.lit("")).alias("whole"))
@@ -79,6 +85,10 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
             texts = texts.dropDuplicates(["content"]).join(missing, "content", "left_semi")
         encoded = texts.mapInArrow(_encode(tokenizer), "content binary, n_tokens long")
         encoded.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
-    # an append that was run twice holds a key twice
-    known = stored().groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(known, "content").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # an append that was run twice holds a key twice; keys of other runs stay behind
+    known = times.join(stored().groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "content")
+    n_rows = times.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+    is_hot = F.col("rows") > HOT_SHARE * n_rows
+    hot = stage(known.where(is_hot).select("content", "n_tokens"), "hot-counts")
+    out = keyed.join(F.broadcast(hot), "content").unionByName(keyed.join(F.broadcast(hot.select("content")), "content", "left_anti").join(known.where(~is_hot).select("content", "n_tokens"), "content"))
+    return out.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -9,8 +9,8 @@ import os
 
 import numpy as np
 
-#: Distinct chunks that a worker's memo of token counts may hold before it starts anew.
-MEMO_CHUNKS = 1_000_000
+#: Distinct chunks that a worker's memo of token counts may hold before it starts anew, and bytes of a chunk in it.
+MEMO_CHUNKS, MEMO_BYTES = 500_000, 64
 
 
 def public_path(name: str) -> str:
@@ -102,11 +102,14 @@ class Counter:
         chunks = [t.encode("utf-8").split() for t in texts]
         if len(self.memo) > MEMO_CHUNKS:
             self.memo = {}
-        memo = self.memo
+        memo, long_ones = self.memo, {}
         new = list({c for cs in chunks for c in cs if c not in memo})
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
-            memo.update(zip(part, self._library([c.decode("utf-8") for c in part]), strict=True))
+            for chunk, n in zip(part, self._library([c.decode("utf-8") for c in part]), strict=True):
+                (memo if len(chunk) <= MEMO_BYTES else long_ones)[chunk] = n
+        if long_ones:
+            return [sum(memo[c] if c in memo else long_ones[c] for c in cs) for cs in chunks]
         return [sum(map(memo.__getitem__, cs)) for cs in chunks]
 
 
