@@ -25,6 +25,21 @@ def test_capitals_stay(spark):
     assert one(spark, "plain", text.to_latin(x)) == ("plain",)
 
 
+def test_capitals_of_every_letter(spark):
+    x = F.col("x")
+    cases = {"Ёлка ЁЛКА": "Yolka YOLKA", "Ер ЕР еее": "Yer YER yeyeye", "ЦЕХ Цех ацетон": "SEX Sex atseton", "Ўзбек ЎЗБЕК": "O'zbek O'ZBEK", "МакДональд": "MakDonald", "Юля Я": "Yulya Ya", None: None}
+    for given, want in cases.items():
+        assert one(spark, given, text.to_latin(x)) == (want,), given
+
+
+def test_language_by_script_then_words(spark):
+    x = F.col("x")
+    found = text.language(x, "ўқғҳ", ["керак", "билан"], ["нужен", "для"], {"uz_latin": ["kerak", "bilan", "va"], "en": ["the", "and", "we"]})
+    cases = {"Ҳайдовчи керак": "uz_cyrillic", "Нужен водитель для работы": "ru", "молоко": "uz_cyrillic", "we need the driver": "en", "haydovchi kerak": "uz_latin", "12345": "uz_latin", None: "uz_latin", "va the": "uz_latin"}
+    for given, want in cases.items():
+        assert one(spark, given, found) == (want,), given
+
+
 def test_keywords_have_a_left_boundary_only(spark):
     x = F.col("x")
     found = text.keywords(x, ["grant", "o'qish", "#ad", "qish"])
@@ -43,6 +58,20 @@ def test_phones(spark):
         "90 100 00 00": "",
         "https://t.me/+998901112233": "+998901112233",
         "id 901234567890": "",
+        "20 123 45 67": "+998201234567",
+        "97.798 67 22": "+998977986722",
+        "(97) 137-16-94": "+998971371694",
+        "+998 97 1371 694": "+998971371694",
+        "🔔99)208-65-53": "+998992086553",
+        "Telegram: +998 333378888": "+998333378888",
+        "4 000 000 so'm, 7 500 000 - 15 000 000": "",
+        "2026-09-19": "",
+        "920012700": "",
+        "buyurtma raqami 30 123 45 67": "",
+        "Tel: 30 123 45 67": "+998301234567",
+        "+998 30 123 45 67": "+998301234567",
+        "hotel 12 123 45 67": "",
+        "https://tashkent.hh.uz/vacancy/137865831": "",
     }
     for given, want in cases.items():
         assert one(spark, given, F.array_join(contacts.phones(x), ",")) == (want,), given
@@ -55,7 +84,11 @@ def test_accounts_links_and_masks(spark):
     assert one(spark, "see https://a.uz/x?y=1 or me@a.uz or @someone +998 90 123 45 67", contacts.mask(x)) == ("see [URL] or [EMAIL] or [USER] [PHONE]",)
     assert one(spark, "https://a.uz/x?utm_a=1&id=2&ref=3#top", contacts.clean_url(x, ["ref"])) == ("https://a.uz/x?id=2#top",)
     assert one(spark, "https://a.uz/apply", contacts.apply_score(x)) == (3,)
-    assert one(spark, "https://instagram.com/a", contacts.apply_score(x)) == (0,)
+    links = {"https://instagram.com/a": 0, "https://t.me/name/2559": 0, "https://t.me/+abc": 0, "https://linkedin.com/in/x": 0, "https://linkedin.com/jobs/1": 3, "https://forms.gle/x": 3, "https://a.uz/x": 1, "t.me/some_bot?start=1": 3, "https://hh.uz/vacancy/1": 3}
+    for given, want in links.items():
+        assert one(spark, given, contacts.apply_score(x)) == (want,), given
+    for words, want in {"Get the job.": 2, "havola": 2, "our CV form": 2, "Jobs": 0, "so'rov": 0, "linked": 0}.items():
+        assert one(spark, "https://a.uz/x", contacts.apply_score(x, F.lit(words))) == (want,), words
 
 
 def test_times(spark):

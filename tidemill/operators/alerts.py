@@ -10,29 +10,80 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tidemill.operators import search
+from tidemill.session import stage
 
 FILTERS = ("category", "profession", "region", "min_salary", "keyword")
 
 
+#: Letters of a keyword's longest word that jobs are looked up by; subscriptions that are sent to every task; parts of the jobs of a key beyond that.
+PREFIX, BROADCAST_SUBSCRIPTIONS, PARTS = 4, 200_000, 16
+
+
+def _subscription_key(asked: Column) -> Column:
+    """The one key that a subscription is found by: its most telling filter. Without any filter, a key that all jobs have."""
+    word = F.array_max(F.transform(asked, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    c, p, r, s = (F.col(f"s_{k}") for k in ("category", "profession", "region", "min_salary"))
+    return (
+        F.when(F.col("s_keyword").isNotNull(), F.concat(F.lit("w:"), F.substring(word, 1, PREFIX)))
+        .when(p.isNotNull(), F.concat(F.lit("p:"), p))
+        .when(c.isNotNull() & r.isNotNull(), F.concat(F.lit("cr:"), c, F.lit("|"), r))
+        .when(c.isNotNull(), F.concat(F.lit("c:"), c))
+        .when(r.isNotNull(), F.concat(F.lit("r:"), r))
+        .when(s.isNotNull(), F.concat(F.lit("s:"), _octave(s)))
+        .otherwise("all")
+    )
+
+
+def _octave(amount: Column) -> Column:
+    return F.floor(F.log2(F.greatest(amount.cast("double"), F.lit(1.0)))).cast("int").cast("string")
+
+
+def _job_keys() -> Column:
+    """All keys under which a job is looked for. A job pays enough for every octave below its own."""
+    prefixes = F.flatten(F.transform(F.filter("_tokens", lambda t: F.length(t) >= 2), lambda t: F.transform(F.sequence(F.lit(2), F.least(F.length(t), F.lit(PREFIX))), lambda n: F.concat(F.lit("w:"), t.substr(F.lit(1), n)))))
+    regions = F.array_compact(F.array(F.col("region"), F.when(F.col("is_remote"), search.REMOTE)))
+    octaves = F.when(F.col("_pay").isNotNull(), F.transform(F.sequence(F.lit(0), _octave(F.col("_pay")).cast("int")), lambda k: F.concat(F.lit("s:"), k.cast("string"))))
+    single = F.array_compact(F.array(F.lit("all"), F.concat(F.lit("p:"), F.col("profession")), F.concat(F.lit("c:"), F.col("category"))))
+    both = F.when(F.col("category").isNotNull(), F.transform(regions, lambda r: F.concat(F.lit("cr:"), F.col("category"), F.lit("|"), r)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(single, F.transform(regions, lambda r: F.concat(F.lit("r:"), r)), F.coalesce(both, none), F.coalesce(octaves, none), prefixes))
+
+
 def matches(jobs: DataFrame, subscriptions: DataFrame, users: DataFrame, now: Column, usd_rate: float) -> DataFrame:
     """(job, subscription, user) for every active subscription of a user who is not banned.
 
-    Subscriptions with a category meet jobs of that category only. The others have no equality to join on; they are
-    few and go to every task in one list when their number is checked, so that no pair is shuffled.
+    A subscription has one key, its most telling filter; a job has all keys under which one may look for it; they meet
+    by equality, and the other filters are tested on what meets. Jobs are split into words, and their pay is computed,
+    once. Subscriptions go to every task up to ``BROADCAST_SUBSCRIPTIONS`` of them, by count; beyond it both sides are
+    shuffled by key, the jobs of a key in ``PARTS`` parts.
     """
     live = subscriptions.where("is_active").join(users.where("not is_banned").select(F.col("id").alias("user_id")), "user_id", "left_semi")
     asked = live.select(F.col("id").alias("subscription_id"), "user_id", *(F.col(c).alias(f"s_{c}") for c in FILTERS))
-    open_jobs = jobs.where(search.is_open(now)).drop("user_id")
-    test = search.matches(now, usd_rate)
-    out = ["id", "published_at", "subscription_id", "user_id"]
-    with_category = open_jobs.join(asked.where("s_category is not null"), F.col("category") == F.col("s_category")).where(test).select(*out)
-    # a region, where it is set and not remote, is the next equality
-    by_region = asked.where("s_category is null and s_region is not null and s_region <> 'remote'")
-    with_region = open_jobs.join(by_region, F.col("region") == F.col("s_region")).where(test).select(*out)
-    remote = open_jobs.where("is_remote").withColumn("s_region", F.lit("remote")).join(asked.where("s_category is null and s_region = 'remote'"), "s_region").where(test).select(*out)
-    rest = asked.where("s_category is null and s_region is null").withColumn("_any", F.lit(1))
-    unbound = open_jobs.withColumn("_any", F.lit(1)).join(rest, "_any").where(test).select(*out)
-    return with_category.unionByName(with_region).unionByName(remote).unionByName(unbound)
+    asked = asked.withColumn("_asked", F.slice(search.words(F.col("s_keyword")), 1, search.MOST_WORDS))
+    # a keyword without a word finds nothing
+    asked = asked.where("s_keyword is null or size(_asked) > 0").withColumn("_key", _subscription_key(F.col("_asked")))
+    rate = F.when(F.col("currency") == "USD", F.lit(float(usd_rate))).otherwise(F.lit(1.0))
+    monthly = F.col("currency").isin("UZS", "USD") & (F.col("salary_period").isNull() | (F.col("salary_period") == "month"))
+    rows = jobs.where(search.is_open(now)).select(
+        "id", "published_at", "category", "profession", "region", F.coalesce("is_remote", F.lit(False)).alias("is_remote"),
+        F.when(monthly, F.greatest(F.col("salary_min") * rate, F.col("salary_max") * rate)).alias("_pay"), F.array_distinct(search.words(F.col("search_text"), 1)).alias("_tokens"),
+    )
+    looked_up = rows.withColumn("_key", F.explode(_job_keys()))
+    asked = stage(asked, "subscriptions")
+    if asked.count() <= BROADCAST_SUBSCRIPTIONS:
+        met = looked_up.join(F.broadcast(asked), "_key")
+    else:
+        parts = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        wanted = asked.select("_key").distinct()  # other keys of a job are not shuffled with it
+        met = looked_up.join(wanted, "_key", "left_semi").withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(parts, ["_key", "_part"])
+
+    def unset_or(name: str, test: Column) -> Column:
+        return F.col(f"s_{name}").isNull() | F.coalesce(test, F.lit(False))
+
+    region = F.when(F.col("s_region") == search.REMOTE, F.col("is_remote")).otherwise(F.col("region") == F.col("s_region"))
+    keyword = F.forall("_asked", lambda w: F.exists("_tokens", lambda t: t.startswith(w)))
+    good = unset_or("category", F.col("category") == F.col("s_category")) & unset_or("profession", F.col("profession") == F.col("s_profession")) & unset_or("region", region) & unset_or("min_salary", F.col("_pay") >= F.col("s_min_salary")) & unset_or("keyword", keyword)
+    return met.where(good).select("id", "published_at", "subscription_id", "user_id")
 
 
 def per_user(found: DataFrame, delivered: DataFrame | None = None) -> DataFrame:

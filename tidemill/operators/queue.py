@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.ranks import ranked
 from tidemill.operators.search import tier
+from tidemill.session import stage
 
 SENDABLE = ("queued", "retry")
 #: Months in a pay period, and currencies in dollars.
 PERIOD_TO_MONTH = {"hour": 176.0, "day": 22.0, "week": 52.0 / 12, "month": 1.0, "year": 1.0 / 12}
 EUR_IN_USD, RUB_PER_USD = 1.1, 90.0
+#: Rows of a small table (groups, folders, assets) that are sent to every task; with more of them the join shuffles.
+BROADCAST_GROUPS = 100_000
 
 
 def publish_order(mode: str = "newest") -> list[Column]:
@@ -66,7 +70,7 @@ def score(jobs: DataFrame, rules: DataFrame, usd_rate: float, high_pay: float, l
             )
         ).alias("v"),
     ).select("id", "v.field", "v.value")
-    hits = values.join(F.broadcast(rules), ["field", "value"])  # a rule list is written by hand
+    hits = values.join(F.broadcast(rules) if rules.count() <= BROADCAST_GROUPS else rules, ["field", "value"])
     best = hits.groupBy("id").agg(
         F.max(F.when(F.col("points") > 0, F.struct("points", "label"))).alias("high"),
         F.min(F.when(F.col("points") < 0, F.struct("points", "label"))).alias("low"),
@@ -88,21 +92,33 @@ def too_old(jobs: DataFrame, posts: DataFrame, now: Column, hours: dict[int, int
 
 
 def daily_cap(rows: DataFrame, at: str, zone: str, cap: int, order: list[str], group: list[str] | None = None) -> DataFrame:
-    """Rows with ``accepted``: the first ``cap`` of a group and local day. A ranked filter keeps at most ``cap`` rows of a task's group."""
-    day = F.to_date(F.from_utc_timestamp(F.col(at), zone))
-    w = Window.partitionBy(*(group or []), "local_day").orderBy(*order)
-    return rows.withColumn("local_day", day).withColumn("accepted", F.row_number().over(w) <= cap)
+    """Rows with ``accepted``: the first ``cap`` of a group and local day, in a unique ascending order.
+
+    The last accepted place of each group is found by a ranked filter, of which every task keeps ``cap`` rows of a group
+    before anything is shuffled; rows are then compared with it, so no task orders a whole group.
+    """
+    keys = [*(group or []), "local_day"]
+    timed = rows.withColumn("local_day", F.to_date(F.from_utc_timestamp(F.col(at), zone)))
+    first = timed.select(*keys, F.struct(*order).alias("_place")).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_place"))).where(F.col("_rank") <= cap)
+    last = first.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max("_place").alias("_last"))
+    last = stage(last, "cap-ends")  # a row for each group and day
+    if last.count() <= BROADCAST_GROUPS:
+        last = F.broadcast(last)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return timed.join(last, same).select(*timed.columns, (F.struct(*order) <= F.col("_last")).alias("accepted"))
 
 
 def slot_times(jobs: DataFrame, start: str, interval_s: int, quiet_from: int, quiet_to: int, mode: str = "newest") -> DataFrame:
     """Publication times: one each ``interval_s`` from ``start``, none in quiet hours (which may wrap midnight).
 
     Closed form: the n-th slot is n intervals of open time after the first one, and every open day has the same length.
-    Ranks come from the sort, so this is meant for a queue, which is short beside the archive.
+    Ranks come from sorted partitions and their counts, so no task holds the queue.
     """
     open_s = 86400 - (quiet_to - quiet_from) % 24 * 3600
-    w = Window.orderBy(*publish_order(mode))
-    ranked = jobs.where(F.col("status").isin(*SENDABLE)).withColumn("rank", F.row_number().over(w) - 1)
+    waiting = jobs.where(F.col("status").isin(*SENDABLE)).select("id", "priority_tier", "created_at", "next_retry_at")
+    ranked_jobs = ranked(waiting, publish_order(mode))
     # seconds of open time since the end of the last quiet period
     begin = F.unix_timestamp(F.lit(start).cast("timestamp"))
     day0 = begin - F.pmod(begin - quiet_to * 3600, F.lit(86400))
@@ -112,31 +128,39 @@ def slot_times(jobs: DataFrame, start: str, interval_s: int, quiet_from: int, qu
     left = F.floor((F.lit(open_s) - first + interval_s - 1) / interval_s)
     later = F.col("rank") - left
     if quiet_from == quiet_to:
-        return ranked.select("id", "rank", F.timestamp_seconds(begin + F.col("rank") * interval_s).alias("publish_at"))
+        return ranked_jobs.select("id", "rank", F.timestamp_seconds(begin + F.col("rank") * interval_s).alias("publish_at"))
     at = F.when(F.col("rank") < left, day0 + first + F.col("rank") * interval_s).otherwise(day0 + 86400 * (1 + F.floor(later / per_day)) + F.pmod(later, F.lit(per_day)) * interval_s)
-    return ranked.select("id", "rank", F.timestamp_seconds(at).alias("publish_at"))
+    return ranked_jobs.select("id", "rank", F.timestamp_seconds(at).alias("publish_at"))
 
 
 def spacing(rows: DataFrame, group: str, at: str, tie: str) -> DataFrame:
-    """Seconds since the row before in the same group."""
-    w = Window.partitionBy(group).orderBy(at, tie)
-    return rows.withColumn("gap_s", F.unix_timestamp(at) - F.unix_timestamp(F.lag(at).over(w)))
+    """Seconds since the row before in the same group. Neighbours meet by group and rank, so a large group is spread like many small ones."""
+    placed = stage(ranked(rows, [F.col(at), F.col(tie)], (group,), "_rank"), "placed")
+    before = placed.select(F.col(group).alias("_group"), (F.col("_rank") + 1).alias("_next"), F.col(at).alias("_at"))
+    met = placed.join(before, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_rank") == F.col("_next")), "left")
+    return met.select(*rows.columns, (F.unix_timestamp(at) - F.unix_timestamp("_at")).alias("gap_s"))
 
 
 def rotate(jobs: DataFrame, assets: DataFrame) -> DataFrame:
     """An asset for each job: its profession's folder, else its category's, else the default; real ones before placeholders, in turn.
 
     Taking the least recently used of a fixed set in order is going round: the k-th job of a folder takes asset k mod n.
+    Folders and assets are sent to every task up to ``BROADCAST_GROUPS`` of them, by count.
     """
-    best = assets.withColumn("real", F.max((~F.col("is_placeholder")).cast("int")).over(Window.partitionBy("folder"))).where("real = 0 or not is_placeholder")
-    numbered = best.withColumn("nth", F.row_number().over(Window.partitionBy("folder").orderBy("path")) - 1)
+    is_real = F.max((~F.col("is_placeholder")).cast("int")).over(Window.partitionBy("folder"))
+    best = stage(assets.withColumn("real", is_real).where("real = 0 or not is_placeholder").select("folder", "path"), "assets")
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if best.count() <= BROADCAST_GROUPS else df
+
+    numbered = ranked(best, [F.col("path")], ("folder",), "nth")
     sizes = best.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
     p, c = sizes.select(F.col("folder").alias("profession"), F.col("n").alias("pn")), sizes.select(F.col("folder").alias("category"), F.col("n").alias("cn"))
-    chosen = jobs.join(F.broadcast(p), "profession", "left").join(F.broadcast(c), "category", "left")  # folders are a fixed list
+    chosen = jobs.join(small(p), "profession", "left").join(small(c), "category", "left")
     folder = F.when(F.col("pn").isNotNull(), F.col("profession")).when(F.col("cn").isNotNull(), F.col("category")).otherwise("default")
-    turn = chosen.withColumn("folder", folder).withColumn("turn", F.row_number().over(Window.partitionBy("folder").orderBy("created_at", "id")) - 1)
-    dealt = turn.join(F.broadcast(sizes), "folder").withColumn("nth", F.col("turn") % F.col("n"))
-    return dealt.join(F.broadcast(numbered.select("folder", "nth", "path")), ["folder", "nth"]).select("id", "folder", "path")
+    turn = ranked(chosen.select("id", "created_at", folder.alias("folder")), [F.col("created_at"), F.col("id")], ("folder",), "turn")
+    dealt = turn.join(small(sizes), "folder").withColumn("nth", F.col("turn") % F.col("n"))
+    return dealt.join(small(numbered), ["folder", "nth"]).select("id", "folder", "path")
 
 
 def submission_limits(jobs: DataFrame, most_waiting: int, most_a_day: int, gap_minutes: int) -> DataFrame:

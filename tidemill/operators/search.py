@@ -7,9 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.session import stage
+
 REMOTE = "remote"
 MOST_WORDS = 6
 NORMAL_TIER = 2
+#: Days of the rate calendar that are sent to every task.
+BROADCAST_DAYS = 100_000
 
 
 @dataclass(frozen=True)
@@ -115,20 +119,20 @@ def matches(now: Column, usd_rate: float, prefix: str = "s_") -> Column:
 def as_of_rate(jobs: DataFrame, rates: DataFrame, fallback: float, at: str = "published_at") -> DataFrame:
     """Each job with the latest sane rate (``day, rate``) of its day or before, else ``fallback`` in ``usd_rate``.
 
-    An as-of join without a range join: both sides are merged by time and the last rate is carried forward
-    inside a bucket of days; buckets are joined by the last rate of all buckets before.
+    An as-of join without a range join or a sort of the jobs: each day with rates stands for itself and for the days
+    up to the next one, so a job finds its rates by the equality of days (days after the last one look there). The
+    table of days is as long as the calendar, and goes to every task when its count allows.
     """
     sane = rates.where((F.col("rate") > 1000) & (F.col("rate") < 100000)).select(F.col("day").cast("timestamp").alias("t"), F.col("rate").cast("double").alias("rate"))
-    key = F.coalesce(F.date_trunc("month", "t"), F.lit("1900-01-01").cast("timestamp"))
-    both = jobs.select(F.struct(*jobs.columns).alias("job"), F.col(at).alias("t"), F.lit(None).cast("double").alias("rate"), F.lit(1).alias("late"))
-    both = both.unionByName(sane.select(F.lit(None).cast(both.schema["job"].dataType).alias("job"), "t", "rate", F.lit(0).alias("late"))).withColumn("bucket", key)
-    buckets = sane.withColumn("bucket", key).groupBy("bucket").agg(F.max_by("rate", "t").alias("last"))
-    # one row a month: the carried value needs no more than that many rows
-    months = both.select("bucket").distinct().join(buckets, "bucket", "left").withColumn("era", F.lit(0))
-    carried = months.withColumn("before", F.last("last", True).over(Window.partitionBy("era").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", "before")
-    inside = Window.partitionBy("bucket").orderBy("t", "late").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("now_rate", F.last("rate", True).over(inside)).where("late = 1").join(F.broadcast(carried), "bucket")
-    return filled.select("job.*", F.coalesce("now_rate", "before", F.lit(float(fallback))).alias("usd_rate"))
+    by_day = sane.groupBy(F.to_date("t").alias("d")).agg(F.array_sort(F.collect_list(F.struct("t", "rate"))).alias("told"))
+    days = Window.partitionBy(F.lit(0)).orderBy("d")
+    known = by_day.withColumn("before", F.lag(F.element_at("told", -1)["rate"]).over(days)).withColumn("until", F.coalesce(F.date_sub(F.lead("d").over(days), 1), F.col("d")))
+    known = stage(known.select(F.explode(F.sequence("d", "until")).alias("_day"), "told", "before"), "rate-days")
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.max("_day").alias("last")).first()
+    named = jobs.withColumn("_of", F.least(F.to_date(F.col(at)), F.lit(size["last"]).cast("date")) if size["n"] else F.to_date(F.col(at)))
+    met = named.join(F.broadcast(known) if size["n"] <= BROADCAST_DAYS else known, F.col("_of") == F.col("_day"), "left")
+    then = F.array_max(F.filter("told", lambda x: x["t"] <= F.col(at)))["rate"]
+    return met.select(*jobs.columns, F.coalesce(then, "before", F.lit(float(fallback))).alias("usd_rate"))
 
 
 def last_search(log: DataFrame, user: str = "user_id", at: str = "created_at", tie: str = "id", value: str = "filters") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -65,19 +66,34 @@ MOST_ATTEMPTS = 8
 
 
 def lifecycle(events: DataFrame, first: str = "queued", key: str = "id", event: str = "event", at: str = "ts", tie: str = "event_id") -> DataFrame:
-    """State of each job after its events: illegal moves are ignored, the eighth error fails the job. A fold over the job's sorted events."""
-    moves = F.create_map(*(F.lit(v) for (a, b), c in MOVES.items() for v in (f"{a}>{b}", c)))
-    start = F.struct(F.lit(first).alias("status"), F.lit(0).alias("attempts"), F.lit(0).alias("ignored"))
-
-    def step(s: Column, e: Column) -> Column:
-        to = moves[F.concat(s["status"], F.lit(">"), e["event"])]
-        tries = F.when((e["event"] == "error") & to.isNotNull(), s["attempts"] + 1).when((e["event"] == "retry") & to.isNotNull(), 0).otherwise(s["attempts"])
-        status = F.when((e["event"] == "error") & to.isNotNull() & (tries >= MOST_ATTEMPTS), "failed").otherwise(F.coalesce(to, s["status"]))
-        return F.struct(status.alias("status"), tries.cast("int").alias("attempts"), (s["ignored"] + to.isNull().cast("int")).alias("ignored"))
-
-    history = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(event).alias("event"))))
-    folded = events.groupBy(key).agg(history.alias("h"))  # a job has few events
-    return folded.select(key, F.aggregate("h", start, step).alias("s")).select(key, "s.status", "s.attempts", "s.ignored")
+    """State of each job after its events: illegal moves are ignored, the eighth error fails the job.
+
+    Events are read in order from sorted partitions and a job's state is three values, so a long history is never held.
+    """
+    out = T.StructType([T.StructField(key, events.schema[key].dataType), T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("ignored", T.IntegerType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, status, attempts, ignored = None, first, 0, 0
+        for pdf in batches:
+            done = []
+            for job, e in zip(pdf["_key"], pdf["_event"], strict=True):
+                if job != now:
+                    if now is not None:
+                        done.append((now, status, attempts, ignored))
+                    now, status, attempts, ignored = job, first, 0, 0
+                to = MOVES.get((status, e))
+                if to is None:
+                    ignored += 1
+                    continue
+                attempts = attempts + 1 if e == "error" else 0 if e == "retry" else attempts
+                status = "failed" if e == "error" and attempts >= MOST_ATTEMPTS else to
+            if done:
+                yield pd.DataFrame(done, columns=[key, "status", "attempts", "ignored"])
+        if now is not None:
+            yield pd.DataFrame([(now, status, attempts, ignored)], columns=[key, "status", "attempts", "ignored"])
+
+    keyed = events.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.col(tie).alias("_tie"), F.col(event).alias("_event"))
+    return keyed.repartition("_key").sortWithinPartitions("_key", "_at", "_tie").select("_key", "_event").mapInPandas(run, out)
 
 
 def silent(beats: DataFrame, now: Column, limit_s: int, key: str = "key", at: str = "ts") -> DataFrame:
