@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -201,3 +202,83 @@ def test_lists_of_positions(spark):
     assert sorted((r["pos"], r["position"], r["url"]) for r in extract.linked_positions(rows).collect()) == [(1, "Cook", "https://a/1"), (2, "Driver", "https://a/2"), (3, "cook", "https://a/1")]
     found = extract.positions(extract.lines(spark.createDataFrame([(1, "1. Cook\n2) Driver\n- cook"), (2, "- cook")], "id long, text string")), ["cook", "driver"]).collect()
     assert [(r["id"], r["positions"]) for r in found] == [(1, ["Cook", "Driver"])]
+
+
+BASE = "Sotuvchi kerak\nMaosh 5 000 000 so'm\nIsh vaqti 09 00 18 00\nManzil Toshkent Chilonzor tumani Novza metro yonida\nTalablar 20 35 yosh rus tili"
+
+
+def test_duplicate_rules(spark):
+    """Each pair of posts, an hour apart: the layer that links them, or none."""
+    more = BASE.replace("rus tili", "rus tilini bilish")
+    spelled = BASE.replace("Toshkent", "Tooshkent").replace("vaqti", "vaxti") + " va yana bir narsa bor bu yerda boshqa so'zlar bilan"
+    cases = [
+        ((BASE, "sotuvchi", [], ""), (BASE, "sotuvchi", [], ""), "hash"),
+        ((BASE, "sotuvchi", [], ""), (more, "oshpaz", [], ""), None),
+        ((BASE, "sotuvchi", [], ""), (more, "sotuvchi", [], ""), "fuzzy"),
+        ((BASE, "sotuvchi kerak", ["+998901234567"], ""), (more, "sotuvchi konsultant", ["+998901234567"], ""), "fuzzy"),
+        ((BASE, "sotuvchi", ["@hr"], ""), (more, "buxgalter yordamchisi", ["@hr"], ""), None),
+        ((BASE, "sotuvchi", ["@hr"], ""), ("Yangi filial ochildi, 3 smena, yotoqxona bor, tushlik bepul, boshqa gap yo'q", "sotuvchi", ["@hr"], ""), None),
+        ((BASE, "Sotuvchi mutaxassisi", ["@hr"], "A"), (spelled, "sottuvchi kerak", ["@hr"], "A"), "contact"),
+        ((BASE, "Sotuvchi mutaxassisi", ["@hr"], "Alpha"), (spelled, "sottuvchi kerak", ["@hr"], "Omega"), None),
+        ((BASE, "Fizika ustozi", ["@hr"], ""), (spelled, "Biologiya ustozi", ["@hr"], ""), None),
+        ((BASE, "operator", ["@hr"], ""), (spelled, "menejer", ["@hr"], ""), None),
+    ]
+    for k, (first, second, layer) in enumerate(cases):
+        e = entries(spark, [(1, at(0), *first), (2, at(60), *second)])
+        got = [(r["seq"], r["parent"], r["layer"]) for r in dedup.parents(e).collect()]
+        assert got == ([(2, 1, layer)] if layer else []), k
+
+
+def test_links_tags_and_own_accounts_do_not_count(spark):
+    rows = spark.createDataFrame([(1, BASE + "\n#toshkent\n@kanal_bir", ["@Kanal_Bir"]), (2, BASE + "\nhttps://t.me/x?y=1\n@kanal_ikki", ["kanal_ikki"]), (3, BASE + " @kanal_bir_x", ["@kanal_bir"]), (4, BASE + " @x", None)], "id long, text string, own array<string>")
+    posts = rows.withColumn("posted_at", F.lit(T0)).withColumn("fetched_at", F.lit(T0))
+    from tidemill.functions import contacts
+
+    e = {r["seq"]: r for r in dedup.entries(posts, contacts.accounts(F.col("text")), own=F.col("own")).collect()}
+    assert e[1]["content_hash"] == e[2]["content_hash"] != e[3]["content_hash"]
+    assert e[1]["contacts"] == [] and e[3]["contacts"] == ["@kanal_bir_x"]
+
+
+def test_contact_layer_equals_all_pairs(spark):
+    rng, rows = random.Random(9), []
+    roles = ["driver", "cook", "night driver", "head cook", "clerk"]
+    base = [["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(30)] for _ in range(4)]
+    for k in range(40):
+        words = list(base[k % 4])
+        for i in rng.sample(range(30), rng.randint(0, 14)):
+            words[i] = "".join(rng.choices("klmnop", k=5))
+        rng.shuffle(words)
+        rows.append((k + 1, at(rng.randint(0, 18 * 24 * 60)), " ".join(words), rng.choice(roles), [rng.choice(["@a", "@b"])], rng.choice(["", "Firm", "Other"])))
+
+
+    def one(t):
+        return re.sub(r"(\w)\1+", r"\1", t.lower().replace("x", "h").replace("q", "k"))
+
+    want = {}
+    for b in rows:
+        for a in rows:
+            if a[0] >= b[0] or not dt.timedelta(0) <= b[1] - a[1] <= dt.timedelta(days=14) or not {*a[4]} & {*b[4]}:
+                continue
+            if a[5] and b[5] and similarity.ratio_of(one(a[5]), one(b[5])) < 80 or similarity.token_set_of(one(a[3]), one(b[3])) < 85:
+                continue
+            if (score := similarity.token_set_of(one(a[2]), one(b[2]))) >= 75:
+                want[b[0]] = min(want.get(b[0], (0, 0)), (-score, a[0]))
+    got = {r["seq"]: (-r["score"], r["parent"]) for r in dedup.same_contact(entries(spark, rows)).collect()}
+    assert len(want) > 5 and got == want
+
+
+def test_flow_takes_over_and_caps(spark):
+    from tidemill.operators import flow
+
+    rules = flow.Rules({"job": ["kerak", "maosh", "talablar"], "scam": ["depozit"]}, international_a_day=1, professions=["sotuvchi"])
+    ad = BASE.replace("Maosh", "Maosh:")
+    full = ad + "\nTel 90 123 45 67"
+    rows = [
+        (1, ad + "\n@hr_person", 0, False, False), (2, full + "\n@hr_person", 10, False, False), (3, full + "\n@hr_person ", 40, False, False),
+        (4, "", 1, False, False), (5, None, 2, True, False), (6, "Oshpaz kerak, depozit bilan", 3, False, False), (7, "Sotuvchi kerak\nMaosh kelishiladi", 4, False, False),
+        (8, "Cook wanted\nPosition: cook\n@abroad_one", 5, True, True), (9, "Driver wanted\nPosition: driver\n@abroad_two", 6, True, True), (10, "kerak maosh @hr_person", 7, False, False),
+    ]
+    posts = spark.createDataFrame([(i, "s", t, at(m), at(m), False, s, x) for i, t, m, s, x in rows] + [(11, "s", full, at(0), at(0), True, False, False)], "id long, source string, text string, posted_at timestamp, fetched_at timestamp, is_backfill boolean, is_site boolean, international boolean")
+    got = {r["id"]: r["status"] for r in flow.flow(posts, rules, F.lit(T0)).collect()}
+    assert got == {1: "duplicate", 2: "done", 3: "duplicate", 4: "no_text", 5: "no_contact", 6: "suspicious", 7: "no_contact", 8: "done", 9: "skipped_limit", 10: "low_quality", 11: "skipped_backfill"}
+    assert {r["status"]: r["n"] for r in flow.counters(flow.flow(posts, rules, F.lit(T0))).collect()}["duplicate"] == 2

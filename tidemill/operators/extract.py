@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.contacts import ACCOUNT, EMAIL, PHONE, URL
-from tidemill.functions.text import keyword_pattern
+from tidemill.functions.text import fold, keyword_pattern, without_keywords
 
 KEEP_SHARE = 0.4
-STRONG, LEAST_EVIDENCE = 4, 2
+#: Job markers that outweigh advertising, job markers of a job, positions with links of their own that make a list.
+STRONG, LEAST_EVIDENCE, LEAST_LINKED = 4, 2, 2
 #: Words of pay multipliers, currencies and periods; sane monthly ranges by currency.
 MULTIPLIERS = ((r"mln|million|млн|милл", 1_000_000), (r"ming|тыс|k\b", 1000))
 CURRENCY_WORDS = (("USD", r"\$|usd|dollar|доллар"), ("EUR", r"€|eur|евро"), ("RUB", r"₽|rub|руб"), ("UZS", r"so'm|sum\b|uzs|сум"))
@@ -80,28 +81,59 @@ def ad_contact_lines(rows: DataFrame, phrases: str) -> DataFrame:
 
 def evidence(text: Column, markers: list[str]) -> Column:
     """How many distinct markers occur (left word boundary)."""
-    patterns = F.array(*(F.lit(keyword_pattern(m)) for m in dict.fromkeys(markers)))
-    return F.size(F.filter(patterns, lambda p: F.rlike(text, p)))
+    found = F.lit(0)
+    for m in dict.fromkeys(markers):
+        found = found + F.coalesce(text.rlike(keyword_pattern(m)), F.lit(False)).cast("int")
+    return found
+
+
+def classify(
+    text: Column,
+    markers: dict[str, list[str]],
+    past_deadline: Column | None = None,
+    seeker: Column | None = None,
+    tags: Column | None = None,
+    job_tags: list[str] | None = None,
+    other_tags: list[str] | None = None,
+    needs_tag: Column | None = None,
+    linked: Column | None = None,
+    addresses: Column | None = None,
+) -> Column:
+    """Kind of a post by the first rule that holds.
+
+    no_text; closed by a marker or a deadline that is past; resume by a marker or a seeker's shape; suspicious by a scam
+    marker outside its exceptions; opportunity by a strong marker where no exception is; not_job by a strong marker;
+    not_job by a tag of the source for other posts, or without a job tag where the source needs one; job by
+    ``LEAST_LINKED`` positions with links of their own. Then, without a job tag and under ``STRONG`` job markers,
+    opportunity by any marker and not_job by advertising markers (in the text or its addresses) that are no fewer than
+    the job's. Then job by tag or ``LEAST_EVIDENCE`` markers, else not_job.
+    """
 
+    def n(kind: str, where: Column = text) -> Column:
+        return evidence(where, markers[kind]) if markers.get(kind) else F.lit(0)
 
-def classify(text: Column, markers: dict[str, list[str]], past_deadline: Column | None = None, tagged: Column | None = None) -> Column:
-    """Kind of a post by the first rule that holds: no_text, closed, resume, suspicious, unpaid, not_job, opportunity, job, not_job.
+    def told(c: Column | None) -> Column:
+        return F.lit(False) if c is None else F.coalesce(c, F.lit(False))
 
-    ``markers``: lists for closed, resume, suspicious, unpaid, ad, opportunity, job. Advertising wins where it has
-    ``STRONG`` markers, or at least as many as the job's own.
-    """
-    n = {k: evidence(text, v) for k, v in markers.items()}
-    late, tag = past_deadline if past_deadline is not None else F.lit(False), tagged if tagged is not None else F.lit(False)
+    def has(listed: list[str] | None) -> Column:
+        return F.lit(False) if tags is None or not listed else F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, listed))), F.lit(False))
+
+    quiet = without_keywords(text, markers.get("scam_exceptions", []))
+    job, tagged = n("job"), has(job_tags)
+    weak = ~tagged & (job < STRONG)
+    ads = n("ad", text if addresses is None else F.concat_ws("\n", text, addresses))
     return (
         F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "no_text")
-        .when((n["closed"] > 0) | F.coalesce(late, F.lit(False)), "closed")
-        .when(n["resume"] >= LEAST_EVIDENCE, "resume")
-        .when(n["suspicious"] > 0, "suspicious")
-        .when(n["unpaid"] > 0, "unpaid")
-        .when((n["ad"] >= STRONG) & (n["ad"] >= n["job"]), "not_job")
-        .when((n["job"] < STRONG) & (n["opportunity"] >= LEAST_EVIDENCE), "opportunity")
-        .when((n["job"] < STRONG) & (n["ad"] > 0) & (n["ad"] >= n["job"]), "not_job")
-        .when(tag | (n["job"] >= LEAST_EVIDENCE), "job")
+        .when((n("closed") > 0) | told(past_deadline), "closed")
+        .when((n("resume") > 0) | told(seeker), "resume")
+        .when(n("scam", quiet) > 0, "suspicious")
+        .when((n("opportunity_strong") > 0) & (n("opportunity_exceptions") == 0), "opportunity")
+        .when(n("not_job_strong") > 0, "not_job")
+        .when(has(other_tags) | (told(needs_tag) & ~tagged), "not_job")
+        .when(F.lit(False) if linked is None else F.coalesce(linked >= LEAST_LINKED, F.lit(False)), "job")
+        .when(weak & (n("opportunity") > 0), "opportunity")
+        .when(weak & (ads > 0) & (ads >= job), "not_job")
+        .when(tagged | (job >= LEAST_EVIDENCE), "job")
         .otherwise("not_job")
     )
 
@@ -115,8 +147,9 @@ def seekers(rows: DataFrame, labels: list[str], seeker: str, employer: str) -> D
     )
 
 
-def deadline(text: Column, year: int) -> Column:
+def deadline(text: Column, year: int | Column) -> Column:
     """The date after a deadline word: 31.12.2024, 31/12, 2024-12-31 or 31 December; a date that does not exist is null."""
+    year = (F.lit(year) if isinstance(year, int) else year).cast("string")
     word = r"(?is)(?:deadline|until|muddat|gacha|apply by|до)\D{0,20}?"
     iso = F.regexp_extract(text, word + r"(\d{4})-(\d\d)-(\d\d)", 0)
     dotted = F.regexp_extract(text, word + r"(\d{1,2}[./]\d{1,2}(?:[./]\d{4})?)", 1)
@@ -129,8 +162,8 @@ def deadline(text: Column, year: int) -> Column:
 
     return F.coalesce(
         F.when(iso != "", F.try_to_date(F.right(iso, F.lit(10)), "yyyy-MM-dd")),
-        F.when(dotted != "", made(F.coalesce(F.get(parts, F.lit(2)), F.lit(str(year))), F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))),
-        F.when(named != "", made(F.lit(str(year)), month, F.regexp_extract(named, r"^(\d+)", 1))),
+        F.when(dotted != "", made(F.coalesce(F.get(parts, F.lit(2)), year), F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))),
+        F.when(named != "", made(year, month, F.regexp_extract(named, r"^(\d+)", 1))),
     )
 
 
@@ -245,6 +278,20 @@ def title(rows: DataFrame, label: str, hiring: str, professions: list[str], most
     return best.select("id", F.substring(F.regexp_replace(F.col("c.t"), r"[\s.,;:!-]+$", ""), 1, most).alias("title"))
 
 
+def title_of(text: Column, label: str, professions: list[str], most: int = 90) -> Column:
+    """The title of a whole text as a column: a labelled one, else the first short line that names a profession; null without either."""
+    labelled = F.trim(F.regexp_extract(text, rf"(?im)^[^\p{{L}}\n]*(?:{label})\s*:[ \t]*(\S[^\n]*)$", 1))
+    named_ = F.get(F.filter(F.split(text, "\n"), lambda x: (F.length(F.trim(x)) <= 60) & F.rlike(F.lower(x), F.lit("|".join(keyword_pattern(p) for p in professions)))), F.lit(0))
+    found = F.coalesce(F.when(labelled != "", labelled), F.trim(named_))
+    return F.substring(F.regexp_replace(found, r"[\s.,;:!-]+$", ""), 1, most)
+
+
+def company_of(text: Column, label: str) -> Column:
+    """The labelled employer of a whole text, where it is like a name (seven words at most, no sentence)."""
+    value = F.trim(F.regexp_extract(text, rf"(?im)^[^\p{{L}}\n]*(?:{label})\s*:[ \t]*(\S[^\n]*)$", 1))
+    return F.when((value != "") & (F.size(F.split(value, r"\s+")) <= 7) & ~value.rlike(r"[.!?]\s+\p{L}"), value)
+
+
 def company(rows: DataFrame, label: str) -> DataFrame:
     """``id, company``: the labelled value where all labels agree; values like a sentence are not names."""
     value = F.trim(F.regexp_extract("line", rf"(?i)^\s*(?:{label})\s*:\s*(.+)$", 1))
@@ -324,18 +371,19 @@ def stored_columns(parsed: DataFrame) -> DataFrame:
     return parsed.select("id", F.substring("title", 1, 200).alias("title"), F.substring("company", 1, 200).alias("company"), F.get("phones", F.lit(0)).alias("phone"), F.get("accounts", F.lit(0)).alias("account"), F.substring("text", 1, 4000).alias("description"))
 
 
-def content_verdict(text: Column, spam: list[str], scam: list[str], exceptions: list[str]) -> Column:
-    """First content rule that holds: spam words, over two links, shouting, over ten pictographs, scam words outside exceptions; else ``ok``."""
-    low = F.lower(text)
+def content_verdict(text: Column, spam: list[str], scam: list[str], exceptions: list[str], banned: Column | None = None) -> Column:
+    """First content rule that holds: a banned author, spam words, over two links, shouting, over ten pictographs, scam words outside exceptions; else ``ok``.
+
+    Words are looked for in the folded text, so other alphabets and spellings of a letter count too.
+    """
+    folded = fold(text)
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    quiet = low
-    for e in exceptions:
-        quiet = F.regexp_replace(quiet, keyword_pattern(e), " ")
     return (
-        F.when(evidence(low, spam) > 0, "spam words")
+        F.when(F.lit(False) if banned is None else F.coalesce(banned, F.lit(False)), "banned")
+        .when(evidence(folded, spam) > 0, "spam words")
         .when(F.regexp_count(text, F.lit(URL)) > 2, "links")
         .when((letters >= 20) & (F.regexp_count(text, F.lit(r"\p{Lu}")) > letters * 0.6), "capitals")
         .when(F.regexp_count(text, F.lit(r"\p{So}")) > 10, "pictographs")
-        .when(evidence(quiet, scam) > 0, "scam words")
+        .when(evidence(without_keywords(folded, exceptions), scam) > 0, "scam words")
         .otherwise("ok")
     )

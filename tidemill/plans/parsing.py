@@ -90,15 +90,21 @@ def category_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.select("id").join(voted, "id", "left").select("id", F.coalesce("category", F.lit("other")).alias("category"), "profession")
 
 
-MARKERS = {"closed": ["closed", "werden"], "resume": ["pour", "dans"], "suspicious": ["password"], "unpaid": ["volunteer"], "ad": ["channel", "une"], "opportunity": ["grant", "course"], "job": ["the", "was", "der", "die"]}
-_HAS = {k: "len(list_filter(" + str(v) + ", lambda m: regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}''])' || m)))" for k, v in MARKERS.items()}
+MARKERS = {
+    "closed": ["closed", "werden"], "resume": ["pour", "curriculum"], "scam": ["password"], "scam_exceptions": ["password reset"], "opportunity_strong": ["volunteer", "muy"], "opportunity_exceptions": ["para"],
+    "not_job_strong": ["nicht"], "opportunity": ["grant", "des"], "ad": ["channel", "une", "los"], "job": ["the", "was", "der", "die"],
+}
+_HAS = {k: "len(list_filter(" + str(v) + ", lambda m: regexp_matches(" + ("replace(lower(text), 'password reset', ' ')" if k == "scam" else "lower(text)") + ", '(^|[^\\p{L}\\p{N}''])' || m)))" for k, v in MARKERS.items()}
 
 
-@query("post_kinds", "WITH n AS (SELECT doc_id AS id, text, " + ", ".join(f"{v} AS n_{k}" for k, v in _HAS.items()) + """ FROM documents) SELECT id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'no_text' WHEN n_closed > 0 THEN 'closed' WHEN n_resume >= 2 THEN 'resume' WHEN n_suspicious > 0 THEN 'suspicious' WHEN n_unpaid > 0 THEN 'unpaid'
-WHEN n_ad >= 4 AND n_ad >= n_job THEN 'not_job' WHEN n_job < 4 AND n_opportunity >= 2 THEN 'opportunity' WHEN n_job < 4 AND n_ad > 0 AND n_ad >= n_job THEN 'not_job' WHEN n_job >= 2 THEN 'job' ELSE 'not_job' END AS kind FROM n""")
+@query("post_kinds", "WITH n AS (SELECT doc_id AS id, text, source, " + ", ".join(f"{v} AS n_{k}" for k, v in _HAS.items()) + """ FROM documents) SELECT id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'no_text' WHEN n_closed > 0 THEN 'closed' WHEN n_resume > 0 THEN 'resume' WHEN n_scam > 0 THEN 'suspicious'
+WHEN n_opportunity_strong > 0 AND n_opportunity_exceptions = 0 THEN 'opportunity' WHEN n_not_job_strong > 0 THEN 'not_job' WHEN source = 'src2' OR (source = 'src4' AND source <> 'src1') THEN 'not_job'
+WHEN source <> 'src1' AND n_job < 4 AND n_opportunity > 0 THEN 'opportunity' WHEN source <> 'src1' AND n_job < 4 AND n_ad > 0 AND n_ad >= n_job THEN 'not_job' WHEN source = 'src1' OR n_job >= 2 THEN 'job' ELSE 'not_job' END AS kind FROM n""")
 def post_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C11: kinds of posts by the first rule that holds, over marker counts."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), extract.classify(F.lower("text"), MARKERS).alias("kind"))
+    """C11: kinds of posts by the first rule that holds: markers, their exceptions, and tags, which are the sources here."""
+    source = F.col("source")
+    kind = extract.classify(F.lower("text"), MARKERS, tags=F.array(source), job_tags=["src1"], other_tags=["src2"], needs_tag=source == "src4")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), kind.alias("kind"))
 
 
 @query("feature_tags", "SELECT doc_id AS id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)(^|[^\\p{L}])the($|[^\\p{L}])') THEN 'the' END, CASE WHEN regexp_matches(text, '(?i)(^|[^\\p{L}])und($|[^\\p{L}])') THEN 'und' END) AS tags FROM documents")
