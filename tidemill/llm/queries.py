@@ -53,7 +53,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a motion-JPEG AVI file in the shared folder, read back from there and cut into shots."""
-    stored = stage(media.store(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "media")
+    files = media.store(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    stored = stage(files, "media", **{"compression": "zstd", "parquet.compression.codec.zstd.level": "6"})
     return media.describe(stored)
 
 
