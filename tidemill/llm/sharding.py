@@ -33,6 +33,8 @@ from tidemill.session import stage
 
 BITS = 5
 N_SHARDS = 16
+#: Rows of a sorted run, about: with more of them there are more runs than the session's shuffle partitions.
+RUN_ROWS = 100_000
 #: Dimensions of the documents table and how each is quantised.
 DIMENSIONS = (("source", "text"), ("lang", "text"), ("n_chars", "log"), ("doc_id", "linear"))
 
@@ -120,7 +122,7 @@ def shards(df: DataFrame, dimensions: tuple[tuple[str, str], ...] = DIMENSIONS,
     place, part, before, rank = unused(df, "row_place", "part", "before", "rank")
     order = ["curve", *ties]
     indexed = df.withColumn("curve", hilbert_index(quantise(df, dimensions, bits), bits))
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RUN_ROWS))
     # the id counts rows of a sorted partition in its lower 33 bits; written once, so that a repeated task cannot change it
     ordered = indexed.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
     ordered = stage(ordered, "curve")
