@@ -203,6 +203,30 @@ def pay(text: Column) -> Column:
     return F.when(sane, F.struct(a.alias("lo"), b.alias("hi"), currency.alias("currency"), period.alias("period")))
 
 
+def budget(text: Column, negotiable: str, names: dict[str, str] | None = None) -> Column:
+    """``struct<amount, currency, shown>`` of a one-time project's pay, its period aside: the lower bound (else the upper one), and both in words.
+
+    An empty text is shown as ``negotiable``; a text without an amount as it was typed. ``names``: how a currency is shown.
+    """
+    typed = F.trim(F.coalesce(text, F.lit("")))
+    found = pay(typed)
+    lo, hi = found["lo"], found["hi"]
+    name = found["currency"]
+    for code, shown in (names or {}).items():
+        name = F.when(found["currency"] == code, shown).otherwise(name)
+
+    def spaced(n: Column) -> Column:
+        return F.replace(F.format_number(n, 0), F.lit(","), F.lit(" "))
+
+    one_side = F.when(hi.isNull(), F.lit("dan")).when(lo.isNull(), F.lit("gacha"))
+    glue = F.when(name == "so'm", "").otherwise(" ")
+    both = F.concat(spaced(lo), F.lit(" – "), spaced(hi), F.lit(" "), name)
+    one = F.concat(spaced(F.coalesce(lo, hi)), F.lit(" "), name, F.coalesce(F.concat(glue, one_side), F.lit("")))
+    worded = F.when(lo.isNotNull() & hi.isNotNull() & (lo != hi), both).otherwise(one)
+    shown = F.when(typed == "", negotiable).when(found.isNull(), typed).otherwise(worded)
+    return F.struct(F.coalesce(lo, hi).alias("amount"), found["currency"].alias("currency"), shown.alias("shown"))
+
+
 def _times(x: Column) -> Column:
     out = F.lit(1.0)
     for pattern, k in reversed(MULTIPLIERS):

@@ -147,6 +147,13 @@ def saved_jobs(favorites: DataFrame, jobs: DataFrame, user_id: int, limit: int =
     return page(mine.select("id", "category", "status", "saved_at"), [F.desc("saved_at"), F.desc("id")], limit, offset).join(F.broadcast(total))
 
 
+def open_projects(jobs: DataFrame, now: Column, limit: int = 5, offset: int = 0) -> DataFrame:
+    """A page of open one-time projects, newest first, with their number in ``total``."""
+    found = jobs.where((F.col("kind") == "project") & (F.col("status") == "published") & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return page(found, [F.desc("published_at"), F.desc("id")], limit, offset).join(F.broadcast(total))  # one row
+
+
 def insert_ignore(new: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``new`` whose key is not stored yet, one of each key."""
     return new.dropDuplicates(key).join(stored.select(*key).distinct(), key, "left_anti")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions import contacts
+from tidemill.operators import extract
+
 
 def moderation(drafts: DataFrame, limits: DataFrame, duplicates: DataFrame, rules: Column, needs_review: Column) -> DataFrame:
     """``id, outcome`` of submitted drafts by the first rule that holds: no_contact, limit, rejected, duplicate, review, queued.
@@ -56,3 +59,54 @@ def current_rows(job: DataFrame, posts: DataFrame) -> DataFrame:
     linked = posts.join(job.select(F.col("id").alias("job_id")), "job_id", "left_semi")
     primary = posts.join(job.select(F.col("raw_post_id").alias("id")), "id", "left_semi")
     return linked.unionByName(primary).dropDuplicates(["id"])
+
+
+def listed_sources(sources: DataFrame) -> DataFrame:
+    """``list, source`` of the lists that a source (``source, status, enabled``) is on: polled, pending, visible (all but deleted ones)."""
+    on = F.array(
+        F.when((F.col("status") == "active") & F.col("enabled"), F.lit("polled")),
+        F.when(F.col("status") == "pending", F.lit("pending")),
+        F.when(F.col("status") != "deleted", F.lit("visible")),
+    )
+    return sources.select(F.explode(F.array_compact(on)).alias("list"), "source")
+
+
+def recipients(users: DataFrame) -> DataFrame:
+    """Ids of the users that a message to all goes to: those that are not banned."""
+    return users.where(~F.col("is_banned")).select("id")
+
+
+def clean_field(value: Column, most: int) -> Column:
+    """A typed field without blank lines and outer spaces; null if nothing is left or more than ``most`` characters are."""
+    lines = F.filter(F.transform(F.split(value, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    text = F.array_join(lines, "\n")
+    return F.when((text != "") & (F.length(text) <= most), text)
+
+
+def shared_phone(raw: Column) -> Column:
+    """The number of a shared contact as +998XXXXXXXXX; null for numbers of other countries."""
+    digits = F.regexp_replace(raw, r"\D", "")
+    return F.when(digits.rlike(r"^998\d{9}$"), F.concat(F.lit("+"), digits))
+
+
+def typed_contact(text: Column) -> Column:
+    """``struct<phone, account>`` of a typed contact, the account in its own spelling; a bare name is an account where there is no phone."""
+    phone = F.get(contacts.phones(text), F.lit(0))
+    written = F.regexp_extract(text, contacts.ACCOUNT, 1)
+    linked = F.regexp_extract(text, contacts.ACCOUNT, 2)
+    bare = F.regexp_extract(F.trim(text), contacts.BARE_ACCOUNT, 1)
+    name = F.when(written != "", written).when(linked != "", linked).when((bare != "") & phone.isNull(), bare)
+    return F.struct(phone.alias("phone"), F.concat(F.lit("@"), name).alias("account"))
+
+
+def form_fields(drafts: DataFrame, votes: DataFrame, categories: list[str], fallback: str = "other") -> DataFrame:
+    """Drafts of a form in the shape of parsed posts: pay parsed, remote is no region, and the profession that was voted
+    for (``id, category, profession``) kept only where its category is the draft's."""
+    voted = votes.select("id", F.col("category").alias("_category"), F.col("profession").alias("_profession"))
+    rows = drafts.withColumn("_pay", extract.pay(F.col("salary"))).join(voted, "id", "left")
+    remote = F.col("region") == "remote"
+    return rows.select(
+        "id", "title", F.col("_pay.lo").alias("salary_min"), F.col("_pay.hi").alias("salary_max"), F.col("_pay.currency").alias("currency"), F.col("_pay.period").alias("salary_period"),
+        F.when(~remote, F.col("region")).alias("region"), remote.alias("is_remote"),
+        F.when(F.col("category").isin(*categories), F.col("category")).otherwise(fallback).alias("category"), F.when(F.col("_category") == F.col("category"), F.col("_profession")).alias("profession"),
+    )

@@ -93,6 +93,36 @@ def rss_items(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
     )
 
 
+def atom_entries(payloads: DataFrame, xml_col: str = "payload") -> DataFrame:
+    """Entries of landed Atom feeds, one feed a row: id (digest of the entry's id, else of its link), link (the alternate
+    one, else the first), title, text (content over summary), time (published, else updated). What is no feed gives no rows."""
+    entry = "id string, title string, summary string, content string, published string, updated string, link array<struct<_href:string,_rel:string>>"
+    kind = "entry array<struct<" + entry.replace(" string", ":string").replace("link array", "link:array").replace(", ", ",") + ">>"
+    fed = payloads.select(F.from_xml(F.col(xml_col), kind, {"ignoreNamespace": "true"}).alias("f")).select(F.explode("f.entry").alias("e")).select("e.*")
+    address = F.coalesce(F.get(F.filter("link", lambda x: x["_rel"] == "alternate"), F.lit(0))["_href"], F.get("link", F.lit(0))["_href"], F.lit(""))
+    return fed.select(
+        F.substring(F.sha1(F.coalesce(F.when(F.col("id") != "", F.col("id")), address)), 1, 20).alias("external_id"), address.alias("url"), plain_html(F.col("title"), 200).alias("title"),
+        plain_html(F.coalesce("content", "summary")).alias("text"), parse_time(F.coalesce("published", "updated")).alias("published_at"),
+    )
+
+
+def sitemap_tree(payloads: DataFrame, roots: Column, child: str, pattern: str, newest: int, loc_col: str = "loc", xml_col: str = "payload") -> DataFrame:
+    """The newest pages (``loc, lastmod``) whose address matches ``pattern``, from landed sitemaps: those for which ``roots``
+    holds, and the ones they list as children whose address matches ``child`` (one level). Pages of an API are left out."""
+    kind = "sitemap array<struct<loc:string>>, url array<struct<loc:string,lastmod:string>>"
+    maps = payloads.select(F.col(loc_col).alias("map"), roots.alias("is_root"), F.from_xml(F.col(xml_col), kind, {"ignoreNamespace": "true"}).alias("x"))
+    listed = maps.where("is_root").select(F.explode("x.sitemap").alias("s")).select(F.trim("s.loc").alias("map")).where(F.lower("map").rlike(child)).distinct()
+    read = maps.where("is_root").unionByName(maps.where("not is_root").join(listed, "map", "left_semi"))
+    pages = read.select(F.explode("x.url").alias("u")).select(F.trim("u.loc").alias("loc"), parse_time(F.col("u.lastmod")).alias("lastmod"))
+    return pages.where(F.col("loc").rlike(pattern) & ~F.contains(F.col("loc"), F.lit("/api/"))).orderBy(F.desc_nulls_last("lastmod"), "loc").limit(newest)
+
+
+def skip_history(posts: DataFrame, fetched_up_to: Column) -> DataFrame:
+    """Posts at the first start of a worker: what is still new and was fetched up to then is history (``skipped_backfill``)."""
+    old = (F.col("status") == "new") & (F.col("fetched_at") <= fetched_up_to)
+    return posts.withColumn("status", F.when(old, "skipped_backfill").otherwise(F.col("status")))
+
+
 def sitemap_pages(spark: SparkSession, path: str, pattern: str, newest: int) -> DataFrame:
     """The newest pages of sitemap files whose address matches a pattern."""
     rows = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
@@ -138,7 +168,7 @@ def to_raw(jobs: DataFrame, source: str) -> DataFrame:
 def archive(posts: DataFrame, sources: DataFrame) -> DataFrame:
     """Collected posts with their source, in the order of posting."""
     typed = posts.withColumn("extra", F.from_json("extra", EXTRA)) if dict(posts.dtypes).get("extra") == "string" else posts
-    return typed.join(sources, "source").withColumn("seen_at", F.coalesce("posted_at", "fetched_at"))
+    return typed.join(sources, "source").withColumn("seen_at", F.coalesce("posted_at", "fetched_at")).orderBy("seen_at", "id")
 
 
 def fetch_new(rows: DataFrame, cursors: DataFrame, limit: int, key: str = "key", source: str = "source") -> tuple[DataFrame, DataFrame]:

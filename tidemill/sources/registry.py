@@ -38,7 +38,7 @@ def _rss(spark: SparkSession, path: str) -> DataFrame:
 
 @register("atom")
 def _atom(spark: SparkSession, path: str) -> DataFrame:
-    return feeds.rss_items(spark, path, "entry")
+    return feeds.atom_entries(spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload"))
 
 
 def _json(feed: str) -> Reader:
