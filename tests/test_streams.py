@@ -177,6 +177,9 @@ def test_source_types_are_registered(spark, tmp_path):
     (tmp_path / "f.xml").write_text(rss)
     got = registry.read(spark, "rss", f"file://{tmp_path}/f.xml").collect()
     assert [(r["title"], r["text"], r["url"], len(r["external_id"])) for r in got] == [("T", "x", "https://a/1", 20)]
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>1</id><title>T</title><link rel="self" href="https://a/s"/><link rel="alternate" href="https://a/1"/><summary>s</summary></entry></feed>"""
+    (tmp_path / "a.xml").write_text(atom)
+    assert [(r["title"], r["text"], r["url"]) for r in registry.read(spark, "atom", f"file://{tmp_path}/a.xml").collect()] == [("T", "s", "https://a/1")]
     (tmp_path / "f.json").write_text('{"jobs":[{"guid":"1","title":"A"},{"guid":"2"}]}')
     assert registry.read(spark, "himalayas", f"file://{tmp_path}/f.json").count() == 1
     with pytest.raises(ValueError):
