@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat, html_text, langid, media, mixing, near_dups, packing, sharding, token_counts, topk
+from tidemill.llm import chat, decontamination, hard_negatives, html_text, langid, media, mixing, near_dups, packing, periodic_runs, sharding, token_counts, topk
 from tidemill.session import spread, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,9 +77,30 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spread(pages), html_text.train(pages))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every vector whose id is divisible by 100 and each of its five positives, five rows of other labels in the window; every seventh label is moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")), "vec_id % 100 = 0")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, with periods planted in every tenth."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_planted_periods(docs)))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return decontamination.digests(decontamination.find_passages(docs, table(spark, sf_dir, "benchmark")))
+
+
+_ALL = (op1_packing, op2_mixing, op3_chat, op4_token_counts, op5_topk, op6_sharding, op7_media, op8_langid, op9_near_dups, op10_html, op11_hard_negatives, op12_periodic_runs, op13_decontamination)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_chat, op4_token_counts, op5_topk, op6_sharding, op7_media, op8_langid, op9_near_dups, op10_html)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op5_topk": topk.SQL}
+    return {"op2_mixing": mixing.SQL, "op5_topk": topk.SQL, "op11_hard_negatives": hard_negatives.SQL, "op13_decontamination": decontamination.SQL}
