@@ -10,17 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.contacts import ACCOUNT, EMAIL, PHONE, URL
+from tidemill.functions.pay import pay, pay_value
 from tidemill.functions.text import fold, keyword_pattern, without_keywords
 
 KEEP_SHARE = 0.4
 #: Job markers that outweigh advertising, job markers of a job, positions with links of their own that make a list.
 STRONG, LEAST_EVIDENCE, LEAST_LINKED = 4, 2, 2
-#: Words of pay multipliers, currencies and periods; sane monthly ranges by currency.
-MULTIPLIERS = ((r"mln|million|млн|милл", 1_000_000), (r"ming|тыс|k\b", 1000))
-CURRENCY_WORDS = (("USD", r"\$|usd|dollar|доллар"), ("EUR", r"€|eur|евро"), ("RUB", r"₽|rub|руб"), ("UZS", r"so'm|sum\b|uzs|сум"))
-PERIOD_WORDS = (("hour", r"soat|/ ?hour|per hour|в час"), ("day", r"kuniga|kunlik|/ ?day|per day|в день"), ("week", r"hafta|/ ?week|per week|в неделю"), ("year", r"yillik|/ ?year|per year|annual|в год"), ("month", r"oyiga|oylik|/ ?month|per month|monthly|в месяц"))
-SANE = {"UZS": (100_000, 500_000_000), "USD": (20, 1_000_000), "EUR": (20, 1_000_000), "RUB": (1000, 50_000_000)}
-MONEY_LINE = r"(?i)oylik|maosh|salary|pay\b|wage|зарплат|оклад|\$|€|₽|so'm|usd|uzs|сум"
 MONTHS = "january february march april may june july august september october november december".split()
 
 
@@ -167,49 +162,13 @@ def deadline(text: Column, year: int | Column) -> Column:
     )
 
 
-def pay(text: Column) -> Column:
-    """``struct<lo, hi, currency, period>`` of the first line about money, null where no sane amount is found.
-
-    Groups of thousands are joined, ``mln`` and ``ming`` multiply, the multiplier of a range's upper end holds for both,
-    "from" and "to" bound one side, and a lower end above the upper one is repaired by thousands.
-    """
-    line = F.coalesce(F.get(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(MONEY_LINE)) & F.rlike(x, F.lit(r"\d"))), F.lit(0)), F.lit(""))
-    low = F.lower(line)
-    number = r"(\d{1,3}(?:[ .,']\d{3})+(?!\d)|\d+(?:[.,]\d+)?)\s*(mln|million|млн|милл|ming|тыс|k\b)?"
-    plain = F.regexp_replace(low, r"(?<!\d)\+?998[\d\s()-]{9,}|\b\d{1,2}[:.]\d\d\s*-\s*\d{1,2}[:.]\d\d|\b\d/\d\b", " ")
-    amounts = F.regexp_extract_all(plain, F.lit(number), F.lit(0))
-
-    def value(x: Column) -> Column:
-        digits = F.regexp_extract(x, r"^([\d .,']*\d)", 1)
-        grouped = digits.rlike(r"^\d{1,3}(?:[ .,']\d{3})+$")
-        n = F.when(grouped, F.regexp_replace(digits, r"\D", "")).otherwise(F.replace(digits, F.lit(","), F.lit("."))).cast("double")
-        return F.struct(n.alias("n"), _times(x).alias("m"))
-
-    found = F.transform(amounts, value)
-    first, second = F.get(found, F.lit(0)), F.get(found, F.lit(1))
-    ranged = F.rlike(plain, F.lit(r"\d\s*(?:mln|million|млн|ming|тыс|k)?\s*(?:-|–|—|to|dan|от|до|\.\.)\s*\$?\d"))
-    shared = F.when(second["m"] > 1, second["m"]).otherwise(F.lit(1))
-    lo = F.when(ranged, first["n"] * F.when(first["m"] > 1, first["m"]).otherwise(shared)).otherwise(first["n"] * first["m"])
-    hi = F.when(ranged, second["n"] * second["m"])
-    lo = F.when(hi.isNotNull() & (lo > hi) & (lo / 1000 <= hi), lo / 1000).otherwise(lo)
-    upto, from_ = F.rlike(low, F.lit(r"gacha|up to|до\b|max")), F.rlike(low, F.lit(r"\bdan\b|from|от\b|min"))
-    only_hi = hi.isNull() & upto & ~from_
-    currency = F.coalesce(*(F.when(low.rlike(p), F.lit(c)) for c, p in CURRENCY_WORDS), F.lit("UZS"))
-    period = F.coalesce(*(F.when(low.rlike(p), F.lit(c)) for c, p in PERIOD_WORDS))
-    a, b = F.when(~only_hi, F.bround(lo)).cast("long"), F.when(only_hi, F.bround(lo)).otherwise(F.bround(hi)).cast("long")
-    least = F.coalesce(*(F.when(currency == c, F.lit(v[0])) for c, v in SANE.items()))
-    most = F.coalesce(*(F.when(currency == c, F.lit(v[1])) for c, v in SANE.items()))
-    sane = F.coalesce(a, b).isNotNull() & (F.coalesce(a, b) >= least) & (F.coalesce(b, a) <= most)
-    return F.when(sane, F.struct(a.alias("lo"), b.alias("hi"), currency.alias("currency"), period.alias("period")))
-
-
 def budget(text: Column, negotiable: str, names: dict[str, str] | None = None) -> Column:
     """``struct<amount, currency, shown>`` of a one-time project's pay, its period aside: the lower bound (else the upper one), and both in words.
 
     An empty text is shown as ``negotiable``; a text without an amount as it was typed. ``names``: how a currency is shown.
     """
     typed = F.trim(F.coalesce(text, F.lit("")))
-    found = pay(typed)
+    found = pay_value(typed)
     lo, hi = found["lo"], found["hi"]
     name = found["currency"]
     for code, shown in (names or {}).items():
@@ -223,17 +182,10 @@ def budget(text: Column, negotiable: str, names: dict[str, str] | None = None) -
     both = F.concat(spaced(lo), F.lit(" – "), spaced(hi), F.lit(" "), name)
     one = F.concat(spaced(F.coalesce(lo, hi)), F.lit(" "), name, F.coalesce(F.concat(glue, one_side), F.lit("")))
     worded = F.when(lo.isNotNull() & hi.isNotNull() & (lo != hi), both).otherwise(one)
-    shown = F.when(typed == "", negotiable).when(found.isNull(), typed).otherwise(worded)
+    shown = F.when(typed == "", negotiable).when(F.coalesce(lo, hi).isNull(), typed).otherwise(worded)
     return F.struct(F.coalesce(lo, hi).alias("amount"), found["currency"].alias("currency"), shown.alias("shown"))
 
 
-def _times(x: Column) -> Column:
-    out = F.lit(1.0)
-    for pattern, k in reversed(MULTIPLIERS):
-        out = F.when(x.rlike(pattern), float(k)).otherwise(out)
-    return out
-
-
 def named(posts: DataFrame, names: DataFrame, most_words: int = 3, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Mentions of listed names (``name, key``): word n-grams joined by equality, longer ones hiding the shorter ones inside them."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))

@@ -84,7 +84,7 @@ def flow(posts: DataFrame, rules: Rules, now: Column, layers: tuple[str, ...] =
     )
     root = stage(dedup.roots(dedup.parents(entry, layers=layers)), "roots-of-copies")
     c, p = F.col("contacts"), F.col("pay")
-    full = dedup.completeness(F.get(c["phones"], F.lit(0)), F.get(c["accounts"], F.lit(0)), p["lo"], F.lit(None), F.lit(None), F.col("title"), F.lit(0.0))
+    full = dedup.completeness(F.get(c["phones"], F.lit(0)), F.get(c["accounts"], F.lit(0)), F.coalesce(p["lo"], p["hi"]), F.lit(None), F.lit(None), F.col("title"), F.lit(0.0))
     versions = ads.select(F.col("id").alias("seq"), "posted_at", full.alias("score"))
     chosen = dedup.survivors(versions, root, rules.hold_minutes)
     grouped = ads.select("id", "posted_at", "international").join(root.withColumnsRenamed({"seq": "id"}), "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -103,7 +103,7 @@ def form_fields(drafts: DataFrame, votes: DataFrame, categories: list[str], fall
     """Drafts of a form in the shape of parsed posts: pay parsed, remote is no region, and the profession that was voted
     for (``id, category, profession``) kept only where its category is the draft's."""
     voted = votes.select("id", F.col("category").alias("_category"), F.col("profession").alias("_profession"))
-    rows = drafts.withColumn("_pay", extract.pay(F.col("salary"))).join(voted, "id", "left")
+    rows = drafts.withColumn("_pay", extract.pay_value(F.col("salary"))).join(voted, "id", "left")
     remote = F.col("region") == "remote"
     return rows.select(
         "id", "title", F.col("_pay.lo").alias("salary_min"), F.col("_pay.hi").alias("salary_max"), F.col("_pay.currency").alias("currency"), F.col("_pay.period").alias("salary_period"),

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidemill.plans import flows, more, parsing, posts, relational, rest, whole  # noqa: F401
+    from tidemill.plans import flows, more, parsing, pay, posts, relational, rest, whole  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

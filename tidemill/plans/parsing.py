@@ -21,11 +21,12 @@ def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT *, {_AD} AS text FROM {{jobs}} WHERE coalesce(salary_min, salary_max) IS NOT NULL", jobs=view(spark, sf_dir, "jobs"))
 
 
-@query("pay_ranges", _ADS + """SELECT id, salary_min AS lo, salary_max AS hi, currency, salary_period AS period FROM ads WHERE CASE currency WHEN 'UZS' THEN coalesce(salary_min, salary_max) >= 100000 AND coalesce(salary_max, salary_min) <= 500000000
-WHEN 'RUB' THEN coalesce(salary_min, salary_max) >= 1000 AND coalesce(salary_max, salary_min) <= 50000000 ELSE coalesce(salary_min, salary_max) >= 20 AND coalesce(salary_max, salary_min) <= 1000000 END""")
+@query("pay_ranges", _ADS + """, told AS (SELECT *, CASE WHEN salary_period = 'day' THEN 'day' ELSE 'month' END AS period, coalesce(salary_min, salary_max) AS low, coalesce(salary_max, salary_min) AS high FROM ads)
+SELECT id, salary_min AS lo, salary_max AS hi, currency, period FROM told WHERE CASE currency WHEN 'UZS' THEN low >= CASE period WHEN 'day' THEN 30000 ELSE 500000 END AND high <= CASE period WHEN 'day' THEN 5000000 ELSE 200000000 END
+WHEN 'RUB' THEN period = 'day' OR (low >= 5000 AND high <= 2000000) ELSE low >= CASE period WHEN 'day' THEN 5 ELSE 50 END AND high <= CASE period WHEN 'day' THEN 1000 ELSE 30000 END END""")
 def pay_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pay ranges read back from the ads' wording, insane ones left out."""
-    found = ads(spark, sf_dir).select("id", extract.pay(F.col("text")).alias("p")).where("p is not null")
+    """Pay ranges read back from the ads' wording, insane ones left out."""
+    found = ads(spark, sf_dir).select("id", extract.pay(F.col("text")).alias("p")).where("coalesce(p.lo, p.hi) is not null")
     return found.select("id", "p.lo", "p.hi", "p.currency", "p.period")
 
 

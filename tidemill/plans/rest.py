@@ -47,7 +47,7 @@ _OF_ROLE = "CASE CAST(substr(profession, 5) AS INT) % 3 WHEN 0 THEN 'low' WHEN 1
 @query(
     "form_drafts",
     ctes("jobs")
-    + f"SELECT id, 'Clerk ' || coalesce(profession, 'wanted') AS title, {_KIND.format(a='(1 + user_id % 9) * 1000000', b='300 + user_id % 9')} AS salary_min, CASE WHEN currency = 'USD' THEN 500 + user_id % 9 END AS salary_max, {_KIND.format(a=chr(39) + 'UZS' + chr(39), b=chr(39) + 'USD' + chr(39))} AS currency, {_KIND.format(a=chr(39) + 'month' + chr(39), b=chr(39) + 'week' + chr(39))} AS salary_period, CASE WHEN NOT is_remote THEN region END AS region, is_remote, CASE WHEN category IN ('low', 'urgent', 'high') THEN category ELSE 'other' END AS category, CASE WHEN {_OF_ROLE} = category THEN profession END AS profession FROM jobs",
+    + f"SELECT id, 'Clerk ' || coalesce(profession, 'wanted') AS title, {_KIND.format(a='(1 + user_id % 9) * 1000000', b='300 + user_id % 9')} AS salary_min, {_KIND.format(a='(1 + user_id % 9) * 1000000', b='500 + user_id % 9')} AS salary_max, {_KIND.format(a=chr(39) + 'UZS' + chr(39), b=chr(39) + 'USD' + chr(39))} AS currency, {_KIND.format(a=chr(39) + 'month' + chr(39), b=chr(39) + 'week' + chr(39))} AS salary_period, CASE WHEN NOT is_remote THEN region END AS region, is_remote, CASE WHEN category IN ('low', 'urgent', 'high') THEN category ELSE 'other' END AS category, CASE WHEN {_OF_ROLE} = category THEN profession END AS profession FROM jobs",
 )
 def form_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafts of a form as parsed posts: pay from the typed words, the profession by votes over the title."""
@@ -62,7 +62,7 @@ def form_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submissions.form_fields(drafts, votes, ["low", "urgent", "high"])
 
 
-@query("budgets", "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN (1 + o_custkey % 9) * 1000000 WHEN 1 THEN 300 WHEN 2 THEN 2000000 END AS amount, CASE o_orderkey % 5 WHEN 0 THEN 'UZS' WHEN 1 THEN 'USD' WHEN 2 THEN 'UZS' END AS currency, CASE o_orderkey % 5 WHEN 0 THEN (1 + o_custkey % 9) || ' 000 000 so''mdan' WHEN 1 THEN '300 – 500 USD' WHEN 2 THEN '2 000 000 so''mgacha' WHEN 3 THEN 'as agreed' ELSE 'Negotiable' END AS shown FROM orders")
+@query("budgets", "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN (1 + o_custkey % 9) * 1000000 WHEN 1 THEN 300 WHEN 2 THEN 2000000 END AS amount, CASE o_orderkey % 5 WHEN 0 THEN 'UZS' WHEN 1 THEN 'USD' WHEN 2 THEN 'UZS' END AS currency, CASE o_orderkey % 5 WHEN 0 THEN (1 + o_custkey % 9) || ' 000 000 so''m' WHEN 1 THEN '300 – 500 USD' WHEN 2 THEN '2 000 000 so''mgacha' WHEN 3 THEN 'as agreed' ELSE 'Negotiable' END AS shown FROM orders")
 def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Budgets as amounts: from, between, up to, as typed, not given."""
     line = F.expr("CASE o_orderkey % 5 WHEN 0 THEN cast(1 + o_custkey % 9 as string) || ' mln so\\'m' WHEN 1 THEN '$300 - 500 per month' WHEN 2 THEN 'up to 2 000 000 so\\'m' WHEN 3 THEN ' as agreed ' END")
