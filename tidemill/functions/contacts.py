@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 #: Operator and city codes of the national numbering plan.
 CODES = [str(c) for c in (20, 33, 50, 55, *range(61, 80), 87, 88, 90, 91, 93, 94, 95, 97, 98, 99)]
-#: The national number (country code, area code that may stand in brackets, seven digits with a separator before each at most).
-PHONE = r"(?<![\p{L}\p{N}_+])((?:\+ ?)?998)?[ .-]?[(]?(\d\d)[)]?((?:[ .-]?\d){7})(?!\d)"
+COUNTRY = "998"
+_STEP = r"[ .-]?[(]?\d[)]?"  # one more digit, alone or after a separator
+#: A run of digits that may be a number: the country's code and nine more, or nine of which two stand together.
+PHONE = rf"(?<![\p{{L}}\p{{N}}_+])(?:\+?[ ]?{COUNTRY}(?:{_STEP}){{9}}|[(]?\d\d[)]?(?:{_STEP}){{7}})(?!\d)"
 PHONE_LINK = r"t\.me/\+998(\d{9})"
-#: Words that make a number beside them a phone, whatever its code: of telephones, of calling, of getting in touch.
-CONTEXT = r"(?i)(?<![\p{L}\p{N}])(?:tel|phone|call|contact|qo'ng'iroq|aloqa|bog'lan|murojaat|тел|звон|связ|алоқа|мурожаат)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 URL = r"(?:https?://|www\.)[^\s<>\"]+|\b(?:t\.me|telegra\.ph)/[^\s<>\"]+"
 ACCOUNT = r"(?<![\p{L}\p{N}_.@/])@([A-Za-z][A-Za-z0-9_]{3,31})|(?:t|telegram)\.me/([A-Za-z][A-Za-z0-9_]{3,31})(?![A-Za-z0-9_/])"
@@ -31,43 +31,37 @@ class LinkClass:
     score: int
 
 
-#: Classes in the order in which they are tried; a link of none of them is judged by its words. Callers may pass their own.
-LINK_CLASSES = (
-    LinkClass("message of a channel", r"(?i)\b(?:t|telegram)\.me/(?:c/)?\w+/\d+", 0),
-    LinkClass("invitation to a channel", r"(?i)\bt\.me/(?:addlist|\+(?!998\d))", 0),
-    LinkClass("social network", r"(?i)(?:^|[/.])(?:(?:facebook|fb|instagram|tiktok|twitter|x|youtube)\.com|youtu\.be)(?:[/?]|$)", 0),
-    LinkClass("profile of a person or firm", r"(?i)linkedin\.com/(?:in|company)/", 0),
-    LinkClass("form", r"(?i)forms\.(?:gle|office\.com)/|google\.com/forms/|typeform\.com/", 3),
-    LinkClass("job board", r"(?i)(?:^|[/.])hh\.(?:uz|ru)/vacancy|headhunter|linkedin\.com/(?:(?:comm/)?jobs|posts|feed/update)|(?:^|[/.])lnkd\.in/", 3),
-    LinkClass("vacancy page of a site", r"(?i)/(?:apply|vacanc|career)|/jobs/\w", 3),
-    LinkClass("long read", r"(?i)telegra\.ph/", 3),
-    LinkClass("bot with a start word", r"(?i)\bt\.me/\w+bot\?start=", 3),
-)
-#: Beginnings of words under a link that invite to apply, by what they say.
-LINK_WORDS = {
-    "apply": ["apply", "get the job", "get a job", "ariza", "murojaat", "отклик", "заявк"],
-    "details": ["havola", "batafsil", "подробн", "описание"],
-    "papers": ["resume", "rezyume", "anketa", "анкет"],
-    "touch": ["aloqa", "bog'lan"],
-}
-#: The same for words that count only as a whole.
-LINK_WHOLE_WORDS = ["cv", "link"]
+@dataclass(frozen=True)
+class LinkRules:
+    """Classes of links, in the order in which they are tried; a link of none of them is judged by its words: beginnings of words that invite to apply, and whole ones."""
+
+    classes: tuple[LinkClass, ...] = ()
+    begin: tuple[str, ...] = ()
+    whole: tuple[str, ...] = ()
 
 
 def _empty(kind: str = "array<string>") -> Column:
     return F.array().cast(kind)
 
 
-def phones(text: Column) -> Column:
-    """Numbers as +998XXXXXXXXX, in order, once: with the country prefix or a known code, or beside a context word on the line."""
+def phones(text: Column, context: tuple[str, ...] = ()) -> Column:
+    """Numbers as +998XXXXXXXXX, in order, once: runs of digits with the country's code, with a known code, or beside a word of ``context`` on the line.
+
+    ``context``: beginnings of words that make a number beside them a phone, whatever its code.
+    """
+    near = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(context)})" if context else None
 
     def line(x: Column) -> Column:
         linked = F.transform(F.regexp_extract_all(x, F.lit(PHONE_LINK), F.lit(1)), lambda d: F.concat(F.lit("+998"), d))
         plain = F.regexp_replace(F.regexp_replace(x, EMAIL, " "), URL, " ")
         digits = F.transform(F.regexp_extract_all(plain, F.lit(PHONE), F.lit(0)), lambda h: F.regexp_replace(h, r"\D", ""))
         known = F.array(*map(F.lit, CODES))
-        good = F.filter(digits, lambda d: ~d.endswith("000000") & ((F.length(d) == 12) | F.array_contains(known, F.substring(d, 1, 2)) | F.rlike(x, F.lit(CONTEXT))))
-        return F.concat(linked, F.transform(good, lambda d: F.concat(F.lit("+998"), F.right(d, F.lit(9)))))
+
+        def judged(d: Column) -> Column:
+            told = (F.length(d) == 12) | F.array_contains(known, F.substring(d, 1, 2))
+            return ~d.endswith("000000") & (told | F.rlike(x, F.lit(near)) if near else told)
+
+        return F.concat(linked, F.transform(F.filter(digits, judged), lambda d: F.concat(F.lit("+998"), F.right(d, F.lit(9)))))
 
     return F.array_distinct(F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line)))
 
@@ -101,31 +95,39 @@ def clean_url(url: Column, drop: list[str] | None = None) -> Column:
     return F.when(url.contains("?"), F.concat(F.regexp_extract(url, r"^([^?]*)", 1), tail, F.regexp_extract(url, r"(#.*)$", 1))).otherwise(url)
 
 
-def apply_score(url: Column, link_text: Column | None = None, classes: tuple[LinkClass, ...] = LINK_CLASSES, words: dict[str, list[str]] = LINK_WORDS) -> Column:
+def apply_score(url: Column, link_text: Column | None = None, rules: LinkRules = LinkRules()) -> Column:
     """How much a link looks like one to apply: by the first class that its address is of, else 2 by its words, 1 bare, 0 not."""
-    begin = "|".join(w.replace("'", "['’‘]?") for group in words.values() for w in group)
-    inviting = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{begin}|(?:{'|'.join(LINK_WHOLE_WORDS)})(?![\p{{L}}\p{{N}}_]))"
+    patterns = [*rules.begin, *(rf"(?:{w})(?![\p{{L}}\p{{N}}_])" for w in rules.whole)]
+    inviting = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(patterns)})" if patterns else r"(?!)"
     told = F.lit(1) if link_text is None else F.when(link_text.isNull(), 1).when(link_text.rlike(inviting), 2).otherwise(0)
-    return F.coalesce(*(F.when(url.rlike(c.address), c.score) for c in classes), told)
+    return F.coalesce(*(F.when(url.rlike(c.address), c.score) for c in rules.classes), told)
 
 
-def apply_links(links: Column) -> Column:
+def apply_links(links: Column, rules: LinkRules = LinkRules()) -> Column:
     """URLs of ``array<struct<text,url>>`` that look like links to apply, best score first, then in order."""
-    scored = F.transform(links, lambda x, i: F.struct((-apply_score(x["url"], x["text"])).alias("s"), i.alias("i"), x["url"].alias("url")))
+    scored = F.transform(links, lambda x, i: F.struct((-apply_score(x["url"], x["text"], rules)).alias("s"), i.alias("i"), x["url"].alias("url")))
     return F.array_distinct(F.transform(F.array_sort(F.filter(scored, lambda x: x["s"] < 0)), lambda x: x["url"]))
 
 
-def contacts(text: Column, links: Column | None = None, own: Column | None = None) -> Column:
-    """All contacts of a post as one struct, from its text and its hidden links and buttons."""
+def contacts(text: Column, links: Column | None = None, own: Column | None = None, context: tuple[str, ...] = (), rules: LinkRules = LinkRules(), drop: tuple[str, ...] = ()) -> Column:
+    """All contacts of a post as one struct, from its text and its hidden links and buttons.
+
+    ``drop``: patterns of accounts and addresses that are no one's contact (the service's own, sharing buttons): what matches one goes.
+    """
     links = links if links is not None else _empty("array<struct<text:string,url:string>>")
     bare = F.transform(urls(text), lambda u: F.struct(F.lit(None).cast("string").alias("text"), u.alias("url")))
     every = F.concat(bare, links)
     hidden = F.array_join(F.transform(links, lambda x: x["url"]), "\n")
+    unwanted = "(?i)(?:" + "|".join(drop) + ")" if drop else None
+
+    def kept(found: Column) -> Column:
+        return F.filter(found, lambda x: ~F.rlike(x, F.lit(unwanted))) if unwanted else found
+
     return F.struct(
-        F.array_union(phones(text), phones(hidden)).alias("phones"),
-        F.array_union(accounts(text, own), accounts(hidden, own)).alias("accounts"),
-        emails(text).alias("emails"),
-        apply_links(every).alias("links"),
+        F.array_union(phones(text, context), phones(hidden, context)).alias("phones"),
+        kept(F.array_union(accounts(text, own), accounts(hidden, own))).alias("accounts"),
+        kept(emails(text)).alias("emails"),
+        kept(apply_links(every, rules)).alias("links"),
     )
 
 

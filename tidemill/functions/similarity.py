@@ -1,37 +1,75 @@
-"""Indel similarity of texts: 200 * LCS / (len a + len b), and its token forms. Bit-parallel, in Arrow batches."""
+"""Indel similarity of texts: 200 * LCS / (len a + len b), and its token forms. Bit-parallel, for use inside Arrow batches.
+
+With ``least`` a value is exact where it reaches ``least``; else it is 0, mostly found without comparing whole texts.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
-
-
-def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a machine word of positions at a time in one big integer."""
+#: Characters after which a comparison looks whether it can still reach its least value.
+LOOK = 64
+
+
+def _common_prefix(a: str, b: str) -> int:
+    lo, hi = 0, min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        return hi
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
+def _lcs(a: str, b: str, least: int = 0) -> int:
+    """Length of the longest common subsequence, many positions at a time in one big integer; -1 where it is under ``least``."""
+    same = _common_prefix(a, b)
+    a, b = a[same:], b[same:]
+    back = _common_prefix(a[::-1], b[::-1])
+    a, b, same = a[: len(a) - back], b[: len(b) - back], same + back
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return same if same >= least else -1
+    if least and same + sum((Counter(a) & Counter(b)).values()) < least:
+        return -1
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | (1 << i)
     full = (1 << len(a)) - 1
     open_ = full
-    for c in b:
+    for k, c in enumerate(b):
         hit = open_ & places.get(c, 0)
-        open_ = ((open_ + hit) | (open_ - hit)) & full
-    return len(a) - open_.bit_count()
+        if hit:
+            open_ = ((open_ + hit) | (open_ - hit)) & full
+        if least and k % LOOK == LOOK - 1 and same + len(a) - open_.bit_count() + len(b) - 1 - k < least:
+            return -1
+    found = same + len(a) - open_.bit_count()
+    return found if found >= least else -1
 
 
-def ratio_of(a: str | None, b: str | None) -> float:
+def ratio_of(a: str | None, b: str | None, least: float = 0.0) -> float:
     a, b = a or "", b or ""
-    return 100.0 if not a and not b else 200.0 * _lcs(a, b) / (len(a) + len(b))
+    n = len(a) + len(b)
+    if not n:
+        return 100.0
+    needed = max(int(least * n / 200) - 1, 0)
+    while 200.0 * needed / n < least:
+        needed += 1
+    if needed > min(len(a), len(b)):
+        return 0.0
+    found = _lcs(a, b, needed)
+    return 200.0 * found / n if found >= 0 else 0.0
 
 
-def token_sort_of(a: str | None, b: str | None) -> float:
-    return ratio_of(" ".join(sorted((a or "").split())), " ".join(sorted((b or "").split())))
+def token_sort_of(a: str | None, b: str | None, least: float = 0.0) -> float:
+    return ratio_of(" ".join(sorted((a or "").split())), " ".join(sorted((b or "").split())), least)
 
 
-def token_set_of(a: str | None, b: str | None) -> float:
+def token_set_of(a: str | None, b: str | None, least: float = 0.0) -> float:
     """Common words against the words of each side; 100 where one side holds only common words."""
     x, y = set((a or "").split()), set((b or "").split())
     if not x or not y:
@@ -40,35 +78,5 @@ def token_set_of(a: str | None, b: str | None) -> float:
     if both and (not one or not two):
         return 100.0
     left, right = f"{both} {one}".strip(), f"{both} {two}".strip()
-    best = ratio_of(left, right)
-    return max(best, ratio_of(both, left), ratio_of(both, right)) if both else best
-
-
-def bigrams_of(text: str | None) -> list[int]:
-    """Neighbouring characters of the sorted tokens, numbered by occurrence: arrays share as many items as the texts share bigrams.
-
-    Texts of lengths a and b with a common subsequence of length c share at least 3 c - a - b - 1 of them: a character
-    that is left out breaks two bigrams of its text, one that is put in breaks one.
-    """
-    tokens, seen, out = " ".join(sorted((text or "").split())), Counter(), []
-    for x, y in zip(tokens, tokens[1:]):
-        gram = ord(x) << 21 | ord(y)
-        out.append(gram << 21 | seen[gram])
-        seen[gram] += 1
-    return out
-
-
-@F.pandas_udf(ArrayType(LongType()))
-def bigrams(a: pd.Series) -> pd.Series:
-    return a.map(bigrams_of)
-
-
-def _pairwise(f):
-    @F.pandas_udf(DoubleType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return run
-
-
-ratio, token_sort_ratio, token_set_ratio = _pairwise(ratio_of), _pairwise(token_sort_of), _pairwise(token_set_of)
+    best = ratio_of(left, right, least)
+    return max(best, ratio_of(both, left, least), ratio_of(both, right, least)) if both else best

@@ -42,6 +42,10 @@ class Rules:
     hold_minutes: int = 20
     international_a_day: int | None = None
     publish_backfill: bool = False
+    context: tuple[str, ...] = ()
+    links: contacts.LinkRules = contacts.LinkRules()
+    drop: tuple[str, ...] = ()
+    titles: dedup.TitleWords = dedup.TitleWords()
 
 
 def _or_false(df: DataFrame, name: str) -> Column:
@@ -54,7 +58,7 @@ def parsed(posts: DataFrame, rules: Rules, now: Column) -> DataFrame:
     links = F.coalesce("links", F.array().cast(LINKS)) if "links" in posts.columns else F.array().cast(LINKS)
     own = F.col("own") if "own" in posts.columns else F.array().cast("array<string>")
     at = F.coalesce("posted_at", "fetched_at")
-    folded = posts.select("*", fold(text).alias("_folded"), contacts.contacts(text, links, own).alias("_contacts"), own.alias("_own"))
+    folded = posts.select("*", fold(text).alias("_folded"), contacts.contacts(text, links, own, rules.context, rules.links, rules.drop).alias("_contacts"), own.alias("_own"))
     late = F.coalesce(extract.deadline(text, F.year(at)) < F.to_date(now), F.lit(False))
     tags = F.regexp_extract_all("_folded", F.lit(r"#([^\s#]+)"), F.lit(1))
     kind = extract.classify(
@@ -82,7 +86,7 @@ def flow(posts: DataFrame, rules: Rules, now: Column, layers: tuple[str, ...] =
         ads.withColumn("fetched_at", F.col("posted_at")), F.concat("contacts.phones", "contacts.accounts"),
         company=F.lower(F.coalesce("company", F.lit(""))), own=F.col("own"), title=F.lower("title"),
     )
-    root = stage(dedup.roots(dedup.parents(entry, layers=layers)), "roots-of-copies")
+    root = stage(dedup.roots(dedup.parents(entry, layers=layers, words=rules.titles)), "roots-of-copies")
     c, p = F.col("contacts"), F.col("pay")
     full = dedup.completeness(F.get(c["phones"], F.lit(0)), F.get(c["accounts"], F.lit(0)), F.coalesce(p["lo"], p["hi"]), F.lit(None), F.lit(None), F.col("title"), F.lit(0.0))
     versions = ads.select(F.col("id").alias("seq"), "posted_at", full.alias("score"))

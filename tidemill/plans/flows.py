@@ -21,7 +21,13 @@ MARKERS = {
     "closed": ["vacancy is closed"], "resume": ["looking for a job", "#resume"], "scam": ["deposit"], "scam_exceptions": ["no deposit"], "opportunity_strong": ["unpaid internship"],
     "opportunity_exceptions": ["paid later"], "not_job_strong": ["video lessons"], "opportunity": ["grant"], "ad": ["discount", "sale of"], "job": ["position", "salary", "duties", "phone", "schedule"],
 }
-RULES = flow.Rules(MARKERS, professions=["role"], international_a_day=40)
+CONTEXT = ("phone", "call", "ring")
+LINKS = contacts.LinkRules(
+    (contacts.LinkClass("message of a channel", r"t\.me/\w+/\d+", 0), contacts.LinkClass("picture page", r"instagram\.com/", 0), contacts.LinkClass("form", r"forms\.gle/", 3)),
+    begin=("apply", "havola"), whole=("form",),
+)
+TITLES = dedup.TitleWords(roles=("kerak", "menejer", "mutaxassis"), fillers=("va",))
+RULES = flow.Rules(MARKERS, professions=["role"], international_a_day=40, context=CONTEXT, links=LINKS, titles=TITLES)
 
 # each line of a post comes from columns of its order; the flow sees the text only
 _POST = """CASE WHEN profession IS NULL THEN 'Work for you' ELSE 'Position: ' || category || ' ' || profession END || chr(10)
@@ -179,7 +185,7 @@ def phone_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = F.concat(F.lit("+998 97 "), F.substring(three, 1, 3), F.lit("6 722"))
     line = F.concat(F.lit("Salary 4 000 000 so'm since 2026-09-19\n"), written, F.lit(" or ("), F.lit("97) "), three, F.lit("-67-22\nhttps://hh.uz/vacancy/137865831 "), again, F.lit("\nhotel 12 123 45 67 @"), user, F.lit(" https://t.me/"), F.upper(user), F.lit(" @own_one"))
     rows = table(spark, sf_dir, "customer").select(k.alias("id"), line.alias("t"))
-    return rows.select("id", F.array_join(contacts.phones(F.col("t")), ",").alias("phones"), F.array_join(contacts.accounts(F.col("t"), F.array(F.lit("@own_one"))), ",").alias("accounts"))
+    return rows.select("id", F.array_join(contacts.phones(F.col("t"), CONTEXT), ",").alias("phones"), F.array_join(contacts.accounts(F.col("t"), F.array(F.lit("@own_one"))), ",").alias("accounts"))
 
 
 @query("apply_choices", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://forms.gle/' || page_id WHEN 1 THEN 'https://b.example.com/go/' || page_id WHEN 2 THEN 'https://a.uz/' || page_id ELSE '' END AS best FROM pages")
@@ -194,7 +200,7 @@ def apply_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare, told, form = link(None, F.lit("https://a.uz/"), k), link("📝 Apply here", F.lit("https://b.example.com/go/"), k), link("Jobs", F.lit("https://forms.gle/"), k)
     kind = F.col("page_id") % 4
     links = F.array(social, message, *(F.when(keep, x) for keep, x in ((kind <= 2, bare), (kind <= 1, told), (kind == 0, form))))
-    found = table(spark, sf_dir, "pages").select("page_id", contacts.apply_links(F.array_compact(links)).alias("l"))
+    found = table(spark, sf_dir, "pages").select("page_id", contacts.apply_links(F.array_compact(links), LINKS).alias("l"))
     return found.select("page_id", F.coalesce(F.get("l", F.lit(0)), F.lit("")).alias("best"))
 
 
@@ -202,7 +208,7 @@ def apply_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of titles that tell positions apart, spellings folded."""
     line = F.concat(F.lit("“HUNTER” Sottuv/menejeri va "), F.substring("o_orderpriority", 1, 1), F.lit(" mutaxxassisi kerak"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), dedup.title_core(line).alias("core"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), dedup.title_core(line, TITLES.roles, TITLES.fillers).alias("core"))
 
 
 @query("deadline_forms", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS deadline FROM orders")

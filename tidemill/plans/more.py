@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import contacts, text
-from tidemill.operators import extract, queue, search, submissions
+from tidemill.operators import extract, queue, submissions
 from tidemill.plans.catalog import query
 from tidemill.plans.parsing import _ADS, ads
 from tidemill.plans.views import NOW, ctes, now, view
@@ -63,15 +63,6 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.to_raw(jobs, "x").select("external_id", "text")
 
 
-@query("source_sync", "SELECT coalesce(s.n, c.n) AS identifier, coalesce(c.url, s.url) AS url, coalesce(s.note, c.note) AS note FROM (SELECT s_name AS n, 'old' AS url, 'kept' AS note FROM supplier WHERE s_suppkey % 2 = 0) s FULL JOIN (SELECT s_name AS n, 'new' AS url, 'fresh' AS note FROM supplier WHERE s_suppkey % 3 = 0) c ON s.n = c.n")
-def source_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source dimension after a change of its configuration."""
-    s = table(spark, sf_dir, "supplier")
-    old = s.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("identifier"), F.lit("old").alias("url"), F.lit("kept").alias("note"))
-    new = s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("identifier"), F.lit("new").alias("url"), F.lit("fresh").alias("note"))
-    return steps.synced_sources(old, new, ["url"], ["note"])
-
-
 @query("page_sources", "SELECT page_id, 'site' AS kind, lower(regexp_extract(regexp_replace(url, '(?i)^(?:https?://)?(?:www\\.)?', ''), '(?i)^([a-z0-9-]+(?:\\.[a-z0-9-]+)+)', 1)) AS identifier FROM pages")
 def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds and identifiers of given addresses."""
@@ -105,13 +96,6 @@ def seekers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.seekers(extract.lines(ads(spark, sf_dir)), ["position", "company", "salary", "place"], "urgent", "zzz")
 
 
-@query("repeated_drafts", ctes("jobs") + f"SELECT d.id, min(j.id) AS job_id FROM (SELECT id, user_id, category || region AS digest FROM jobs WHERE id % 50 = 0) d JOIN jobs j ON d.user_id = j.user_id AND d.digest = j.category || j.region WHERE j.status <> 'rejected' AND j.created_at >= {T} - INTERVAL 900 DAY GROUP BY d.id")
-def repeated_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Submitted drafts that repeat a recent job."""
-    jobs = view(spark, sf_dir, "jobs").withColumn("digest", F.concat("category", "region"))
-    return submissions.repeated(jobs.where("id % 50 = 0").select("id", "user_id", "digest"), jobs, now(), 900)
-
-
 @query("moderation", ctes("jobs") + """SELECT id, CASE WHEN id % 6 = 0 AND id % 10 = 0 THEN 'no_contact' WHEN id % 7 = 0 THEN 'limit' WHEN category = 'urgent' THEN 'rejected' WHEN id % 11 = 0 THEN 'duplicate' WHEN salary_min > 400000 THEN 'review' ELSE 'queued' END AS outcome FROM jobs WHERE origin = 'user'""")
 def moderation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of submissions by the first rule that holds."""
@@ -130,13 +114,6 @@ def publication_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submissions.publication_state(posts, view(spark, sf_dir, "jobs"), copies)
 
 
-@query("source_overview", ctes("posts") + "SELECT s.source, coalesce(c.n, 0) AS posts, c.newest FROM (SELECT 'src' || s_suppkey AS source FROM supplier WHERE s_suppkey < 30) s LEFT JOIN (SELECT source, count(*) AS n, max(coalesce(posted_at, fetched_at)) AS newest FROM posts GROUP BY source) c USING (source)")
-def source_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source with its posts, empty ones included."""
-    sources = table(spark, sf_dir, "supplier").where("s_suppkey < 30").select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("source"))
-    return submissions.source_overview(sources, view(spark, sf_dir, "posts"))
-
-
 @query("slot_plan")
 def slot_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H7: publication times of the waiting queue with quiet hours; tests compare them with a plain loop."""
@@ -171,15 +148,6 @@ def due_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.due_sources(rows, now()).select("id")
 
 
-@query("asset_sync", "SELECT coalesce(a.path, b.path) AS path, coalesce(b.d, a.d) AS digest, CASE WHEN b.d IS NULL OR a.d = b.d THEN a.c END AS cached_id, a.d IS NULL AS added FROM (SELECT p_partkey AS path, p_brand AS d, p_size AS c FROM part WHERE p_partkey % 2 = 0) a FULL JOIN (SELECT p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE p_brand END AS d FROM part WHERE p_partkey % 3 = 0) b ON a.path = b.path")
-def asset_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The asset table after a scan of the files."""
-    p = table(spark, sf_dir, "part")
-    old = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("digest"), F.col("p_size").alias("cached_id"))
-    new = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("path"), F.when(F.col("p_partkey") % 5 == 0, "x").otherwise(F.col("p_brand")).alias("digest"))
-    return steps.synced_assets(old, new)
-
-
 @query("word_list", "SELECT DISTINCT word, kind FROM (SELECT event_type AS word, 'a' AS kind FROM events WHERE event_type NOT IN ('click', 'view') UNION ALL SELECT event_type || (user_id % 10), 'a' FROM (SELECT event_type, user_id % 10 AS user_id, arg_max(value > 50, ts) AS deleted FROM events GROUP BY 1, 2) WHERE NOT deleted) WHERE true")
 def word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word list after edits; the latest edit of a word wins."""
@@ -189,12 +157,6 @@ def word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.words_after(old, edits)
 
 
-@query("open_page", ctes("jobs") + f"SELECT id, category FROM jobs WHERE kind = 'job' AND status = 'published' AND (expires_at IS NULL OR expires_at > {T}) AND id IN (5, 15, 25, 35, 45, 55, 65, 75)")
-def open_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookup of visible jobs."""
-    return view(spark, sf_dir, "jobs").where(search.is_open(now()) & F.col("id").isin(*range(5, 80, 10))).select("id", "category")
-
-
 @query("search_texts", ctes("jobs") + "SELECT id, lower(category) || chr(10) || lower(source) AS search_text FROM jobs")
 def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search forms of joined fields, filled in where they are missing."""
@@ -211,11 +173,3 @@ def touched_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     visits = table(spark, sf_dir, "events").select((F.col("user_id") * 2).alias("id"), "ts", e.alias("visit"), F.concat(F.lit("n"), (e % 2).cast("string")).alias("name"), (e % 2).alias("trust"))
     return steps.touched_users(users, visits)
-
-
-@query("album_rows", ctes("posts", "jobs") + "SELECT p.id FROM posts p WHERE (p.id % 7 <> 0 AND (p.id - 1) IN (SELECT id FROM jobs WHERE status = 'published' AND id % 20 = 1)) OR p.id IN (SELECT raw_post_id FROM jobs WHERE status = 'published' AND id % 20 = 1)")
-def album_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I16: all posts behind some published jobs, once each."""
-    jobs = view(spark, sf_dir, "jobs").where("status = 'published' AND id % 20 = 1").select("id", "raw_post_id")
-    posts = view(spark, sf_dir, "posts").select("id", F.when(F.col("id") % 7 != 0, F.col("id") - 1).alias("job_id"))
-    return submissions.current_rows(jobs, posts).select("id")

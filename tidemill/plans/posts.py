@@ -54,12 +54,6 @@ def keyword_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", (F.length("text") - F.length(text.without_keywords(low, ["der"]))).cast("long").alias("blanked"))
 
 
-@query("slugs", "SELECT doc_id, regexp_replace(substr(regexp_replace(lower(substr(text, 1, 90)), '[^a-z0-9]+', '-', 'g'), 1, 60), '^-+|-+$', '', 'g') AS slug FROM documents")
-def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """URL slugs of document titles."""
-    return _docs(spark, sf_dir).select("doc_id", text.slug(F.substring("text", 1, 90)).alias("slug"))
-
-
 _URL = r"(?:https?://|www\.)[^\s<>\"]+|\b(?:t\.me|telegra\.ph)/[^\s<>\"]+"
 
 
@@ -237,14 +231,6 @@ def throttled_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.throttled(rows, 3600).select("id", "sent")
 
 
-@query("albums", """WITH p AS (SELECT event_type AS source, user_id % 20 AS grouped_id, event_id AS id, ts AS fetched_at FROM events), g AS (SELECT *, CASE WHEN fetched_at >= lag(fetched_at) OVER w + INTERVAL 3600 SECOND THEN 1 ELSE 0 END AS new FROM p WINDOW w AS (PARTITION BY source, grouped_id ORDER BY fetched_at, id)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY source, grouped_id ORDER BY fetched_at, id) AS k FROM g) SELECT source, grouped_id, min(id) AS id, count(*) AS n_parts, max(fetched_at) AS fetched_at FROM s GROUP BY source, grouped_id, k""")
-def albums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that arrive close together as one post."""
-    parts = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), (F.col("user_id") % 20).alias("grouped_id"), F.col("event_id").alias("id"), F.lit("x").alias("text"), F.col("ts").alias("fetched_at"))
-    return steps.albums(parts, 3600).drop("text")
-
-
 @query("expiry", ctes("jobs") + f"SELECT id, coalesce(expires_at, published_at + INTERVAL 30 DAY) AS expires_at, CASE WHEN status = 'published' AND coalesce(expires_at, published_at + INTERVAL 30 DAY) <= {T} THEN 'expired' ELSE status END AS status FROM jobs")
 def expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End dates and expiry."""

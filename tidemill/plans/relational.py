@@ -66,15 +66,6 @@ def search_log_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.last_search(log)
 
 
-@query("rate_as_of", """WITH rates AS (SELECT date_trunc('day', l_shipdate) AS day, max(l_extendedprice) AS rate FROM lineitem WHERE l_partkey % 40 = 0 GROUP BY 1),
-sane AS (SELECT * FROM rates WHERE rate > 1000 AND rate < 100000) SELECT o_orderkey AS id, coalesce(rate, 12500.0) AS usd_rate FROM orders ASOF LEFT JOIN sane ON o_orderdate >= day""")
-def rate_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest stored rate at each job's date, else the fall-back."""
-    rates = table(spark, sf_dir, "lineitem").where("l_partkey % 40 = 0").groupBy(F.date_trunc("day", "l_shipdate").alias("day")).agg(F.max("l_extendedprice").alias("rate"))
-    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate")
-    return search.as_of_rate(jobs, rates, RATE, at="o_orderdate").select("id", "usd_rate")
-
-
 @query("saved_jobs", ctes("jobs") + """SELECT j.id, category, status, f.ts AS saved_at, count(*) OVER () AS total FROM (SELECT user_id, value_id AS job_id, ts FROM (SELECT user_id, event_id AS value_id, ts FROM events WHERE event_type = 'click') WHERE user_id = 7) f JOIN jobs j ON j.id = f.job_id ORDER BY saved_at DESC, id DESC LIMIT 15""")
 def saved_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's saved jobs."""
@@ -82,13 +73,6 @@ def saved_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.saved_jobs(saved, view(spark, sf_dir, "jobs"), 7, 15)
 
 
-@query("insert_ignore", """SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 1 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 50 = 0)""")
-def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose key is not stored yet, once each."""
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return search.insert_ignore(events.where("event_id % 2 = 1"), events.where("event_id % 50 = 0"), ["user_id", "event_type"]).select("user_id", "event_type")
-
-
 @query("own_jobs", ctes("jobs") + "SELECT id, user_id, created_at, status FROM jobs WHERE user_id = 42 AND origin = 'user' ORDER BY created_at DESC, id DESC LIMIT 20")
 def own_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's own ads, newest first."""
@@ -199,15 +183,6 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.changed_fields(jobs.where("id % 17 <> 0"), new, "id", ["salary_min", "status"])
 
 
-@query("coverage_grid", """WITH assets AS (SELECT p_brand AS folder, p_name || CAST(p_partkey AS VARCHAR) AS path, p_size % 3 = 0 AS is_placeholder FROM part WHERE p_size > 48), grid AS (SELECT DISTINCT p_brand AS folder, slot FROM part, (SELECT unnest(range(1, 4)) AS slot)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY is_placeholder, path) AS slot FROM assets) SELECT folder, CAST(slot AS INT) AS slot, path, CASE WHEN path IS NULL THEN 'gap' WHEN is_placeholder THEN 'placeholder' ELSE 'real' END AS state FROM grid LEFT JOIN ranked USING (folder, slot)""")
-def coverage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots of every folder against existing assets."""
-    part = table(spark, sf_dir, "part")
-    assets = part.where("p_size > 48").select(F.col("p_brand").alias("folder"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"), (F.col("p_size") % 3 == 0).alias("is_placeholder"))
-    return reports.coverage_grid(part.select(F.col("p_brand").alias("folder")), assets, 3)
-
-
 @query("publish_order", ctes("jobs") + f"SELECT id, row_number() OVER (ORDER BY {TIER}, created_at DESC, id DESC) AS place FROM jobs WHERE status IN ('queued', 'retry') ORDER BY place LIMIT 500")
 def publish_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1: the head of the queue in its order."""
@@ -266,15 +241,3 @@ SELECT *, CASE WHEN waiting >= 3 THEN 'waiting' WHEN day_count >= 2 THEN 'day' W
 def submission_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Limits of an author's submissions."""
     return queue.submission_limits(view(spark, sf_dir, "jobs"), 3, 2, 43200)
-
-
-@query("rotating_assets", ctes("jobs").rstrip() + """, a AS (SELECT CASE p_size % 4 WHEN 0 THEN 'role' || CAST(p_partkey % 4 AS VARCHAR) WHEN 1 THEN 'low' WHEN 2 THEN 'high' ELSE 'default' END AS folder, p_name || CAST(p_partkey AS VARCHAR) AS path, p_size % 3 = 0 AS ph FROM part WHERE p_size > 40),
-best AS (SELECT folder, path FROM a WHERE NOT ph OR folder NOT IN (SELECT folder FROM a WHERE NOT ph)), b AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY path) - 1 AS nth, count(*) OVER (PARTITION BY folder) AS n FROM best),
-j AS (SELECT id, created_at, CASE WHEN profession IN (SELECT folder FROM b) THEN profession WHEN category IN (SELECT folder FROM b) THEN category ELSE 'default' END AS folder FROM jobs), t AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY created_at, id) - 1 AS turn FROM j)
-SELECT id, t.folder, path FROM t JOIN b ON t.folder = b.folder AND t.turn % b.n = b.nth""")
-def rotating_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H9: an asset for each job, in turn."""
-    size = F.col("p_size")
-    folder = F.when(size % 4 == 0, F.concat(F.lit("role"), (F.col("p_partkey") % 4).cast("string"))).when(size % 4 == 1, "low").when(size % 4 == 2, "high").otherwise("default")
-    assets = table(spark, sf_dir, "part").where("p_size > 40").select(folder.alias("folder"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"), (size % 3 == 0).alias("is_placeholder"))
-    return queue.rotate(view(spark, sf_dir, "jobs").select("id", "created_at", "profession", "category"), assets)

@@ -1,7 +1,4 @@
-"""Whole-table forms of queries that ``relational``, ``more`` and ``posts`` register over subsets of their tables.
-
-Those keep their SQL; each query here has its own and reads every row. Two sides, where an operator needs them, are told
-apart by a column's value and cover the table together.
+"""Queries that hold one part of a table against the other; the parts are told apart by a column's value and cover the table together.
 """
 
 from __future__ import annotations
@@ -98,3 +95,21 @@ def slugs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URL slugs of whole first lines."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", text.slug(F.substring_index("text", "\n", 1)).alias("slug"))
+
+
+@query("source_changes", "SELECT s_name AS identifier, CASE WHEN s_acctbal < 6000 THEN 'new' ELSE 'old' END AS url, CASE WHEN s_acctbal >= 3000 THEN 'kept' ELSE 'fresh' END AS note FROM supplier")
+def source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source dimension after a change of its configuration: stored sources, configured ones, and those that are both."""
+    s, worth = table(spark, sf_dir, "supplier"), F.col("s_acctbal")
+    old = s.where(worth >= 3000).select(F.col("s_name").alias("identifier"), F.lit("old").alias("url"), F.lit("kept").alias("note"))
+    new = s.where(worth < 6000).select(F.col("s_name").alias("identifier"), F.lit("new").alias("url"), F.lit("fresh").alias("note"))
+    return steps.synced_sources(old, new, ["url"], ["note"])
+
+
+@query("asset_changes", "SELECT p_partkey AS path, CASE WHEN p_size > 20 AND p_retailprice > 1200 THEN 'x' ELSE p_brand END AS digest, CASE WHEN p_size <= 35 AND (p_size <= 20 OR p_retailprice <= 1200) THEN p_size END AS cached_id, p_size > 35 AS added FROM part")
+def asset_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The asset table after a scan of the files: files that are gone, changed, the same and new."""
+    p, size = table(spark, sf_dir, "part"), F.col("p_size")
+    old = p.where(size <= 35).select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("digest"), F.col("p_size").alias("cached_id"))
+    new = p.where(size > 20).select(F.col("p_partkey").alias("path"), F.when(F.col("p_retailprice") > 1200, "x").otherwise(F.col("p_brand")).alias("digest"))
+    return steps.synced_assets(old, new)
