@@ -180,6 +180,21 @@ def test_counts_of_other_tokenizers(spark, name):
         assert got[d] == want
 
 
+def test_counts_are_compacted_and_depend_on_the_library(spark, tmp_path, monkeypatch):
+    path, cache, small = tokens.public_path("word_bpe_49k.json"), f"file://{tmp_path}/counts", f"file://{tmp_path}/compacted"
+    version = token_counts.counted_by(path)
+    assert tokens.file_digest(path) in version and version.endswith(f"-{token_counts.NORMAL_FORM}")
+    for k in range(3):  # three runs, three sets of files
+        token_counts.count_tokens(docs(spark, [(k, f"text number {k}", "en", "a", 9)]), cache=cache).collect()
+    token_counts.compact(spark, cache, version, small)
+    rows = [spark.read.schema(token_counts.CACHE).parquet(c).collect() for c in (cache, small)]
+    assert keyed(rows[0]) == keyed(rows[1]) and len(rows[1]) == 3
+    monkeypatch.setattr(token_counts, "_encode", None)  # all is stored
+    assert token_counts.count_tokens(docs(spark, [(1, "text number 1", "en", "a", 9)]), cache=small).first()["n_tokens"] > 0
+    monkeypatch.setattr(token_counts, "NORMAL_FORM", 99)
+    assert token_counts.counted_by(path) != version
+
+
 def test_random_unicode_has_the_library_s_ids():
     bpe, words = tokens.public_path("byte_bpe_50k.json"), tokens.public_path("word_bpe_49k.json")
     rng = np.random.default_rng(21)

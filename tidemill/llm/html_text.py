@@ -11,8 +11,8 @@ id and html, so the same in every run) with one ``article`` or ``main`` element
 it is main text, apart from menus, asides, forms and footers, and apart from what its own names call comments,
 adverts, share bars and the like. The same texts are then wrapped in random layouts that lack such elements, or hold
 comments, notices, adverts, share bars and forms beside and inside the text, with their labels known. Trees are
-trained on a bounded sample of the nodes of both (``NODES``), with every attribute token that ``LEAST_PAGES`` of the
-training pages hold. Only the made layouts carry the attribute that marks main text; on pages it means nothing.
+trained on a bounded sample of the nodes of both (``NODES``), with every attribute token, by its digest. Sampled pages are
+used whole. Only the made layouts carry the attribute that marks main text; on pages it means nothing.
 
 Defined results: null or empty html, or a page without main text, gives an empty text; repeated rows each give a row;
 an empty table gives no rows; pages of any length are read whole, in time that grows with their length, and a large
@@ -21,7 +21,6 @@ page's nodes are scored some at a time; a tag that the page's end cuts off is dr
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from html import escape
 
@@ -30,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.html_tree import Page, feature_chunks, parse
+from tidemill.llm.html_tree import Buckets, Page, feature_chunks, parse
 
 #: Pages of the training sample, random layouts made of their texts, nodes (labelled rows) that trees are trained on.
 SAMPLE, LAYOUTS, NODES = 400, 400, 80_000
-#: Main texts of fewer characters count so many times.
-SHORT, SHORT_TIMES = 250, 4
-#: Training pages that hold a token of the vocabulary, at least.
-LEAST_PAGES = 8
+#: Numbers that attribute tokens are dealt to by a digest.
+TOKENS = 256
 MARK = "data-main"
+#: Share of the made layouts whose main text is made of few words.
+SHORT_LAYOUTS = 0.4
 #: Trees, their depth, learning rate, bins of a feature, rows of a leaf, penalty, share of the features that a tree may use.
 TREES, LEVELS, RATE, BINS, LEAST_ROWS, SHRINK, SHARE, SEED = 90, 4, 0.3, 24, 6, 1.0, 0.2, 5
 #: Nodes of small pages whose features are computed together.
@@ -235,7 +234,7 @@ class Layout:
         if how < 0.68:
             return f"<p{mark}>{inner}</p>" if self.chance(0.85) else f"<p{mark}>{inner}"
         if how < 0.76:
-            return f"<{(h := self.pick('h2|h3'))}{mark}>{' '.join(words[:8])}</{h}>"
+            return f"<{(h := self.pick('h2|h3'))}{mark}>{self.phrase(2, 8)}</{h}>"
         if how < 0.84:
             return f"<blockquote{mark}>{inner}</blockquote>" if self.chance(0.5) else f"<blockquote><p{mark}>{inner}</p></blockquote>"
         if how < 0.92:
@@ -259,9 +258,9 @@ class Layout:
 
 
 class Model:
-    """Vocabulary of attribute tokens and trees."""
+    """Numbers of attribute tokens, and trees."""
 
-    def __init__(self, vocabulary: dict[str, int], trees: Trees):
+    def __init__(self, vocabulary: Buckets, trees: Trees):
         self.vocabulary, self.trees = vocabulary, trees
 
 
@@ -273,21 +272,19 @@ def fit(pages: list[str], seed: int = SEED) -> Model:
         page = parse(source)
         known = labels(page)
         if known is not None:
-            # short texts are rare, and the hardest to tell from the rest of a page
-            short = sum(len(run) for node, run, _ in page.runs if known[node]) < SHORT
-            trees += [(page, known)] * (SHORT_TIMES if short else 1)
+            trees.append((page, known))
     for k in range(LAYOUTS if trees else 0):
         page, known = trees[k % len(trees)]
-        words = " ".join(run for _, run, _ in page.runs).split()[:400]
-        most = int(rng.integers(3, 12)) if rng.random() < 0.25 else 120  # not all blocks are long
-        blocks = [" ".join(run.split()[:most]) for node, run, _ in page.runs if known[node]]
-        made = parse(Layout(rng, words).page(blocks[: int(rng.integers(1, 10))] or ["word"]), MARK)
+        words = " ".join(run for _, run, _ in page.runs).split() or ["word"]
+        blocks = [run for node, run, _ in page.runs if known[node]]
+        if rng.random() < SHORT_LAYOUTS:  # not all texts are long: a few blocks of a few words, drawn from the page's
+            blocks = [" ".join(words[int(i)] for i in rng.integers(len(words), size=int(rng.integers(3, 12)))) for _ in range(int(rng.integers(1, 10)))]
+        made = parse(Layout(rng, words).page(blocks or ["word"]), MARK)
         trees.append((made, labels(made)))
     if not trees:
         made = [parse(Layout(rng, "some words to fill a page with text".split()).page(["Some words, and more of them. " * 3] * 4), MARK) for _ in range(50)]
         trees = [(p, labels(p)) for p in made]
-    seen = Counter(t for page, _ in trees for t in {t for ts in page.tokens for t in ts})
-    vocabulary = {t: k for k, t in enumerate(sorted(t for t, n in seen.items() if n >= LEAST_PAGES))}
+    vocabulary = Buckets(TOKENS)
     share = min(1.0, NODES / max(1, sum(len(p.tags) for p, _ in trees)))
     xs, ys = [], []
     for page, known in trees:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -209,7 +210,20 @@ NUMBERS = (
 CELLS = 3_000_000
 
 
-def feature_chunks(pages: list[Page], vocabulary: dict[str, int], cells: int = CELLS) -> Iterator[np.ndarray]:
+class Buckets:
+    """Numbers of attribute tokens by a digest, so that every token of every page counts and none is left out for being rare."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def get(self, token: str) -> int:
+        return zlib.crc32(token.encode("utf-8", "surrogatepass")) % self.n
+
+
+def feature_chunks(pages: list[Page], vocabulary: dict[str, int] | Buckets, cells: int = CELLS) -> Iterator[np.ndarray]:
     """Feature rows of all nodes of the pages, page after page, some nodes at a time however large a page is."""
     sizes = np.array([len(p.tags) for p in pages], dtype=np.int64)
     first = np.cumsum(sizes) - sizes
@@ -292,7 +306,7 @@ def feature_chunks(pages: list[Page], vocabulary: dict[str, int], cells: int = C
         yield out
 
 
-def features(pages: list[Page], vocabulary: dict[str, int]) -> np.ndarray:
+def features(pages: list[Page], vocabulary: dict[str, int] | Buckets) -> np.ndarray:
     """All feature rows together."""
     parts = list(feature_chunks(pages, vocabulary))
     return np.concatenate(parts) if parts else np.zeros((0, 0), dtype=np.float32)

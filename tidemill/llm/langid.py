@@ -31,12 +31,12 @@ from tidemill.llm.names import unused, without
 from tidemill.session import stage
 
 FOLDS = 5
-#: Rows of a language in the training sample, and rows of all languages.
+#: Rows of a language in the training sample, and rows of all languages; with more languages than that each still gives one row.
 SAMPLE, SAMPLE_ROWS = 500, 50_000
 WINDOW, WIDTHS, FILTERS, DIMS = 512, (2, 3, 4, 5), 8, 8
 BATCH, RATE, SEED = 32, 0.004, 11
-#: Windows seen in training, about: the more there are, the fewer epochs, from ``EPOCHS`` down to one.
-SEEN, EPOCHS = 40_000, 40
+#: Training steps, a batch of windows each, whatever the number of windows.
+STEPS = 1250
 #: Languages whose shares are sent to every task.
 BROADCAST_LANGUAGES = 100_000
 #: Windows that are classified together.
@@ -119,29 +119,27 @@ def fit(texts: list[str], labels: list[str], seed: int = SEED) -> Net | None:
     if not languages:
         return None
     rng = np.random.default_rng(seed)
-    net = Net(languages, rng)
+    net, number = Net(languages, rng), {lang: k for k, lang in enumerate(languages)}
     parts, ys = [], []
     for text, label in zip(texts, labels, strict=True):
         w, _ = windows_of(text.encode("utf-8"))
         parts.append(w)
-        ys.append(np.full(len(w), languages.index(label)))
+        ys.append(np.full(len(w), number[label]))
     x, y = np.concatenate(parts), np.concatenate(ys)
-    epochs = max(1, min(EPOCHS, round(SEEN / len(x))))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    step, steps = 0, epochs * -(-len(x) // BATCH)
-    for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for lo in range(0, len(x), BATCH):
-            rows = order[lo : lo + BATCH]
-            batch = x[rows].astype(np.int64)
-            keep = np.where(rng.random(len(rows)) < 0.5, WINDOW, rng.integers(16, WINDOW, len(rows)))
-            batch[np.arange(WINDOW)[None, :] >= keep[:, None]] = PAD
-            step += 1
-            rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
-            for p, g, (m, v) in zip(net.parameters(), net.gradients(batch, y[rows]), moments, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    order = np.zeros(0, dtype=np.int64)
+    for step in range(1, STEPS + 1):
+        while len(order) < BATCH:  # all windows in random order, again and again
+            order = np.concatenate([order, rng.permutation(len(x))])
+        rows, order = order[:BATCH], order[BATCH:]
+        batch = x[rows].astype(np.int64)
+        keep = np.where(rng.random(len(rows)) < 0.5, WINDOW, rng.integers(16, WINDOW, len(rows)))
+        batch[np.arange(WINDOW)[None, :] >= keep[:, None]] = PAD
+        rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
+        for p, g, (m, v) in zip(net.parameters(), net.gradients(batch, y[rows]), moments, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return net
 
 
@@ -193,7 +191,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     drawn = labelled.join(F.broadcast(shares) if n <= BROADCAST_LANGUAGES else shares, "l").where((draw < F.col("share")) | (F.col("h") == F.col("first")))
     # of equal rows one is taken
     taken = drawn.dropDuplicates(["l", "h"]).withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("place") <= most)
-    rows = sorted((r["l"], r["t"]) for r in taken.select("l", "t").collect())
+    # written once, and read by the driver one part after another
+    rows = sorted((r["l"], r["t"]) for r in stage(taken.select("l", "t"), "training-rows").toLocalIterator())
     return fit([t for _, t in rows], [lang for lang, _ in rows])
 
 
