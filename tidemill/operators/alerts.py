@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from tidemill.operators import search
+from tidemill.operators import folds, search
 from tidemill.session import stage
 
 FILTERS = ("category", "profession", "region", "min_salary", "keyword")
@@ -94,31 +95,62 @@ def per_user(found: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
 
 
 def capped(messages: DataFrame, limit: int, seconds: int = 86400, user: str = "user_id", at: str = "published_at", tie: str = "id", rows: str | None = None) -> DataFrame:
-    """``status``: ``sent`` while fewer than ``limit`` rows were sent in the ``seconds`` before, else ``digest``.
+    """``status``: ``sent`` while fewer than ``limit`` rows of a user were sent in the ``seconds`` before, else ``digest``.
 
-    Only sent rows count, so the rule is recursive: rows of a user are read in order from sorted partitions, and only
-    the last ``limit`` sent times are held. ``rows``: how many rows a message spends (one by default).
+    Only sent rows count, so the rule is recursive. It needs no more than how many rows a user has in each second, and of those
+    ``limit`` at most: a user with very many rows is summed before anything is shuffled, and then has a row for each second
+    of the time, whatever the number of messages. ``tie`` tells rows apart and orders those of one second; a row without a
+    time or a ``tie`` is sent in a digest. ``rows``: how many rows a message spends (one by default); such messages are
+    read one after another from sorted partitions, as sums of seconds cannot tell which of them fit.
     """
-    schema = StructType([*messages.schema.fields, StructField("status", StringType())])
+    if rows:
+        return _capped_by_weight(messages, limit, seconds, user, at, tie, rows)
+    timed = messages.withColumn("_s", F.unix_timestamp(at))
+    seconds_of = timed.where(F.col("_s").isNotNull() & F.col(tie).isNotNull()).groupBy(F.col(user).alias("_user"), "_s").agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("_n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, sent = object(), deque()  # times of the last rows sent, ``limit`` at most
+        for pdf in batches:
+            taken = []
+            for who, when, n in zip(pdf["_user"].astype(object).where(pdf["_user"].notna(), None), pdf["_s"], pdf["_n"], strict=True):
+                if who != current:
+                    current, sent = who, deque()
+                while sent and sent[0] < when - seconds:
+                    sent.popleft()
+                free = min(n, limit - len(sent))
+                sent.extend([when] * free)
+                taken.append(free)
+            yield pdf[["_user", "_s"]].assign(_taken=pd.Series(taken, dtype="int64"))
+
+    kind = messages.schema[user].dataType.simpleString()
+    allowed = seconds_of.repartition("_user").sortWithinPartitions("_user", "_s").mapInPandas(run, f"_user {kind}, _s long, _taken long")
+    allowed = stage(allowed.where("_taken > 0"), "sent-seconds")
+    met = timed.join(allowed, F.col(user).eqNullSafe(F.col("_user")) & (timed["_s"] == allowed["_s"])).select(user, timed["_s"].alias("_s"), tie, "_taken")
+    first = met.withColumn("_place", F.row_number().over(Window.partitionBy(user, "_s").orderBy(tie))).where(F.col("_place") <= limit)
+    sent = first.where("_place <= _taken").select(F.col(tie).alias("_sent"))
+    return messages.join(sent, F.col(tie) == F.col("_sent"), "left").withColumn("status", F.when(F.col("_sent").isNotNull(), "sent").otherwise("digest")).drop("_sent")
+
+
+def _capped_by_weight(messages: DataFrame, limit: int, seconds: int, user: str, at: str, tie: str, rows: str) -> DataFrame:
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in messages.schema)}, status string"
     names = messages.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, sent = object(), []
+        current, sent, used = object(), deque(), 0
         for pdf in batches:
             status = []
-            for who, when, n in zip(pdf[user], pdf["_s"], pdf[rows] if rows else [1] * len(pdf), strict=True):
+            for who, when, n in zip(pdf[user], pdf["_s"], pdf[rows], strict=True):
                 if who != current:
-                    current, sent = who, []
-                sent = [(s, k) for s, k in sent if s >= when - seconds]
-                if sum(k for _, k in sent) >= limit:
-                    status.append("digest")
-                else:
-                    status.append("sent")
+                    current, sent, used = who, deque(), 0
+                while sent and sent[0][0] < when - seconds:
+                    used -= sent.popleft()[1]
+                status.append("digest" if used >= limit else "sent")
+                if used < limit:
                     sent.append((when, n))
+                    used += n
             yield pdf[names].assign(status=status)
 
-    timed = messages.withColumn("_s", F.unix_timestamp(at))
-    return timed.repartition(user).sortWithinPartitions(user, "_s", tie).mapInPandas(run, schema)
+    return messages.withColumn("_s", F.unix_timestamp(at)).repartition(user).sortWithinPartitions(user, "_s", tie).mapInPandas(run, schema)
 
 
 def digest(deliveries: DataFrame, jobs: DataFrame, now: Column, most: int) -> DataFrame:
@@ -173,25 +205,64 @@ def decided_prefix(rows: DataFrame, now: Column, wait_s: int) -> DataFrame:
     return rows.join(F.broadcast(stop)).where("stop is null or id < stop").drop("stop")
 
 
-def parts(items: DataFrame, most: int, owner: str = "owner", order: str = "id", length: str = "length") -> DataFrame:
-    """Greedy parts of an owner's items in order: a part ends where the next item would take it over ``most``. Items are streamed from sorted partitions."""
-    schema = StructType([*items.schema.fields, StructField("part", IntegerType())])
-    names = items.columns
+class Parts(folds.Fold):
+    """Greedy parts of bounded length. A state is the number of the open part and what it holds.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, part, held = object(), 0, 0
-        for pdf in batches:
-            out = []
-            for who, n in zip(pdf[owner], pdf[length], strict=True):
-                if who != current:
-                    current, part, held = who, 0, 0
-                if held and held + n > most:
-                    part, held = part + 1, 0
-                held += n
-                out.append(part)
-            yield pdf[names].assign(part=pd.Series(out, dtype="int32"))
-
-    return items.repartition(owner).sortWithinPartitions(owner, order).mapInPandas(run, schema)
+    From a place where a part begins all later ones are determined, so rows do to a state what they do from the first place
+    that no longer fits it. What follows each such place is found by jumping from break to break.
+    """
+
+    start = (0, 0)
+
+    def __init__(self, most: int, length: str):
+        self.most, self.length = most, length
+
+    def _sums(self, rows: pd.DataFrame) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(rows[self.length].fillna(0).to_numpy(dtype=np.int64))])
+
+    def _break(self, sums: np.ndarray, base: np.ndarray | int, least: np.ndarray | int) -> np.ndarray:
+        """First place j from ``least`` on where the open part, with ``sums[j] - base`` in it, is not empty and the next item does not fit."""
+        return np.maximum(np.maximum(np.searchsorted(sums, base + self.most, "right") - 1, np.searchsorted(sums, base, "right")), least)
+
+    def _jumps(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For a part that begins at each place: how many parts begin from there on, and what the last one holds at the end."""
+        n = len(sums) - 1
+        to = np.minimum(self._break(sums, sums[:n], np.arange(1, n + 1)), n)
+        count, held = np.ones(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+        count[n] = 0
+        for i in range(n - 1, -1, -1):
+            j = to[i]
+            count[i], held[i] = (1, sums[n] - sums[i]) if j >= n else (1 + count[j], held[j])
+        return count, held
+
+    def function(self, rows: pd.DataFrame) -> tuple:
+        sums = self._sums(rows)
+        n = len(sums) - 1
+        count, held = self._jumps(sums)
+        last = int(min(self._break(sums, 0, 0), n)) if n else 0
+        # an open part breaks no later than an empty one
+        return sums[: last + 2].copy(), int(sums[n]), count[: last + 1].copy(), held[: last + 1].copy(), n
+
+    def after(self, function: tuple, state: tuple[int, int]) -> tuple[int, int]:
+        sums, total, count, held, n = function
+        at = int(self._break(sums, -state[1], 0))
+        if at >= min(n, len(count)):
+            return state[0], state[1] + total
+        return state[0] + int(count[at]), int(held[at])
+
+    def read(self, rows: pd.DataFrame, state: tuple[int, int]) -> dict[str, list]:
+        part, held, out = *state, []
+        for n in rows[self.length].fillna(0).astype(int).tolist():
+            if held and held + n > self.most:
+                part, held = part + 1, 0
+            held += n
+            out.append(part)
+        return {"part": out}
+
+
+def parts(items: DataFrame, most: int, owner: str = "owner", order: str = "id", length: str = "length") -> DataFrame:
+    """Greedy parts of an owner's items in order: a part ends where the next item would take it over ``most``. An owner's items may lie in many tasks."""
+    return folds.folded(items, owner, [order], Parts(most, length), "part int")
 
 
 def throttled(notices: DataFrame, seconds: int, key: str = "key", at: str = "ts", tie: str = "id") -> DataFrame:

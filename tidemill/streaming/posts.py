@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemill.operators import folds
+
 
 def albums(parts: DataFrame, gap_s: int = 60) -> DataFrame:
     """Parts of one (source, grouped_id) that arrive within ``gap_s`` of each other as one post: texts in order, first key, media count.
@@ -65,35 +67,54 @@ MOVES = {
 MOST_ATTEMPTS = 8
 
 
+class Moves(folds.Fold):
+    """The moves as a finite automaton: a state is a status and a number of errors, so what rows do to each of them is a short table."""
+
+    def __init__(self, first: str):
+        self.statuses = sorted({s for s, _ in MOVES} | set(MOVES.values()) | {"failed", first})
+        self.states = [(s, n) for s in self.statuses for n in range(MOST_ATTEMPTS + 1)]
+        self.number = {s: k for k, s in enumerate(self.states)}
+        self.start = (self.number[first, 0], 0)
+        self.by_event: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+
+    def moved(self, event: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """For each state: the one after the event, and whether the event is ignored."""
+        if event not in self.by_event:
+            to = []
+            for k, (status, attempts) in enumerate(self.states):
+                go = MOVES.get((status, event))
+                n = min(attempts + 1, MOST_ATTEMPTS) if event == "error" else 0 if event == "retry" else attempts
+                to.append((k, 1) if go is None else (self.number["failed" if event == "error" and n >= MOST_ATTEMPTS else go, n], 0))
+            self.by_event[event] = tuple(np.array(x, dtype=np.int64) for x in zip(*to, strict=True))
+        return self.by_event[event]
+
+    def function(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        to, ignored = np.arange(len(self.states)), np.zeros(len(self.states), dtype=np.int64)
+        for event in rows["_event"]:
+            go, lost = self.moved(event)
+            ignored += lost[to]
+            to = go[to]
+        return to, ignored
+
+    def through(self, rows: pd.DataFrame, state: tuple[int, int]) -> tuple[int, int]:
+        at, ignored = state
+        for event in rows["_event"]:
+            go, lost = self.moved(event)
+            at, ignored = int(go[at]), ignored + int(lost[at])
+        return at, ignored
+
+    def after(self, function: tuple[np.ndarray, np.ndarray], state: tuple[int, int]) -> tuple[int, int]:
+        return int(function[0][state[0]]), state[1] + int(function[1][state[0]])
+
+
 def lifecycle(events: DataFrame, first: str = "queued", key: str = "id", event: str = "event", at: str = "ts", tie: str = "event_id") -> DataFrame:
     """State of each job after its events: illegal moves are ignored, the eighth error fails the job.
 
-    Events are read in order from sorted partitions and a job's state is three values, so a long history is never held.
+    A job's events may lie in many tasks: each tells what its events do to every state, and these tables are composed in order.
     """
-    out = T.StructType([T.StructField(key, events.schema[key].dataType), T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("ignored", T.IntegerType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, status, attempts, ignored = None, first, 0, 0
-        for pdf in batches:
-            done = []
-            for job, e in zip(pdf["_key"], pdf["_event"], strict=True):
-                if job != now:
-                    if now is not None:
-                        done.append((now, status, attempts, ignored))
-                    now, status, attempts, ignored = job, first, 0, 0
-                to = MOVES.get((status, e))
-                if to is None:
-                    ignored += 1
-                    continue
-                attempts = attempts + 1 if e == "error" else 0 if e == "retry" else attempts
-                status = "failed" if e == "error" and attempts >= MOST_ATTEMPTS else to
-            if done:
-                yield pd.DataFrame(done, columns=[key, "status", "attempts", "ignored"])
-        if now is not None:
-            yield pd.DataFrame([(now, status, attempts, ignored)], columns=[key, "status", "attempts", "ignored"])
-
-    keyed = events.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.col(tie).alias("_tie"), F.col(event).alias("_event"))
-    return keyed.repartition("_key").sortWithinPartitions("_key", "_at", "_tie").select("_key", "_event").mapInPandas(run, out)
+    keyed = events.where(F.col(key).isNotNull()).select(F.col(key), F.col(at).alias("_time"), F.col(tie).alias("_tie"), F.col(event).alias("_event"))
+    moves = Moves(first)
+    return folds.final(keyed, key, ["_time", "_tie"], moves, lambda state: (*moves.states[state[0]], state[1]), "status string, attempts int, ignored int")
 
 
 def silent(beats: DataFrame, now: Column, limit_s: int, key: str = "key", at: str = "ts") -> DataFrame:
