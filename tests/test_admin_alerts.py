@@ -68,3 +68,11 @@ def test_stream_equals_a_loop(spark, tmp_path):
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_query_over_all_posts_equals_a_loop(spark, sf):
+    from tidemill.plans import catalog, stored
+
+    rows = [tuple(r) for r in stored.admin_hits(spark, sf).select(*(c.split()[0] for c in SCHEMA.split(", "))).collect()]
+    got = sorted((r["owner"], r["kind"], r["posts"], r["at"]) for r in catalog.queries()["admin_alerts"](spark, sf).collect())
+    assert got == loop(rows, 1, 180) and len(got) > 50
