@@ -70,7 +70,7 @@ def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("page_texts", """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<li[^>]*>', chr(10) || '• ', 'g'), '(?i)</(?:p|div|h[1-6]|ul|ol|tr|table|section|article)>|<br\\s*/?>', chr(10), 'g') AS h FROM pages),
-b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM a)
+b AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g') AS t FROM a)
 SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS text FROM b""")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text of pages, uncut, as its digest."""

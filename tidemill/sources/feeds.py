@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The unified record of a job from any feed.
 JOB = "external_id string, url string, title string, company string, locations array<string>, timezones array<double>, pay_min long, pay_max long, currency string, period string, published_at timestamp, description string"
@@ -36,12 +39,22 @@ def parse_time(value: Column) -> Column:
     return F.coalesce(epoch, iso, *texts)
 
 
+@F.pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded by the standard's table, with and without a semicolon; only values with an ampersand leave the JVM."""
+    return F.coalesce(_unescaped(F.when(text.contains("&"), text)), text)
+
+
 def plain_html(value: Column, most: int = 1500) -> Column:
-    """Text of a piece of HTML: blocks on lines, list items with a bullet, tags dropped, common references decoded, cut at a word."""
+    """Text of a piece of HTML: blocks on lines, list items with a bullet, tags dropped, references decoded, cut at a word."""
     out = F.regexp_replace(F.regexp_replace(value, r"(?i)<li[^>]*>", "\n• "), BLOCK_END, "\n")
     out = F.regexp_replace(F.regexp_replace(out, r"(?is)<(script|style)[^>]*>.*?</\1>", ""), r"<[^>]+>", "")
-    for name, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(plain))
+    # a space of any kind is one
+    out = F.regexp_replace(unescaped(out), r"[\p{Zs}\t]+", " ")
     lines = F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
     text = F.array_join(lines, "\n")
     cut = F.regexp_replace(F.substring(text, 1, most), r"\s+\S*$", "")
