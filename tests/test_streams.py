@@ -233,6 +233,19 @@ def test_duplicate_rules(spark):
         assert got == ([(2, 1, layer)] if layer else []), k
 
 
+def test_common_subsequences_of_many_pairs():
+    import numpy as np
+
+    rng = random.Random(13)
+    a, b = (["".join(rng.choices("abcé ", k=rng.choice([0, 1, 5, 63, 64, 65, 130]))) for _ in range(30)] for _ in range(2))
+    i, j = (np.array([rng.randrange(30) for _ in range(400)]) for _ in range(2))
+    got = dedup.lcs_lengths(a, b, i, j).tolist()
+    assert got == [similarity._lcs(a[x], b[y]) for x, y in zip(i.tolist(), j.tolist())]
+    for x, y in (("abcdefgh" * 9, "abcdefgh" * 8 + "zzabcdefgh"), ("q" * 50, "")):
+        gap = len(x) + len(y) - 2 * similarity._lcs(x, y)
+        assert int(np.abs(dedup.sketch(x) - dedup.sketch(y)).sum()) <= (2 * dedup.SKETCH_GRAM - 1) * gap
+
+
 def test_blocks_of_any_size_give_the_same_links(spark, monkeypatch):
     """Many later posts with many similar earlier ones, dealt to blocks of a few rows."""
     rng, rows = random.Random(12), []
