@@ -63,6 +63,51 @@ def stripped(marked: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
 
+def stripped_text(text: Column, source: Column, rules: tuple[tuple[str, str, str], ...]) -> Column:
+    """The same of a whole text as a column, for rules written by hand (source, kind, pattern): every pattern stays a literal, so each is compiled once.
+
+    A line with a contact that no kept line has comes back to its place. An empty source has no rules.
+    """
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    total = F.greatest(F.length(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(""))), F.lit(1))
+
+    def meets(kind: str, line: Column) -> Column:
+        out = F.lit(False)
+        for s in dict.fromkeys(r[0] for r in rules if r[1] == kind):
+            pattern = "|".join(f"(?:{r[2]})" for r in rules if r[:2] == (s, kind))
+            out = F.when(source == s, line.rlike(f"^(?:{pattern})$" if kind == "line" else pattern)).otherwise(out)
+        return F.coalesce(out, F.lit(False))
+
+    def read(state: Column, x: Column) -> Column:
+        line = F.trim(x)
+        ended = state["ended"] | (meets("cut", line) & (state["chars"] / total >= KEEP_SHARE))
+        begun = state["begun"] | line.rlike(r"\p{L}|\p{N}")
+        kept = begun & ~ended & ~meets("line", line) & ~meets("part", line)
+        row = F.array(F.struct((F.size(state["kept"]) + F.size(state["gone"])).alias("i"), x.alias("x")))
+        return F.struct((state["chars"] + F.length(x)).alias("chars"), ended.alias("ended"), begun.alias("begun"), F.when(kept, F.concat(state["kept"], row)).otherwise(state["kept"]).alias("kept"), F.when(kept, state["gone"]).otherwise(F.concat(state["gone"], row)).alias("gone"))
+
+    none = F.array().cast("array<struct<i:int,x:string>>")
+    start = F.struct(F.lit(0).alias("chars"), F.lit(False).alias("ended"), F.lit(False).alias("begun"), none.alias("kept"), none.alias("gone"))
+
+    def joined(state: Column) -> Column:
+        whole = F.array_join(F.transform(state["kept"], lambda p: p["x"]), "\n")
+
+        def alone(p: Column) -> Column:
+            return F.exists(F.concat(*(F.regexp_extract_all(p["x"], F.lit(c), F.lit(0)) for c in (EMAIL, PHONE, ACCOUNT))), lambda c: ~F.contains(whole, c))
+
+        back = F.array_sort(F.concat(state["kept"], F.filter(state["gone"], alone)))
+        return F.regexp_replace(F.array_join(F.transform(back, lambda p: p["x"]), "\n"), r"(?:^|\n)[ \t]*(?:#[^\s#]+\s*)+$", "")
+
+    return F.aggregate(lines, start, read, joined)
+
+
+def is_seeker(text: Column, labels: tuple[str, ...], seeker: tuple[str, ...], employer: tuple[str, ...]) -> Column:
+    """The shape of a job seeker's profile: at least three distinct profile labels, words of a seeker, no sign of an employer."""
+    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(?m)^[^\p{L}\n]*([\p{L}' ]{2,25})\s*[:\-]"), F.lit(1)), F.trim)
+    n = F.size(F.array_intersect(found, F.array(*map(F.lit, labels)))) if labels else F.lit(0)
+    return (n >= 3) & (evidence(F.lower(text), list(seeker)) > 0) & (evidence(F.lower(text), list(employer)) == 0)
+
+
 def ad_contact_lines(rows: DataFrame, phrases: str) -> DataFrame:
     """Lines that offer advertising: a phrase and an account on the line, or a phrase at its end and a short account line next."""
     w = Window.partitionBy("id").orderBy("pos")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import contacts
 from tidemill.functions.text import fold
-from tidemill.operators import dedup, extract, queue
+from tidemill.operators import categories, dedup, extract, headings, places, queue
 from tidemill.session import stage
 
 LINKS = "array<struct<text:string,url:string>>"
@@ -46,6 +46,14 @@ class Rules:
     links: contacts.LinkRules = contacts.LinkRules()
     drop: tuple[str, ...] = ()
     titles: dedup.TitleWords = dedup.TitleWords()
+    #: Boilerplate by source (source, kind, pattern), names of places, words of categories, words of titles and lists, and the shape of a seeker's profile.
+    boilerplate: tuple[tuple[str, str, str], ...] = ()
+    places: places.Places = places.Places(())
+    categories: categories.Words = ()
+    headings: headings.Rules | None = None
+    profile_labels: tuple[str, ...] = ()
+    seeker: tuple[str, ...] = ()
+    employer: tuple[str, ...] = ()
 
 
 def _or_false(df: DataFrame, name: str) -> Column:
@@ -53,28 +61,54 @@ def _or_false(df: DataFrame, name: str) -> Column:
 
 
 def parsed(posts: DataFrame, rules: Rules, now: Column) -> DataFrame:
-    """``id, posted_at, kind, has_contact, low_quality, ...``: each post on its own, in one pass without a shuffle."""
-    text = F.coalesce("text", F.lit(""))
+    """``id, posted_at, kind, has_contact, low_quality, ...``: each post on its own, in one pass without a shuffle.
+
+    The source's boilerplate goes first, all that follows reads what is left: contacts, kind (with the shape of a profile and
+    lines with links of their own), title, employer, pay, place, category.
+    """
     links = F.coalesce("links", F.array().cast(LINKS)) if "links" in posts.columns else F.array().cast(LINKS)
     own = F.col("own") if "own" in posts.columns else F.array().cast("array<string>")
     at = F.coalesce("posted_at", "fetched_at")
-    folded = posts.select("*", fold(text).alias("_folded"), contacts.contacts(text, links, own, rules.context, rules.links, rules.drop).alias("_contacts"), own.alias("_own"))
+    whole = F.coalesce("text", F.lit(""))
+    clean = posts.withColumn("_clean", extract.stripped_text(whole, F.col("source"), rules.boilerplate) if rules.boilerplate else whole)
+    text = F.col("_clean")
+    linked = headings.linked_lines(text, links, rules.links)
+    folded = clean.select("*", fold(text).alias("_folded"), contacts.contacts(text, links, own, rules.context, rules.links, rules.drop).alias("_contacts"), own.alias("_own"), headings.n_linked(linked).alias("_linked"))
     late = F.coalesce(extract.deadline(text, F.year(at)) < F.to_date(now), F.lit(False))
     tags = F.regexp_extract_all("_folded", F.lit(r"#([^\s#]+)"), F.lit(1))
+    seeker = extract.is_seeker(F.col("_folded"), rules.profile_labels, rules.seeker, rules.employer) if rules.profile_labels else None
     kind = extract.classify(
-        F.col("_folded"), rules.markers, late, tags=tags, job_tags=rules.job_tags, other_tags=rules.other_tags,
-        needs_tag=_or_false(posts, "needs_tag"), addresses=F.lower(F.array_join(F.transform(links, lambda x: x["url"]), "\n")),
+        F.col("_folded"), rules.markers, late, seeker, tags=tags, job_tags=rules.job_tags, other_tags=rules.other_tags,
+        needs_tag=_or_false(posts, "needs_tag"), linked=F.col("_linked"), addresses=F.lower(F.array_join(F.transform(links, lambda x: x["url"]), "\n")),
     )
     kind = F.when(_or_false(posts, "is_site") & kind.isin("not_job", "opportunity", "no_text"), "job").otherwise(kind)
+    if rules.headings is None:
+        title, company = extract.title_of(text, rules.title_label, rules.professions), extract.company_of(text, rules.company_label)
+    else:
+        title, company = headings.title(text, rules.headings)["title"], headings.employer(text, rules.headings)
     out = folded.select(
         "id", "source", at.alias("posted_at"), _or_false(posts, "is_backfill").alias("is_backfill"), _or_false(posts, "international").alias("international"), kind.alias("kind"), F.col("_folded").alias("text"), F.col("_own").alias("own"),
-        extract.title_of(text, rules.title_label, rules.professions).alias("title"), extract.company_of(text, rules.company_label).alias("company"), extract.pay(text).alias("pay"), F.col("_contacts").alias("contacts"),
+        title.alias("title"), company.alias("company"), extract.pay(text).alias("pay"), F.col("_contacts").alias("contacts"),
+        (places.places_of(text, rules.places) if rules.places.names else F.lit(None).cast(places.FOUND)).alias("place"),
     )
+    if rules.categories:
+        out = out.withColumn("vote", categories.category_of(F.lower("title"), F.col("text"), rules.categories))
+    else:
+        out = out.withColumn("vote", F.lit(None).cast(categories.VOTE))
     c = F.col("contacts")
     has = (F.size(c["phones"]) > 0) | (F.size(c["accounts"]) > 0) | (F.size(c["emails"]) > 0) | (F.size(c["links"]) > 0)
     return out.withColumn("has_contact", has).withColumn("low_quality", F.col("title").isNull() & F.col("pay").isNull())
 
 
+def confidence() -> Column:
+    """How sure a parsed post is: title .35, contact .35; pay, region and employer .1 each."""
+    parts = ((F.col("title").isNotNull(), 0.35), (F.col("has_contact"), 0.35), (F.coalesce("pay.lo", "pay.hi").isNotNull(), 0.1), (F.col("place.region").isNotNull(), 0.1), (F.col("company").isNotNull(), 0.1))
+    total = F.lit(0.0)
+    for given, points in parts:
+        total = total + F.when(given, points).otherwise(0.0)
+    return F.round(F.least(total, F.lit(1.0)), 2)
+
+
 def flow(posts: DataFrame, rules: Rules, now: Column, layers: tuple[str, ...] = tuple(dedup.LAYERS)) -> DataFrame:
     """``id, kind, status, job_id`` of every post; ``job_id`` is the first post of its group, for done and duplicate posts."""
     one = stage(parsed(posts, rules, now), "parsed")
@@ -88,7 +122,7 @@ def flow(posts: DataFrame, rules: Rules, now: Column, layers: tuple[str, ...] =
     )
     root = stage(dedup.roots(dedup.parents(entry, layers=layers, words=rules.titles)), "roots-of-copies")
     c, p = F.col("contacts"), F.col("pay")
-    full = dedup.completeness(F.get(c["phones"], F.lit(0)), F.get(c["accounts"], F.lit(0)), F.coalesce(p["lo"], p["hi"]), F.lit(None), F.lit(None), F.col("title"), F.lit(0.0))
+    full = dedup.completeness(F.get(c["phones"], F.lit(0)), F.get(c["accounts"], F.lit(0)), F.coalesce(p["lo"], p["hi"]), F.col("place.region"), F.col("place.district"), F.col("title"), confidence())
     versions = ads.select(F.col("id").alias("seq"), "posted_at", full.alias("score"))
     chosen = dedup.survivors(versions, root, rules.hold_minutes)
     grouped = ads.select("id", "posted_at", "international").join(root.withColumnsRenamed({"seq": "id"}), "id", "left").withColumn("root", F.coalesce("root", "id"))

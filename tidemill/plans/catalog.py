@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidemill.plans import flows, headings, more, parsing, pay, places, posts, relational, rest, stored, whole  # noqa: F401
+    from tidemill.plans import flows, headings, more, parsed, parsing, pay, places, posts, relational, rest, stored, whole  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
