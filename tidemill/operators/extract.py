@@ -180,7 +180,7 @@ def classify(
 
 def seekers(rows: DataFrame, labels: list[str], seeker: str, employer: str) -> DataFrame:
     """``id, is_seeker``: at least three distinct profile labels, words of a seeker, no sign of an employer."""
-    label = F.lower(F.regexp_extract("line", r"^\s*([\p{L}' ]{2,25})\s*[:\-]", 1))
+    label = F.lower(F.regexp_extract("line", r"^[^\p{L}]*([\p{L}' ]{2,25})\s*[:\-]", 1))
     known = F.when(F.trim(label).isin(labels), F.trim(label))
     return rows.groupBy("id").agg(
         ((F.count_distinct(known) >= 3) & (F.max(F.rlike(F.lower("line"), F.lit(seeker)).cast("int")) == 1) & (F.max(F.rlike(F.lower("line"), F.lit(employer)).cast("int")) == 0)).alias("is_seeker")

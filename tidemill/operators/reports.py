@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Statuses of posts that turned out not to be ads.
-NOT_ADS = ("not_job", "resume", "closed", "opportunity", "no_text", "unpaid")
+NOT_ADS = ("not_job", "resume", "closed", "opportunity", "no_text")
 
 
 def _long(rows: DataFrame, **counts: Column) -> DataFrame:

@@ -80,7 +80,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ad_contacts_all", _ADS + "SELECT id, '@jobs_daily' AS accounts, CAST(0 AS INT) AS n_phones FROM ads")
 def ad_contacts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All contacts of a post as one struct."""
-    found = ads(spark, sf_dir).select("id", contacts.contacts(F.regexp_replace("text", r"(?m)^(?:Salary|Deadline).*$", "")).alias("c"))
+    found = ads(spark, sf_dir).select("id", contacts.contacts(F.col("text")).alias("c"))
     return found.select("id", F.array_join("c.accounts", ",").alias("accounts"), F.size("c.phones").alias("n_phones"))
 
 
@@ -90,10 +90,14 @@ def post_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "posts").select("id", contacts.post_url(F.col("source"), F.col("external_id")).alias("url"))
 
 
-@query("seekers", _ADS + "SELECT id, category = 'urgent' AS is_seeker FROM ads")
+_PROFILE = "CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN 'Name: A' || chr(10) || '- Age: 30' || chr(10) || 'Skills - many' || chr(10) || 'I seek work' WHEN 1 THEN 'Name: A' || chr(10) || 'Name: B' || chr(10) || 'Age: 3' || chr(10) || 'I seek work' WHEN 2 THEN 'Name: A' || chr(10) || 'Age: 30' || chr(10) || 'Skills: many' WHEN 3 THEN 'Name: A' || chr(10) || 'Age: 30' || chr(10) || 'Skills: many' || chr(10) || 'I seek work, we pay' WHEN 4 THEN 'name: a' || chr(10) || 'AGE: 30' || chr(10) || 'City: X' || chr(10) || 'skills: y' || chr(10) || 'SEEK WORK' WHEN 5 THEN 'my name: a' || chr(10) || 'Age 30' || chr(10) || 'Skills: many, seek work' END"
+
+
+@query("seekers", "SELECT c_custkey AS id, c_custkey % 7 IN (0, 4) AS is_seeker FROM customer")
 def seekers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts shaped like a job seeker's profile."""
-    return extract.seekers(extract.lines(ads(spark, sf_dir)), ["position", "company", "salary", "place"], "urgent", "zzz")
+    """Posts shaped like a job seeker's profile, in all customers' texts: labels that repeat or are too few, no words of a seeker, signs of an employer."""
+    texts = spark.sql(f"SELECT c_custkey AS id, {_PROFILE} AS text FROM {{customer}}", customer=table(spark, sf_dir, "customer"))
+    return extract.seekers(extract.lines(texts), ["name", "age", "skills", "city"], "seek work", "we pay")
 
 
 @query("moderation", ctes("jobs") + """SELECT id, CASE WHEN id % 6 = 0 AND id % 10 = 0 THEN 'no_contact' WHEN id % 7 = 0 THEN 'limit' WHEN category = 'urgent' THEN 'rejected' WHEN id % 11 = 0 THEN 'duplicate' WHEN salary_min > 400000 THEN 'review' ELSE 'queued' END AS outcome FROM jobs WHERE origin = 'user'""")

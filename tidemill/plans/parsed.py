@@ -45,7 +45,7 @@ def worded(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE f WHEN 0 THEN 'job' WHEN 1 THEN 'job' WHEN 2 THEN 'resume' WHEN 3 THEN 'job' WHEN 4 THEN 'job' WHEN 5 THEN 'not_job' WHEN 6 THEN 'closed' WHEN 7 THEN 'not_job' ELSE 'no_text' END AS kind,
 CASE WHEN f <= 6 THEN r END AS region, CASE f WHEN 0 THEN 'roads' WHEN 1 THEN 'food' WHEN 2 THEN 'food' WHEN 4 THEN 'food' WHEN 6 THEN 'roads' ELSE 'other' END AS category,
 CASE f WHEN 0 THEN 'driver' WHEN 1 THEN 'cook' WHEN 2 THEN 'cook' WHEN 4 THEN 'waiter' WHEN 6 THEN 'driver' END AS profession,
-CASE f WHEN 0 THEN 'Driver' WHEN 1 THEN 'Cook' END AS title, f IN (0, 1, 3, 4) AS has_contact FROM o""")
+CASE f WHEN 0 THEN 'Driver' WHEN 1 THEN 'Cook' WHEN 6 THEN 'Driver job is taken' END AS title, f IN (0, 1, 3, 4) AS has_contact FROM o""")
 def parsed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind, region, category and title of all orders' posts, boilerplate out first, in one pass."""
     found = flow.parsed(worded(spark, sf_dir), RULES, F.lit("1990-01-01").cast("timestamp"))

