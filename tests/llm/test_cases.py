@@ -195,6 +195,17 @@ def test_counts_are_compacted_and_depend_on_the_library(spark, tmp_path, monkeyp
     assert token_counts.counted_by(path) != version
 
 
+def test_one_long_vector_leaves_the_index_of_short_ones_whole(spark):
+    rows = [(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(3000)] + [(5000, [0.5] * 300_000), (5001, [0.25] * 300_000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = topk.build_index(vectors)
+    blocks = {r["width"]: r["count"] for r in index.groupBy("width").count().collect()}
+    assert blocks[3] == 1 and blocks[300_000] <= 2
+    got = topk.search_index(index, vectors.where("vec_id % 1000 = 0")).collect()
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in got if r["query_id"] == 5000} == {(5000, 5001, 32 * 16 * 300_000)}
+    assert sum(r["query_id"] == 1000 for r in got) == 20
+
+
 def test_random_unicode_has_the_library_s_ids():
     bpe, words = tokens.public_path("byte_bpe_50k.json"), tokens.public_path("word_bpe_49k.json")
     rng = np.random.default_rng(21)
@@ -256,7 +267,7 @@ def test_index_is_stored_once_and_searched_again(spark, monkeypatch):
     df = spark.createDataFrame([(k, rng.normal(0, 0.2, 6).tolist()) for k in range(700)], "vec_id long, embedding array<double>")
     one = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 20 = 0")).collect()))
     monkeypatch.setattr(topk, "BLOCK", 100)
-    monkeypatch.setattr(topk, "CHUNK", 5)
+    monkeypatch.setattr(topk, "LEAST_CHUNK", 5)
     index = topk.build_index(df)
     assert 5 <= index.count() <= 7
     for _ in range(2):

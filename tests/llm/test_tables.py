@@ -1,6 +1,7 @@
 """Operators on the given tables against brute force, exact round trips or SQL."""
 
 import hashlib
+import json
 import zlib
 from collections import defaultdict
 
@@ -79,6 +80,16 @@ def test_media_round_trip(spark, sf, docs):
         payload = media.pad(data)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-32:])
+        # clips cover the frames without a gap, and their levels are those of their part of the payload
+        frames, at = np.frombuffer(payload, dtype=np.uint8).reshape(-1, media.FRAME), 0
+        rate = json.loads(r["feature"])["fps"]
+        assert [c["first_frame"] for c in r["clips"]] == json.loads(r["feature"])["shots"]
+        for k, c in enumerate(r["clips"]):
+            part = frames[at : at + c["n_frames"]]
+            assert (c["clip"], c["first_frame"], c["start_s"], c["end_s"]) == (k, at, at / rate, (at + c["n_frames"]) / rate)
+            assert abs(c["mean_level"] - part.mean()) < 1e-9
+            at += c["n_frames"]
+        assert at == len(frames)
 
 
 def test_languages_of_held_out_documents(spark, sf01):

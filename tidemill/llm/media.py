@@ -278,18 +278,21 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[tuple, float, np.ndarray]]:
         yield from _decoded(part)
 
 
+#: A clip of a file: its number, frames, times in seconds and mean level.
+CLIP = pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("mean_level", pa.float64())])
 CLIPS = "doc_id long, clip int, first_frame int, n_frames int, start_s double, end_s double, mean_level double"
 
 
+def _timed(samples: np.ndarray, rate: float, firsts: list[int]) -> list[tuple]:
+    """Rows of ``CLIP`` of a file's shots."""
+    return [(k, a, b - a, a / rate, b / rate, float(samples[a:b].mean())) for k, (a, b) in enumerate(zip(firsts, [*firsts[1:], len(samples)], strict=True))]
+
+
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for row, rate, samples in _rows(batch):
-            firsts = shots(samples)
-            for k, (a, b) in enumerate(zip(firsts, [*firsts[1:], len(samples)], strict=True)):
-                out.append((row[0], k, a, b - a, a / rate, b / rate, float(samples[a:b].mean())))
+        out = [(row[0], *clip) for row, rate, samples in _rows(batch) for clip in _timed(samples, rate, shots(samples))]
         if out:
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+            types = (pa.int64(), *(f.type for f in CLIP))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in CLIPS.split(", ")])
 
 
@@ -298,7 +301,9 @@ def clips(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_clips, CLIPS)
 
 
-READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<clip:int,first_frame:int,n_frames:int,start_s:double,end_s:double,mean_level:double>>"
+
+READ_NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,12 +312,12 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, rate, samples in _rows(batch):
             payload, firsts = samples.tobytes(), shots(samples)
             feature = json.dumps({"frames": len(samples), "fps": rate, "shots": firsts, "mean": round(float(samples.mean()), 3)}, separators=(",", ":"))
-            out.append((row[0], row[1], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(row[2]), hashlib.sha256(row[2]).hexdigest(), feature))
+            out.append((row[0], row[1], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(row[2]), hashlib.sha256(row[2]).hexdigest(), feature, [dict(zip(CLIP.names, c, strict=True)) for c in _timed(samples, rate, firsts)]))
         if out:
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in READ.split(", ")])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(CLIP))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=READ_NAMES)
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Per file, from its stored bytes: digests of the payload read back and of the file, and its shots."""
+    """Per file, from its stored bytes: digests of the payload read back and of the file, its shots, and these as timed clips."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_described, READ)

@@ -8,9 +8,10 @@ significant slice downward, rows that have the bit are kept while at least k rem
 at the end are resolved by id. Only the rows found get their scores computed, from the integers that their bits give.
 
 ``build_index`` writes the index once: a row for each block, dealt by a hash of the id, with its slices packed (about
-a byte a component). ``search_index`` takes queries in chunks past it; each (block, chunk) is one group of a grid, and
-a query's best rows of all blocks are merged by a ranked window. Nothing but block-wise top rows is kept, and there
-is no pair of rows in any table. What moves is blocks times chunks of packed slices, never a vector again.
+a byte a component); vectors of each length have as many blocks as their own number asks for. ``search_index`` streams
+the queries past it: a task holds one block at a time and reads its queries batch by batch, so a block's slices
+move once, or a few times where there are more cores than blocks, however many queries there are. A query's best rows
+of all blocks are merged by a ranked window. Nothing but block-wise top rows is kept, and there is no pair of rows in any table.
 
 Integers have any width: vectors with a component beyond ``WIDE`` are dealt to blocks of their own, where values are
 Python integers, so that scores are exact and other blocks stay compact.
@@ -25,6 +26,7 @@ empty table or no query gives no rows; a null id takes no part; extra columns ar
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -36,8 +38,10 @@ from tidemill.session import stage
 
 K = 20
 SCALE = 64
-#: Rows of a block at most (bitmaps of 8 kB), components of a block at most, queries of a chunk at most and at least.
-BLOCK, CELLS, CHUNK, LEAST_CHUNK = 1 << 16, 1 << 22, 4096, 256
+#: Rows of a block at most (bitmaps of 8 kB), components of a block at most, queries of a task at least where a block has several.
+BLOCK, CELLS, LEAST_CHUNK = 1 << 16, 1 << 22, 256
+#: Different lengths of vectors, a row each, that are sent to every task; with more of them rows are shuffled by length.
+BROADCAST_WIDTHS = 100_000
 #: Quantised components from here on are kept as Python integers; below, sums of any usual width fit a machine word.
 WIDE = 1 << 24
 LEAST_LONG, MOST_LONG = -(1 << 63), (1 << 63) - 1
@@ -170,34 +174,38 @@ def _build(scale: float):
     return run
 
 
+FOUND = "query_id long, vec_id long, exact string, score long"
+
+
 def _search(k: int, scale: float):
-    def run(table: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        blocks, queries = (table.filter(pa.array([(v is None) == is_query for v in table.column("ids").to_pylist()])) for is_query in (False, True))
-        asked = [(i, quantised(v, scale)) for i, v in zip(queries.column("vec_id").to_pylist(), queries.column("v").to_pylist(), strict=True)]
-        for at in range(len(blocks) if asked else 0):
-            ids, least, counts, slices = (blocks.column(c)[at].as_py() for c in ("ids", "least", "counts", "slices"))
-            ids = np.frombuffer(ids, dtype=np.int64)
-            index = Slices(len(ids), [int(v) for v in least], counts, np.frombuffer(slices, dtype=np.uint64).reshape(sum(counts), -(-len(ids) // 64)))
-            for query, weights in asked:
-                own = np.arange(np.searchsorted(ids, query), np.searchsorted(ids, query, "right"))
-                found = index.top(weights, k, own)
-                # exact scores decide between blocks too, so those beyond a long keep their order
-                out += [(query, int(i), s) for i, s in zip(ids[found].tolist(), index.scores(found, weights), strict=True)]
-        best = {}
-        for query, i, s in sorted(out, key=lambda r: (r[0], -r[2], r[1])):
-            best.setdefault(query, [])
-            if len(best[query]) < k:
-                best[query].append((i, s))
-        rows = [(q, i, s) for q, found in best.items() for i, s in found]
-        return pa.table(
-            {
-                "query_id": pa.array([r[0] for r in rows], pa.int64()),
-                "vec_id": pa.array([r[1] for r in rows], pa.int64()),
-                "exact": pa.array([_ordered(r[2]) for r in rows], pa.string()),
-                "score": pa.array([min(max(r[2], LEAST_LONG), MOST_LONG) for r in rows], pa.int64()),
-            }
-        )
+    """Best rows of a block for each query; a block's rows of the index come before its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks = None, []
+        for batch in batches:
+            rows: list[tuple[int, int, int]] = []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("width", "block", "chunk")), strict=True))
+            ids_, queries = batch.column("ids"), batch.column("vec_id").to_pylist()
+            for at, key in enumerate(keys):
+                if key != now:
+                    now, blocks = key, []
+                if queries[at] is None:
+                    least, counts, slices = (batch.column(c)[at].as_py() for c in ("least", "counts", "slices"))
+                    ids = np.frombuffer(ids_[at].as_py(), dtype=np.int64)
+                    blocks.append((ids, Slices(len(ids), [int(v) for v in least], counts, np.frombuffer(slices, dtype=np.uint64).reshape(sum(counts), -(-len(ids) // 64)))))
+                    continue
+                query, weights = queries[at], quantised(batch.column("v")[at].as_py(), scale)
+                for ids, index in blocks:
+                    own = np.arange(np.searchsorted(ids, query), np.searchsorted(ids, query, "right"))
+                    found = index.top(weights, k, own)
+                    # exact scores decide between blocks too, so those beyond a long keep their order
+                    rows += [(query, int(i), s) for i, s in zip(ids[found].tolist(), index.scores(found, weights), strict=True)]
+            if rows:
+                columns = [
+                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([_ordered(r[2]) for r in rows], pa.string()), pa.array([min(max(r[2], LEAST_LONG), MOST_LONG) for r in rows], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
@@ -222,29 +230,36 @@ def _usable(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFr
 def build_index(vectors: DataFrame, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The index, written once in the shared folder: see ``INDEX``; ids are sorted, 8 bytes each."""
     rows = _usable(vectors, id_col, vector_col, scale)
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("width"), F.lit(1)).alias("width")).first()
-    n_blocks = -(-size["n"] // max(1, min(BLOCK, CELLS // max(1, size["width"])))) or 1
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(CELLS) / F.greatest("width", F.lit(1)))))
+    sizes = stage(rows.groupBy("width").agg(F.count(F.lit(1)).alias("n")).select("width", F.ceil(F.col("n") / most).cast("int").alias("n_blocks")), "widths")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_WIDTHS else sizes
+    dealt = rows.join(sizes, "width").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int"))
     return stage(dealt.groupBy("width", "block", "wide").applyInArrow(_build(scale), INDEX), "bit-slices")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = K, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k best rows of an index."""
     asked = _usable(queries, id_col, vector_col, scale).select("vec_id", "v", "width")
-    blocks = index.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("block"), F.lit(0)).alias("last")).first()
-    n_blocks, n_asked = blocks["last"] + 1, asked.count()
-    cores = index.sparkSession.sparkContext.defaultParallelism
-    # as many chunks as their size asks for, and enough to use all cores where there are few blocks
-    n_chunks = max(1, -(-n_asked // CHUNK), min(-(-n_asked // LEAST_CHUNK), -(-cores // max(blocks["rows"], 1))))
-
-    def each(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    held = index.select("width", "block", each(n_chunks).alias("chunk"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "ids", "least", "counts", "slices")
+    spark = index.sparkSession
+    # a row for each length; queries of a length without vectors find nothing
+    sizes = index.groupBy("width").agg((F.max("block") + 1).alias("n_blocks")).join(asked.groupBy("width").agg(F.count(F.lit(1)).alias("n")), "width")
+    # as many parts of the queries of a block as use all cores where there are few blocks, however many queries there are
+    total = F.sum("n_blocks").over(Window.partitionBy(F.lit(0)))
+    parts = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / LEAST_CHUNK), F.ceil(F.lit(spark.sparkContext.defaultParallelism) / total)))
+    sizes = stage(sizes.select("width", "n_blocks", parts.cast("int").alias("n_chunks")), "widths")
+    few = sizes.count() <= BROADCAST_WIDTHS
+    sizes = F.broadcast(sizes) if few else sizes
+
+    def each(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    held = index.join(sizes, "width").select("width", "block", each("n_chunks").alias("chunk"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "ids", "least", "counts", "slices")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "binary"), ("least", "array<string>"), ("counts", "array<int>"), ("slices", "binary"))]
-    placed = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)).cast("int"))
-    grid = held.unionByName(placed.select("width", each(n_blocks).alias("block"), "chunk", "vec_id", "v", *none))
-    best = grid.groupBy("width", "block", "chunk").applyInArrow(_search(k, scale), "query_id long, vec_id long, exact string, score long")
+    placed = asked.join(sizes, "width").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("n_chunks")).cast("int"))
+    grid = held.unionByName(placed.select("width", each("n_blocks").alias("block"), "chunk", "vec_id", "v", *none))
+    # the rows of the index have no id, so they come first
+    streams = grid.repartition("width", "block", "chunk").sortWithinPartitions("width", "block", "chunk", F.asc_nulls_first("vec_id"))
+    best = streams.mapInArrow(_search(k, scale), FOUND)
     # searched once: without this, a later recount would search again
     best = stage(best, "best-of-blocks")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("exact"), "vec_id")
