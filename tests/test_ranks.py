@@ -60,6 +60,7 @@ def loop_matches(jobs, subscriptions, banned, usd):
 def test_matching_equals_a_loop(spark, sf, monkeypatch, most):
     if most is not None:
         monkeypatch.setattr(alerts, "BROADCAST_SUBSCRIPTIONS", most)
+        monkeypatch.setattr(alerts, "HOT_JOBS", 50)
     jobs = view(spark, sf, "jobs")
     schema = "id long, user_id long, category string, profession string, region string, min_salary long, keyword string, is_active boolean"
     asked = [

@@ -16,8 +16,8 @@ from tidemill.session import stage
 FILTERS = ("category", "profession", "region", "min_salary", "keyword")
 
 
-#: Letters of a keyword's longest word that jobs are looked up by; subscriptions that are sent to every task; parts of the jobs of a key beyond that.
-PREFIX, BROADCAST_SUBSCRIPTIONS, PARTS = 4, 200_000, 16
+#: Letters of a keyword's longest word that jobs are looked up by; subscriptions that are sent to every task; jobs of one key in a part beyond that.
+PREFIX, BROADCAST_SUBSCRIPTIONS, HOT_JOBS = 4, 200_000, 1_000_000
 
 
 def _subscription_key(asked: Column) -> Column:
@@ -55,8 +55,8 @@ def matches(jobs: DataFrame, subscriptions: DataFrame, users: DataFrame, now: Co
 
     A subscription has one key, its most telling filter; a job has all keys under which one may look for it; they meet
     by equality, and the other filters are tested on what meets. Jobs are split into words, and their pay is computed,
-    once. Subscriptions go to every task up to ``BROADCAST_SUBSCRIPTIONS`` of them, by count; beyond it both sides are
-    shuffled by key, the jobs of a key in ``PARTS`` parts.
+    once. Subscriptions go to every task up to ``BROADCAST_SUBSCRIPTIONS`` of them, by count; beyond it ids meet by key, a
+    key with many jobs in parts by their count, and only pairs that met are joined with the rest of both.
     """
     live = subscriptions.where("is_active").join(users.where("not is_banned").select(F.col("id").alias("user_id")), "user_id", "left_semi")
     asked = live.select(F.col("id").alias("subscription_id"), "user_id", *(F.col(c).alias(f"s_{c}") for c in FILTERS))
@@ -69,14 +69,19 @@ def matches(jobs: DataFrame, subscriptions: DataFrame, users: DataFrame, now: Co
         "id", "published_at", "category", "profession", "region", F.coalesce("is_remote", F.lit(False)).alias("is_remote"),
         F.when(monthly, F.greatest(F.col("salary_min") * rate, F.col("salary_max") * rate)).alias("_pay"), F.array_distinct(search.words(F.col("search_text"), 1)).alias("_tokens"),
     )
-    looked_up = rows.withColumn("_key", F.explode(_job_keys()))
     asked = stage(asked, "subscriptions")
     if asked.count() <= BROADCAST_SUBSCRIPTIONS:
-        met = looked_up.join(F.broadcast(asked), "_key")
+        met = rows.withColumn("_key", F.explode(_job_keys())).join(F.broadcast(asked), "_key")
     else:
-        parts = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        wanted = asked.select("_key").distinct()  # other keys of a job are not shuffled with it
-        met = looked_up.join(wanted, "_key", "left_semi").withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(parts, ["_key", "_part"])
+        keyed = rows.select("id", F.explode(_job_keys()).alias("_key"))
+        # at most one key for every HOT_JOBS rows
+        hot = stage(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_JOBS).select("_key", F.ceil(F.col("n") / HOT_JOBS).cast("int").alias("_parts")), "hot-keys")
+        one = F.coalesce("_parts", F.lit(1))
+        dealt = keyed.join(F.broadcast(hot), "_key", "left").withColumn("_part", F.pmod(F.xxhash64("id"), one).cast("int")).drop("_parts")
+        wanted = asked.select("_key", "subscription_id").join(F.broadcast(hot), "_key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+        # a subscription has one key, so a pair meets once
+        pairs = dealt.join(wanted, ["_key", "_part"]).select("id", "subscription_id")
+        met = pairs.join(rows, "id").join(asked, "subscription_id")
 
     def unset_or(name: str, test: Column) -> Column:
         return F.col(f"s_{name}").isNull() | F.coalesce(test, F.lit(False))
