@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemill.functions.contacts import URL, LinkRules, apply_score
-from tidemill.functions.text import keyword_pattern
+from tidemill.functions.text import keyword_pattern, let
 
 #: Most characters of a title; of a line that may be a title as a whole, and its words; lines that phrases are looked for in; words of an employer's name.
 LONGEST, SHORT_LINE, SHORT_WORDS, FIRST_LINES, NAME_WORDS = 90, 60, 7, 8, 6
@@ -82,11 +82,9 @@ def repaired(title: Column, rules: Rules) -> Column:
     out = F.regexp_replace(out, rf"(?i)\s*(?:[,.;!?|]|\s(?:{_any(rules.tails)})\s).*$", "")
     out = F.regexp_replace(out, rf"(?i)(?:(?:^|\s+)(?:{_any(rules.generic)}))+$", "")
     out = F.regexp_replace(out, rf"(?i)^({_any(rules.roles)})\s+(?:{_any(rules.turned)})\s+([\p{{L}}][\p{{L}} ']{{1,39}})$", "$2 $1")
-    shouted = out.rlike(r"\p{Lu}{3}") & ~out.rlike(r"\p{Ll}")
-    out = F.when(shouted, F.lower(out)).otherwise(out)
+    out = let(out, lambda x: F.when(x.rlike(r"\p{Lu}{3}") & ~x.rlike(r"\p{Ll}"), F.lower(x)).otherwise(x))
     words = F.transform(F.split(out, r"\s+"), lambda w, i: F.when((i > 0) & w.rlike(rf"(?i)^(?:{_any(rules.roles)})\p{{L}}{{0,4}}$"), F.lower(w)).otherwise(w))
-    out = F.trim(F.array_join(words, " "))
-    return F.when(out.rlike(r"\p{L}{2}"), F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, LONGEST - 1)))
+    return let(F.trim(F.array_join(words, " ")), lambda x: F.when(x.rlike(r"\p{L}{2}"), F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, LONGEST - 1))))
 
 
 def _phrase(line: Column, rules: Rules) -> Column:
@@ -94,29 +92,35 @@ def _phrase(line: Column, rules: Rules) -> Column:
     before = F.regexp_extract(line, rf"(?i)^[^\p{{L}}]*(\p{{L}}[\p{{L}}\p{{N}}' /-]{{2,60}}?)\s+(?:is\s+|are\s+)?(?:{_any(rules.wanted)})(?![\p{{L}}])", 1)
     after = F.regexp_extract(line, rf"(?i)(?:{_any(rules.looking)})\s*:?\s+(\p{{L}}[\p{{L}}\p{{N}}' /,-]{{2,90}})", 1)
     label = line.rlike(rf"(?i)^[^\p{{L}}]*(?:{_any(rules.other_labels)})\s*[:–—-]")
-    found = F.when(after != "", repaired(after, rules)).when(before != "", repaired(before, rules))
-    return F.when(~label & _known(F.lower(found), rules.professions), found)
+    told = let(after, lambda a: F.when(a != "", a).otherwise(let(before, lambda b: F.when(b != "", b))))
+    return F.when(~label, let(repaired(told, rules), lambda x: F.when(_known(F.lower(x), rules.professions), x)))
 
 
 def title(text: Column, rules: Rules) -> Column:
     """``struct<title, source>``: from a label, else from a phrase or an announced line of the first lines, else the first short line that names a profession."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\n\s*\n+", "\n"), "\n")
-    pairs = F.arrays_zip(lines.alias("a"), F.slice(lines, F.lit(2), F.size(lines)).alias("b"))
 
-    def of(kind: int, i: Column, value: Column, source: str) -> Column:
-        return F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), i.alias("i"), value.alias("title"), F.lit(source).alias("source")))
+    def first(values: Column, source: str) -> Column:
+        return F.get(F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.struct(v.alias("title"), F.lit(source).alias("source"))), F.lit(0))
 
-    def candidates(p: Column, i: Column) -> Column:
-        line, following = p["a"], F.coalesce(p["b"], F.lit(""))
-        labelled = _labelled(line, rules.title_labels)
-        early = i < FIRST_LINES
-        announced = F.when(early & line.rlike(_word(rules.announced)) & _known(F.lower(following), rules.professions), repaired(following, rules))
-        whole = (F.length(line) <= SHORT_LINE) & (F.size(F.split(F.trim(line), r"\s+")) <= SHORT_WORDS) & ~line.rlike(r"[!?:]\s*$") & ~line.rlike(r"^\s*#") & _known(F.lower(line), rules.professions)
-        first = F.when((i == 0) & whole & ~line.rlike(_word((*rules.wanted, *rules.looking))), repaired(line, rules))
-        return F.array(of(0, i, F.when(labelled != "", repaired(labelled, rules)), "label"), of(1, i, F.when(early, _phrase(line, rules)), "phrase"), of(2, i, announced, "announced"), of(3, i, first, "first line"))
+    def labelled(line: Column) -> Column:
+        return let(_labelled(line, rules.title_labels), lambda v: F.when(v != "", repaired(v, rules)))
 
-    best = F.array_min(F.array_compact(F.flatten(F.transform(pairs, candidates))))
-    return F.when(best.isNotNull(), F.struct(best["title"].alias("title"), best["source"].alias("source")))
+    def whole(line: Column) -> Column:
+        short = (F.length(line) <= SHORT_LINE) & (F.size(F.split(F.trim(line), r"\s+")) <= SHORT_WORDS) & ~line.rlike(r"[!?:]\s*$") & ~line.rlike(r"^\s*#") & _known(F.lower(line), rules.professions)
+        return F.when(short & ~line.rlike(_word((*rules.wanted, *rules.looking))), repaired(line, rules))
+
+    def best(lines: Column) -> Column:
+        """A kind is looked for only where no better one is found."""
+        early = F.slice(lines, 1, FIRST_LINES)
+        pairs = F.arrays_zip(early.alias("a"), F.slice(lines, 2, FIRST_LINES).alias("b"))
+        announced = F.transform(pairs, lambda p: F.when(p["a"].rlike(_word(rules.announced)), let(F.coalesce(p["b"], F.lit("")), lambda x: F.when(_known(F.lower(x), rules.professions), repaired(x, rules)))))
+        return F.coalesce(
+            first(F.transform(lines, labelled), "label"), first(F.transform(early, lambda x: _phrase(x, rules)), "phrase"),
+            first(announced, "announced"), first(F.transform(F.slice(lines, 1, 1), whole), "first line"),
+        )
+
+    return let(lines, best)
 
 
 def name(value: Column, rules: Rules) -> Column:
@@ -154,14 +158,18 @@ def linked_lines(text: Column, links: Column, rules: LinkRules) -> Column:
 
     def walk(state: Column, line: Column) -> Column:
         numbered = F.transform(state["links"], lambda x, i: F.struct(i.alias("i"), x["text"].alias("text"), x["url"].alias("url"), x["score"].alias("score")))
-        mine = F.get(F.filter(numbered, lambda x: F.contains(line, x["text"])), F.lit(0))
-        left = F.when(mine.isNull(), state["links"]).otherwise(F.slice(state["links"], F.coalesce(mine["i"], F.lit(0)) + 2, F.size(state["links"])))
         address = F.get(F.filter(F.regexp_extract_all(line, F.lit(URL), F.lit(0)), lambda u: apply_score(u, None, rules) >= BARE_LINK), F.lit(0))
-        url = F.when(mine["score"] >= LINK, mine["url"]).otherwise(address)
-        rest = F.when(mine["score"] >= LINK, F.replace(line, mine["text"], F.lit(" "))).otherwise(F.replace(line, F.coalesce(address, F.lit("\u0000")), F.lit(" ")))
-        hit = url.isNotNull() & (F.regexp_count(rest, F.lit(r"\p{L}[\p{L}\p{N}']+")) >= 2)
-        clean = F.regexp_replace(F.regexp_replace(bare(rest), r"\(\s*\)", ""), r"\s+", " ")
-        return F.struct(left.alias("links"), F.when(hit, F.concat(state["out"], F.array(F.struct(bare(clean).alias("position"), url.alias("url"))))).otherwise(state["out"]).alias("out"))
+
+        def with_link(p: Column) -> Column:
+            mine, address = p["mine"], p["address"]
+            left = F.when(mine.isNull(), state["links"]).otherwise(F.slice(state["links"], F.coalesce(mine["i"], F.lit(0)) + 2, F.size(state["links"])))
+            url = F.when(mine["score"] >= LINK, mine["url"]).otherwise(address)
+            rest = F.when(mine["score"] >= LINK, F.replace(line, mine["text"], F.lit(" "))).otherwise(F.replace(line, F.coalesce(address, F.lit("\u0000")), F.lit(" ")))
+            position = let(F.when(url.isNotNull(), rest), lambda r: F.when(F.regexp_count(r, F.lit(r"\p{L}[\p{L}\p{N}']+")) >= 2, bare(F.regexp_replace(F.regexp_replace(bare(r), r"\(\s*\)", ""), r"\s+", " "))))
+            told = let(position, lambda x: F.when(x.isNotNull(), F.concat(state["out"], F.array(F.struct(x.alias("position"), url.alias("url"))))).otherwise(state["out"]))
+            return F.struct(left.alias("links"), told.alias("out"))
+
+        return let(F.struct(F.get(F.filter(numbered, lambda x: F.contains(line, x["text"])), F.lit(0)).alias("mine"), address.alias("address")), with_link)
 
     return F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n"), start, walk, lambda s: s["out"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.contacts import LinkClass, LinkRules
 from tidemill.operators import headings
 from tidemill.plans.catalog import query
-from tidemill.session import table
+from tidemill.session import spread, table
 
 _CLERK = "CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'driver' WHEN 1 THEN 'night cook' ELSE 'seller' END"
 RULES = headings.Rules(professions=("driver", "cook", "seller", "sales"))
@@ -23,7 +23,7 @@ WHEN 4 THEN {_CLERK} || chr(10) || 'Salary: cook wanted' WHEN 5 THEN 'Vacancy: M
 CASE WHEN f IN (0, 5, 6) THEN 'label' WHEN f IN (1, 2) THEN 'phrase' WHEN f = 3 THEN 'announced' WHEN f = 4 THEN 'first line' END AS source FROM o""")
 def ranked_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C20: titles of all orders' ads by label, phrase, announced line and first line, with their ends, order and case repaired; none from fields."""
-    texts = spark.sql(f"SELECT o_orderkey AS id, {_TITLE_TEXT} AS text FROM {{orders}}", orders=table(spark, sf_dir, "orders"))
+    texts = spark.sql(f"SELECT o_orderkey AS id, {_TITLE_TEXT} AS text FROM {{orders}}", orders=spread(table(spark, sf_dir, "orders")))
     found = texts.select("id", headings.title(F.col("text"), RULES).alias("t"))
     return found.select("id", "t.title", "t.source")
 
