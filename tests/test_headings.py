@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import headings
+from tidemill.operators import extract, headings
 from tidemill.plans.headings import LINKS, RULES
 
 
@@ -15,3 +15,4 @@ def test_values_used_twice_are_bound(spark):
     text = F.col("text")
     assert _size(rows.select(headings.title(text, RULES))) < 25_000
     assert _size(rows.select(headings.linked_lines(text, F.col("links"), LINKS))) < 25_000
+    assert _size(rows.select(extract.stripped_text(text, F.lit("s"), (("s", "part", "Join"), ("s", "cut", "^Apply"), ("s", "line", "Our"))))) < 25_000

@@ -9,7 +9,7 @@ from tidemill.functions.contacts import LinkClass, LinkRules
 from tidemill.operators import flow, headings
 from tidemill.plans.catalog import query
 from tidemill.plans.places import PLACES
-from tidemill.session import table
+from tidemill.session import spread, table
 
 RULES = flow.Rules(
     {"job": ["wanted", "salary", "schedule"], "closed": ["taken"], "ad": ["channel"]},
@@ -32,7 +32,7 @@ WHEN 6 THEN 'The driver job is taken' || chr(10) || {_R} || ' salary' WHEN 7 THE
 
 def worded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders as posts of two sources, with hidden links."""
-    rows = spark.sql(f"SELECT o_orderkey AS id, CASE WHEN {_FORM} = 5 THEN 's2' ELSE 's1' END AS source, {_TEXT} AS text, {_FORM} AS form, CAST(o_orderdate AS TIMESTAMP) AS posted_at FROM {{orders}}", orders=table(spark, sf_dir, "orders"))
+    rows = spark.sql(f"SELECT o_orderkey AS id, CASE WHEN {_FORM} = 5 THEN 's2' ELSE 's1' END AS source, {_TEXT} AS text, {_FORM} AS form, CAST(o_orderdate AS TIMESTAMP) AS posted_at FROM {{orders}}", orders=spread(table(spark, sf_dir, "orders")))
 
     def link(words: str, url: str) -> F.Column:
         return F.struct(F.lit(words).alias("text"), F.concat(F.lit(url), F.col("id").cast("string")).alias("url"))
