@@ -1,7 +1,8 @@
-"""Expressions of titles, links and boilerplate are written once, not anew for each use."""
+"""Expressions of titles, links, boilerplate and rules are written once, not anew for each use."""
 
 from pyspark.sql import functions as F
 
+from tidemill.functions import text
 from tidemill.operators import extract, headings
 from tidemill.plans.headings import LINKS, RULES
 
@@ -12,7 +13,21 @@ def _size(df):
 
 def test_values_used_twice_are_bound(spark):
     rows = spark.createDataFrame([("Driver wanted", None)], "text string, links array<struct<text:string,url:string>>")
-    text = F.col("text")
-    assert _size(rows.select(headings.title(text, RULES))) < 25_000
-    assert _size(rows.select(headings.linked_lines(text, F.col("links"), LINKS))) < 25_000
-    assert _size(rows.select(extract.stripped_text(text, F.lit("s"), (("s", "part", "Join"), ("s", "cut", "^Apply"), ("s", "line", "Our"))))) < 25_000
+    t = F.col("text")
+    assert _size(rows.select(headings.title(t, RULES))) < 25_000
+    assert _size(rows.select(headings.linked_lines(t, F.col("links"), LINKS))) < 25_000
+    assert _size(rows.select(extract.stripped_text(t, F.lit("s"), (("s", "part", "Join"), ("s", "cut", "^Apply"), ("s", "line", "Our"))))) < 25_000
+
+
+def test_content_rules_fold_a_text_once(spark):
+    rows = spark.createDataFrame([("x",)], "text string")
+    found = rows.select(extract.content_verdict(F.col("text"), ["casino"], ["password"], ["zzz"]).alias("v"))
+    assert found._jdf.queryExecution().analyzed().expressions().mkString().count("\\p{So}\\p{Sk}") == 1
+
+
+def test_letters_that_are_there_become_latin(spark):
+    given = ["Ель ЕЛЬ объезд Объект", "ЩИ Щи щи ЮРА Цирк ОЦ оц", "Ўзбек ЎЗ ғоз ҒОЗ ЁЖ ёж", "plain text", "чай ЧАЙ Чай Ъ ь", None]
+    want = ["Yel YEL ob'yezd Ob'yekt", "SHI Shi shi YURA Sirk OTS ots", "O'zbek O'Z g'oz G'OZ YOJ yoj", "plain text", "chay CHAY Chay ' ", None]
+    rows = spark.createDataFrame(list(enumerate(given)), "id int, text string")
+    found = rows.select("id", text.to_latin(F.col("text")).alias("a"), text.lower_latin(F.lower("text")).alias("b")).orderBy("id").collect()
+    assert [r["a"] for r in found] == want and [r["b"] for r in found] == [w and w.lower() for w in want]
