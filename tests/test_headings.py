@@ -1,5 +1,7 @@
 """Expressions of titles, links, boilerplate and rules are written once, not anew for each use."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tidemill.functions import text
@@ -31,3 +33,14 @@ def test_letters_that_are_there_become_latin(spark):
     rows = spark.createDataFrame(list(enumerate(given)), "id int, text string")
     found = rows.select("id", text.to_latin(F.col("text")).alias("a"), text.lower_latin(F.lower("text")).alias("b")).orderBy("id").collect()
     assert [r["a"] for r in found] == want and [r["b"] for r in found] == [w and w.lower() for w in want]
+
+
+def test_field_of_a_text_equals_the_field_of_its_lines(spark):
+    r = random.Random(5)
+    parts = ["Duties:", "duties: cook, sell", "Salary: 5", "- a", "• b", "-", "", " ", "plain line", "Duties", "1st duties: x", "  duties :  y "]
+    texts = [(k, "\n".join(r.choice(parts) for _ in range(r.randint(0, 14)))) for k in range(400)] + [(400, None), (401, "Duties:\n" + "- x\n" * 12)]
+    rows = spark.createDataFrame(texts, "id int, text string")
+    by_lines = {x["id"]: x["value"] for x in extract.labelled_field(extract.lines(rows), "duties").collect()}
+    found = rows.select("id", extract.field_of(F.col("text"), "duties").alias("value"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {x["id"]: x["value"] for x in found.where("value is not null").collect()} == by_lines and len(by_lines) > 50
