@@ -1,6 +1,6 @@
 """The flow of every post from arrival to one status: classify, parse, contacts, duplicates, caps.
 
-Per-post steps are column expressions in one pass; only the posts that are left as job ads meet each other, in the
+What a text tells is read by column expressions in one pass, once for equal texts; only the posts that are left as job ads meet each other, in the
 duplicate layers. A post has one status at the end:
 
 skipped_backfill (an old post of a new source), a status for each kind that is no job (no_text, closed, resume,
@@ -60,34 +60,27 @@ def _or_false(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
 
 
-def parsed(posts: DataFrame, rules: Rules, now: Column) -> DataFrame:
-    """``id, posted_at, kind, has_contact, low_quality, ...``: each post on its own, in one pass without a shuffle.
-
-    The source's boilerplate goes first, all that follows reads what is left: contacts, kind (with the shape of a profile and
-    lines with links of their own), title, employer, pay, place, category.
-    """
+def _read(posts: DataFrame, rules: Rules, keep: list[Column | str]) -> DataFrame:
+    """All that a text tells, whenever it was posted, beside the columns to keep: ``kind`` (its deadline aside), ``dates``, contacts, title, ..."""
     links = F.coalesce("links", F.array().cast(LINKS)) if "links" in posts.columns else F.array().cast(LINKS)
     own = F.col("own") if "own" in posts.columns else F.array().cast("array<string>")
-    at = F.coalesce("posted_at", "fetched_at")
     whole = F.coalesce("text", F.lit(""))
     clean = posts.withColumn("_clean", extract.stripped_text(whole, F.col("source"), rules.boilerplate) if rules.boilerplate else whole)
     text = F.col("_clean")
     linked = headings.linked_lines(text, links, rules.links)
     folded = clean.select("*", fold(text).alias("_folded"), contacts.contacts(text, links, own, rules.context, rules.links, rules.drop).alias("_contacts"), own.alias("_own"), headings.n_linked(linked).alias("_linked"))
-    late = F.coalesce(extract.deadline(text, F.year(at)) < F.to_date(now), F.lit(False))
     tags = F.regexp_extract_all("_folded", F.lit(r"#([^\s#]+)"), F.lit(1))
     seeker = extract.is_seeker(F.col("_folded"), rules.profile_labels, rules.seeker, rules.employer) if rules.profile_labels else None
     kind = extract.classify(
-        F.col("_folded"), rules.markers, late, seeker, tags=tags, job_tags=rules.job_tags, other_tags=rules.other_tags,
+        F.col("_folded"), rules.markers, None, seeker, tags=tags, job_tags=rules.job_tags, other_tags=rules.other_tags,
         needs_tag=_or_false(posts, "needs_tag"), linked=F.col("_linked"), addresses=F.lower(F.array_join(F.transform(links, lambda x: x["url"]), "\n")),
     )
-    kind = F.when(_or_false(posts, "is_site") & kind.isin("not_job", "opportunity", "no_text"), "job").otherwise(kind)
     if rules.headings is None:
         title, company = extract.title_of(text, rules.title_label, rules.professions), extract.company_of(text, rules.company_label)
     else:
         title, company = headings.title(text, rules.headings)["title"], headings.employer(text, rules.headings)
     out = folded.select(
-        "id", "source", at.alias("posted_at"), _or_false(posts, "is_backfill").alias("is_backfill"), _or_false(posts, "international").alias("international"), kind.alias("kind"), F.col("_folded").alias("text"), F.col("_own").alias("own"),
+        *keep, kind.alias("kind"), extract.deadline_words(text).alias("dates"), F.col("_folded").alias("text"), F.col("_own").alias("own"),
         title.alias("title"), company.alias("company"), extract.pay(text).alias("pay"), F.col("_contacts").alias("contacts"),
         (places.places_of(text, rules.places) if rules.places.names else F.lit(None).cast(places.FOUND)).alias("place"),
     )
@@ -100,6 +93,36 @@ def parsed(posts: DataFrame, rules: Rules, now: Column) -> DataFrame:
     return out.withColumn("has_contact", has).withColumn("low_quality", F.col("title").isNull() & F.col("pay").isNull())
 
 
+def _own_columns(posts: DataFrame) -> list[Column]:
+    """What a post has beside its text."""
+    return ["id", "source", F.coalesce("posted_at", "fetched_at").alias("posted_at"), *(_or_false(posts, c).alias(c) for c in ("is_backfill", "international", "is_site"))]
+
+
+def _timed(read: DataFrame, now: Column) -> DataFrame:
+    """Kinds with what a post adds to its text: the year of its deadline, its site."""
+    late = F.coalesce(extract.deadline_of(F.col("dates"), F.year("posted_at")) < F.to_date(now), F.lit(False))
+    kind = F.when((F.col("kind") != "no_text") & late, "closed").otherwise(F.col("kind"))
+    kind = F.when(F.col("is_site") & kind.isin("not_job", "opportunity", "no_text"), "job").otherwise(kind)
+    return read.withColumn("kind", kind).drop("dates", "is_site")
+
+
+def parsed(posts: DataFrame, rules: Rules, now: Column) -> DataFrame:
+    """``id, posted_at, kind, has_contact, low_quality, ...``: each post on its own, in one pass without a shuffle.
+
+    The source's boilerplate goes first, all that follows reads what is left: contacts, kind (with the shape of a profile and
+    lines with links of their own), title, employer, pay, place, category.
+    """
+    return _timed(_read(posts, rules, _own_columns(posts)), now)
+
+
+def parsed_once(posts: DataFrame, rules: Rules, now: Column) -> DataFrame:
+    """The same rows, where copies are many: a text (with all that is read beside it) is read once, and its posts take what it tells."""
+    given = ["text", *(c for c in ("links", "own", "needs_tag") if c in posts.columns), *(["source"] if rules.boilerplate else [])]
+    key = F.sha2(F.to_json(F.struct(*given)), 256).alias("_key")
+    texts = stage(_read(posts.select(key, *given).distinct(), rules, ["_key"]), "texts")
+    return _timed(posts.select(key, *_own_columns(posts)).join(texts, "_key").drop("_key"), now)
+
+
 def confidence() -> Column:
     """How sure a parsed post is: title .35, contact .35; pay, region and employer .1 each."""
     parts = ((F.col("title").isNotNull(), 0.35), (F.col("has_contact"), 0.35), (F.coalesce("pay.lo", "pay.hi").isNotNull(), 0.1), (F.col("place.region").isNotNull(), 0.1), (F.col("company").isNotNull(), 0.1))
@@ -111,7 +134,7 @@ def confidence() -> Column:
 
 def flow(posts: DataFrame, rules: Rules, now: Column, layers: tuple[str, ...] = tuple(dedup.LAYERS)) -> DataFrame:
     """``id, kind, status, job_id`` of every post; ``job_id`` is the first post of its group, for done and duplicate posts."""
-    one = stage(parsed(posts, rules, now), "parsed")
+    one = stage(parsed_once(posts, rules, now), "parsed")
     skipped = F.lit(False) if rules.publish_backfill else F.col("is_backfill")
     alone = F.when(skipped, "skipped_backfill").when(F.col("kind") != "job", F.col("kind")).when(~F.col("has_contact"), "no_contact").when(F.col("low_quality"), "low_quality")
     judged = one.withColumn("_status", alone)
