@@ -1,5 +1,7 @@
 """Folds over keys with most of the rows: equal to loops, and no task reads much more than its share."""
 
+import datetime as dt
+import glob
 import random
 from collections import defaultdict
 
@@ -8,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemill.operators import alerts, folds
+from tidemill.session import shared_dir
 from tidemill.streaming import posts as steps
 
 
@@ -100,3 +103,20 @@ def test_lifecycle_of_a_hot_job(spark):
             s[0] = "failed" if e == "error" and s[1] >= 8 else to
     assert got == {k: tuple(v) for k, v in state.items()}
     assert steps.lifecycle(events.limit(0)).count() == 0
+
+
+def test_only_keys_at_the_ends_of_chunks_are_composed(spark):
+    """All other keys are shown where they are read; a group in Python costs milliseconds a key."""
+    rows = [(i, e, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=e), ("claim", "error", "retry", None)[(i + e) % 4]) for i in range(500) for e in range(i % 7 + 1)]
+    events = spark.createDataFrame(rows, "id long, event_id long, ts timestamp, event string")
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/tidemill/folded-*"))
+    got = {r["id"]: (r["status"], r["attempts"], r["ignored"]) for r in steps.lifecycle(events).collect()}
+    moves, wanted = steps.Moves("queued"), {}
+    for i, _, _, event in rows:
+        at, ignored = wanted.get(i, moves.start)
+        go, lost = moves.moved(event)
+        wanted[i] = int(go[at]), ignored + int(lost[at])
+    assert got == {i: (*moves.states[at], ignored) for i, (at, ignored) in wanted.items()}
+    (folder,) = set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/tidemill/folded-*")) - before
+    read = spark.read.parquet(folder)
+    assert read.where("f is not null").count() <= 2 * read.select("_chunk").distinct().count() < 500 < read.count()

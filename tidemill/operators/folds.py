@@ -12,6 +12,7 @@ import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ from tidemill.session import stage
 
 #: (Chunk, key) start states that are sent to every task; with more of them the join shuffles.
 BROADCAST_STARTS = 200_000
+#: Rows that are handed on together.
+TOGETHER = 1000
 
 
 class Fold:
@@ -61,20 +64,27 @@ def _segments(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int
     """(chunk, key, its rows) one after another: a key's rows of one chunk together."""
     held: list[pd.DataFrame] = []
     now: tuple | None = None
+
+    def whole() -> pd.DataFrame:
+        return held[0].reset_index(drop=True) if len(held) == 1 else pd.concat(held, ignore_index=True)
+
     for batch in batches:
+        if not batch.num_rows:
+            continue
         frame = batch.to_pandas(integer_object_nulls=True)
         keys = frame[key].astype(object).where(frame[key].notna(), None)
-        new = (frame["_chunk"] != frame["_chunk"].shift()) | (keys != keys.shift())
-        for _, part in frame.groupby(new.cumsum(), sort=False):
-            k = part[key].iloc[0]
-            this = (int(part["_chunk"].iloc[0]), None if pd.isna(k) else k)
+        new = ((frame["_chunk"] != frame["_chunk"].shift()) | (keys != keys.shift())).to_numpy()
+        places, at = keys.to_numpy(dtype=object), frame["_chunk"].to_numpy()
+        begins = np.flatnonzero(new).tolist()
+        for lo, hi in zip(begins, [*begins[1:], len(frame)], strict=True):
+            this = (int(at[lo]), places[lo])
             if this != now and held:
-                yield *now, pd.concat(held, ignore_index=True)
+                yield *now, whole()
                 held = []
             now = this
-            held.append(part)
+            held.append(frame.iloc[lo:hi])
     if held:
-        yield *now, pd.concat(held, ignore_index=True)
+        yield *now, whole()
 
 
 def starts(chunks: DataFrame, key: str, fold: Fold) -> DataFrame:
@@ -128,36 +138,49 @@ def folded(rows: DataFrame, key: str, order: list[str], fold: Fold, schema: str)
 
 
 def final(rows: DataFrame, key: str, order: list[str], fold: Fold, show: Callable[[Any], tuple], schema: str) -> DataFrame:
-    """``key`` and the columns of ``schema`` that ``show`` makes of the state after all its rows."""
+    """``key`` and the columns of ``schema`` that ``show`` makes of the state after all its rows.
+
+    A key that lies in one chunk is shown where it is read; only those at the ends of chunks, two a chunk, are composed.
+    """
     name = rows.schema[key].dataType.simpleString()
     chunks = chunked(rows, key, order)
-    names = [c.split()[0] for c in schema.split(", ")]
+    shown = rows.sparkSession.createDataFrame([], schema).schema
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-    kind = to_arrow_type(rows.schema[key].dataType)
+    kind, kinds = to_arrow_type(rows.schema[key].dataType), to_arrow_schema(shown)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(chunk: int, k: Any, part: pd.DataFrame, whole: bool) -> pa.RecordBatch:
-            f = fold.through(part, fold.start) if whole else fold.function(part)
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([k], kind), pa.array([whole], pa.bool_()), pa.array([pickle.dumps(f)], pa.binary())], names=["_chunk", key, "whole", "f"])
+        into = pa.schema([("_chunk", pa.int32()), (key, kind), ("f", pa.binary()), *((f.name, f.type) for f in kinds)])
+        none, out = (None,) * len(kinds), []
+
+        def row(chunk: int, k: Any, part: pd.DataFrame, whole: bool) -> tuple:
+            return (chunk, k, None, *show(fold.through(part, fold.start))) if whole else (chunk, k, pickle.dumps(fold.function(part)), *none)
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(zip(*out, strict=True), into, strict=True)], schema=into)
 
         # only the first and the last key of a chunk may lie in others too
         before, held = None, None
         for segment in _segments(batches, key):
             if held is not None:
-                yield row(*held, held[0] == before == segment[0])
+                out.append(row(*held, held[0] == before == segment[0]))
                 before = held[0]
+                if len(out) == TOGETHER:
+                    yield batch()
+                    out.clear()
             held = segment
         if held is not None:
-            yield row(*held, False)
+            out.append(row(*held, False))
+            yield batch()
 
-    functions = _in_order(chunks).mapInArrow(told, f"_chunk int, {key} {name}, whole boolean, f binary")
+    read = stage(_in_order(chunks).mapInArrow(told, f"_chunk int, {key} {name}, f binary, {schema}"), "folded")
 
     def composed(frame: pd.DataFrame) -> pd.DataFrame:
         state = fold.start
-        for whole, f in frame.sort_values("_chunk")[["whole", "f"]].itertuples(index=False):
-            state = pickle.loads(f) if whole else fold.after(pickle.loads(f), state)
-        return pd.DataFrame([(frame[key].iloc[0], *show(state))], columns=[key, *names])
+        for f in frame.sort_values("_chunk")["f"]:
+            state = fold.after(pickle.loads(f), state)
+        return pd.DataFrame([(frame[key].iloc[0], *show(state))], columns=[key, *shown.names])
 
-    return functions.groupBy(key).applyInPandas(composed, f"{key} {name}, {schema}")
+    cut = read.where("f is not null").select("_chunk", key, "f").groupBy(key).applyInPandas(composed, f"{key} {name}, {schema}")
+    return read.where("f is null").select(key, *shown.names).unionByName(cut)

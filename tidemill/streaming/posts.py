@@ -76,6 +76,7 @@ class Moves(folds.Fold):
         self.number = {s: k for k, s in enumerate(self.states)}
         self.start = (self.number[first, 0], 0)
         self.by_event: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+        self.steps: dict[str | None, tuple[list[int], list[int]]] = {}
 
     def moved(self, event: str | None) -> tuple[np.ndarray, np.ndarray]:
         """For each state: the one after the event, and whether the event is ignored."""
@@ -88,6 +89,12 @@ class Moves(folds.Fold):
             self.by_event[event] = tuple(np.array(x, dtype=np.int64) for x in zip(*to, strict=True))
         return self.by_event[event]
 
+    def step(self, event: str | None) -> tuple[list[int], list[int]]:
+        """The same as lists, for one state at a time."""
+        if event not in self.steps:
+            self.steps[event] = tuple(x.tolist() for x in self.moved(event))
+        return self.steps[event]
+
     def function(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         to, ignored = np.arange(len(self.states)), np.zeros(len(self.states), dtype=np.int64)
         for event in rows["_event"]:
@@ -98,9 +105,10 @@ class Moves(folds.Fold):
 
     def through(self, rows: pd.DataFrame, state: tuple[int, int]) -> tuple[int, int]:
         at, ignored = state
-        for event in rows["_event"]:
-            go, lost = self.moved(event)
-            at, ignored = int(go[at]), ignored + int(lost[at])
+        for event in rows["_event"].tolist():
+            go, lost = self.step(event)
+            ignored += lost[at]
+            at = go[at]
         return at, ignored
 
     def after(self, function: tuple[np.ndarray, np.ndarray], state: tuple[int, int]) -> tuple[int, int]:
