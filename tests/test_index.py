@@ -69,3 +69,20 @@ def test_a_stream_is_followed_once(spark, tmp_path, path):
     text_index.follow(spark.readStream.schema(CHANGE).json(source), path, mark).awaitTermination()
     assert found(spark, path, "driver") == [2, 3, 4, 5] and found(spark, path, "cook") == [1]
     assert len(text_index.segments(spark, path)) == 3
+
+
+def test_a_hot_prefix_is_cut_by_its_postings(spark, tmp_path, monkeypatch):
+    """A run of a segment holds a bounded number of postings, whatever share of them one token has; so do the tasks that merge."""
+    monkeypatch.setattr(text_index, "RUN_ROWS", 500)
+    path = f"file://{tmp_path}/index"
+    for step in range(text_index.FAN):
+        made = spark.range(step * 2000, step * 2000 + 2000).select("id", F.lit(None).cast("string").alias("old_text"), F.expr("'role' || if(id % 100 = 0, ' driver', '')").alias("new_text"), F.lit(step + 1).alias("version"))
+        assert text_index.append(made, path, f"s{step}")
+    gone = spark.range(0, 8000, 400).select("id", F.lit("role driver").alias("old_text"), F.lit("role").alias("new_text"), F.lit(9).alias("version"))
+    assert text_index.merge(spark, path) == 1 and text_index.append(gone, path, "last")
+
+    every = text_index._postings(spark, path, [n for n, _ in text_index.segments(spark, path)])
+    runs = {r["f"]: r["n"] for r in every.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert max(runs.values()) < 2 * text_index.RUN_ROWS and sum(runs.values()) == 8000 + 80 + 20
+    assert found(spark, path, "role") == list(range(8000))
+    assert found(spark, path, "driver role") == [i for i in range(0, 8000, 100) if i % 400]

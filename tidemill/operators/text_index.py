@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemill.operators.search import MOST_WORDS, with_words, words
+from tidemill.session import stage
 
-#: Letters of a prefix, segments of a level that are merged, parts that a prefix's postings are dealt to when a segment is written.
-PREFIX, FAN, PARTS = 2, 4, 4
+#: Letters of a prefix, segments of a level that are merged, postings of a run of a segment.
+PREFIX, FAN, RUN_ROWS = 2, 4, 1 << 19
 POSTINGS = "token string, id long, version long, gone boolean, segment string, prefix string"
 LOG = "segment string, level int, replaces array<string>, at long"
 
@@ -47,12 +48,17 @@ def unused(spark: SparkSession, path: str) -> list[str]:
 
 
 def _write(postings: DataFrame, path: str, name: str) -> None:
-    rows = postings.select("token", "id", "version", "gone", "prefix")
-    # a hot prefix is dealt to parts
-    dealt = rows.repartition(F.col("prefix"), F.pmod(F.xxhash64("token", "id"), F.lit(PARTS))).sortWithinPartitions("prefix", "token", "id")
+    """A segment in sorted runs of some ``RUN_ROWS`` postings, so a hot prefix lies in as many runs as it needs. Written once before, as runs are cut by a sample."""
+    rows = stage(postings.select("token", "id", "version", "gone", "prefix"), "postings")
+    order = ("prefix", "token", "id")
+    dealt = rows.repartitionByRange(_runs(rows), *order).sortWithinPartitions(*order)
     dealt.write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/postings/segment={name}")
 
 
+def _runs(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // RUN_ROWS))
+
+
 def _note(spark: SparkSession, path: str, name: str, level: int, replaces: list[str]) -> None:
     at = max((r["at"] for r in _log(spark, path).agg(F.max("at").alias("at")).collect() if r["at"] is not None), default=0) + 1
     spark.createDataFrame([(name, level, replaces, at)], LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
@@ -85,8 +91,12 @@ def _postings(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return spark.read.schema(POSTINGS).option("basePath", f"{path}/postings").parquet(*(f"{path}/postings/segment={n}" for n in names))
 
 
-def _latest(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("prefix", "token", "id").agg(F.max_by("gone", "version").alias("gone"), F.max("version").alias("version"))
+def _latest(postings: DataFrame, n: int | None = None) -> DataFrame:
+    """The last posting of each token and id. Almost none meets another, so rows are dealt out (to ``n`` tasks) before they are grouped: a table of
+    the groups of a whole file, which may hold tens of millions, would shrink nothing."""
+    key = ("prefix", "token", "id")
+    dealt = postings.repartition(*key) if n is None else postings.repartition(n, *key)
+    return dealt.groupBy(*key).agg(F.max_by("gone", "version").alias("gone"), F.max("version").alias("version"))
 
 
 def merge(spark: SparkSession, path: str) -> int:
@@ -100,7 +110,8 @@ def merge(spark: SparkSession, path: str) -> int:
         # levels grow with age, so a level's segments are neighbours in time
         names = [n for n, lv in live if lv == full]
         oldest = not any(lv > full for _, lv in live)
-        merged = _latest(_postings(spark, path, names))
+        parts = _postings(spark, path, names)
+        merged = _latest(parts, _runs(parts))
         name = uuid.uuid4().hex
         _write(merged.where("not gone") if oldest else merged, path, name)
         _note(spark, path, name, full + 1, names)
