@@ -236,7 +236,7 @@ def cut_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE c_custkey % 3 WHEN 0 THEN 'We need a clerk for our office in town\nCome tomorrow\nApply only by form\nMore' WHEN 1 THEN 'Short\nApply only by form, and then wait for a long answer from us' ELSE '***\nWe need a clerk\nOur channel\nTel 90 123 45 67\n#job #work' END").alias("text"),
     )
     rules = spark.createDataFrame([("s", "cut", "^Apply only"), ("s", "line", "Our channel"), ("s", "part", "^Tel")], "source string, kind string, pattern string")
-    return extract.stripped(extract.boilerplate(extract.lines(posts, keep=["source"]), rules)).select("id", "text")
+    return extract.stripped(posts, rules)
 
 
 @query("folded_rules", "SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 'banned' WHEN c_custkey % 3 = 0 THEN 'spam words' WHEN c_custkey % 3 = 1 THEN 'ok' ELSE 'scam words' END AS verdict FROM customer")
