@@ -77,3 +77,41 @@ def test_columns_of_nulls_and_long_texts(spark):
     assert (got[3]["lo"], got[3]["hi"], got[3]["currency"]) == (6_000_000, None, "UZS")
     assert got[4]["lo"] == 6_000_000 and (got[5]["lo"], got[5]["hi"]) == (8_000_000, 9_000_000)
     assert spark.createDataFrame([], "text string").select(P.pay(F.col("text"))).count() == 0
+
+
+def test_nothing_beside_odd_digits_ends():
+    # no power of ten brings 0 near to a number
+    assert read("0 00 yoki 5 mln") == read("5 mln 0 00") == (None, None, None, None)
+    assert read("0 yoki 5 00 0000") == (None, None, None, None)
+
+
+def test_only_lines_that_may_hold_pay_are_read():
+    def text(x):
+        found = P.pay_of_text(x, x)
+        return found and found["text"]
+
+    assert text("a\n\nish  haqi:\n- 7\n\nx") == "- 7"
+    assert text("first 3\nthen 4\nusd") is None  # a unit on the next line is not beside it
+    assert text("8 mln\nx 10:00 k\n9 mlndan") == "8 mln | 9 mlndan"
+    assert text("salary: 90\n$ 4") == "90 | $ 4"
+
+
+@pytest.mark.parametrize("name", ["pay_ranges", "pay_report"])
+def test_a_condition_on_pay_reads_no_text_twice(spark, sf, name):
+    from tidemill.plans import catalog
+
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # compatibility forms, and pay
+
+
+def test_forms_of_plain_texts(spark):
+    from tidemill.functions import text as T
+
+    made = ["`A^b`", " a", "a ", "a  b", "a\t b\r", "a \n b", "a\n\n\n\nb", "\n\na", "a\x0bb\x0c", "^", "", "ok\n\nok", None]
+    rows = [(i, t, None if t is None else t + "é") for i, t in enumerate(made)]
+    got = spark.createDataFrame(rows, "id int, t string, f string").select("t", T.readable("t").alias("r"), T.fold("t").alias("l"), T.fold("f").alias("f")).collect()
+    told = [r["r"] for r in got]
+    assert told == ["'A b'", "a", "a", "a b", "a b", "a\nb", "a\n\nb", "a", "a b", "", "", "ok\n\nok", ""]
+    assert [r["l"] for r in got] == [t.lower() for t in told]
+    # as by the way that other texts take
+    assert all(r["f"].removesuffix("é").strip() == r["l"] for r in got if r["t"] is not None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions.pay import pay
+from tidemill.functions.pay import pay_once
 from tidemill.plans.catalog import query
 from tidemill.session import spread, table
 
@@ -60,7 +60,7 @@ SELECT id, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, CASE WHEN coalesc
 def pay_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pay of all orders' ads: multipliers, grouped and odd digits, shared scales, bounds, several lines, noise, all periods, no pay."""
     ads = spark.sql(f"SELECT o_orderkey AS id, 'Clerk wanted' || chr(10) || {_TEXT} || chr(10) || 'Call us' AS text FROM {{orders}}", orders=spread(table(spark, sf_dir, "orders")))
-    found = ads.select("id", pay(F.col("text")).alias("p"))
+    found = ads.select("id", pay_once(F.col("text")).alias("p"))
     return found.select("id", "p.lo", "p.hi", "p.currency", "p.period", F.coalesce("p.negotiable", F.lit(False)).alias("negotiable"))
 
 
