@@ -60,21 +60,43 @@ def _or_false(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
 
 
+def _links_of(posts: DataFrame) -> Column:
+    return F.coalesce("links", F.array().cast(LINKS)) if "links" in posts.columns else F.array().cast(LINKS)
+
+
+def _all_contacts(text: Column, links: Column, own: Column, rules: Rules) -> Column:
+    return contacts.contacts(text, links, own, rules.context, rules.links, rules.drop)
+
+
+def _n_linked(text: Column, links: Column, rules: Rules) -> Column:
+    return headings.n_linked(headings.linked_lines(text, links, rules.links))
+
+
+def _has_contact(c: Column) -> Column:
+    return (F.size(c["phones"]) > 0) | (F.size(c["accounts"]) > 0) | (F.size(c["emails"]) > 0) | (F.size(c["links"]) > 0)
+
+
+def _kind(folded: Column, links: Column, linked: Column, needs_tag: Column, rules: Rules) -> Column:
+    """The kind that a text without boilerplate and its links tell, its deadline aside."""
+    tags = F.regexp_extract_all(folded, F.lit(r"#([^\s#]+)"), F.lit(1))
+    seeker = extract.is_seeker(folded, rules.profile_labels, rules.seeker, rules.employer) if rules.profile_labels else None
+    return extract.classify(
+        folded, rules.markers, None, seeker, tags=tags, job_tags=rules.job_tags, other_tags=rules.other_tags,
+        needs_tag=needs_tag, linked=linked, addresses=F.lower(F.array_join(F.transform(links, lambda x: x["url"]), "\n")),
+    )
+
+
 def _read(posts: DataFrame, rules: Rules, keep: list[Column | str]) -> DataFrame:
-    """All that a text tells, whenever it was posted, beside the columns to keep: ``kind`` (its deadline aside), ``dates``, contacts, title, ..."""
-    links = F.coalesce("links", F.array().cast(LINKS)) if "links" in posts.columns else F.array().cast(LINKS)
+    """All that a text tells, whenever it was posted, beside the columns to keep: ``kind`` (its deadline aside), ``dates``, contacts, title, ...
+
+    ``_clean``, the text without boilerplate, is among what may be kept."""
+    links = _links_of(posts)
     own = F.col("own") if "own" in posts.columns else F.array().cast("array<string>")
     whole = F.coalesce("text", F.lit(""))
     clean = posts.withColumn("_clean", extract.stripped_text(whole, F.col("source"), rules.boilerplate) if rules.boilerplate else whole)
     text = F.col("_clean")
-    linked = headings.linked_lines(text, links, rules.links)
-    folded = clean.select("*", fold(text).alias("_folded"), contacts.contacts(text, links, own, rules.context, rules.links, rules.drop).alias("_contacts"), own.alias("_own"), headings.n_linked(linked).alias("_linked"))
-    tags = F.regexp_extract_all("_folded", F.lit(r"#([^\s#]+)"), F.lit(1))
-    seeker = extract.is_seeker(F.col("_folded"), rules.profile_labels, rules.seeker, rules.employer) if rules.profile_labels else None
-    kind = extract.classify(
-        F.col("_folded"), rules.markers, None, seeker, tags=tags, job_tags=rules.job_tags, other_tags=rules.other_tags,
-        needs_tag=_or_false(posts, "needs_tag"), linked=F.col("_linked"), addresses=F.lower(F.array_join(F.transform(links, lambda x: x["url"]), "\n")),
-    )
+    folded = clean.select("*", fold(text).alias("_folded"), _all_contacts(text, links, own, rules).alias("_contacts"), own.alias("_own"), _n_linked(text, links, rules).alias("_linked"))
+    kind = _kind(F.col("_folded"), links, F.col("_linked"), _or_false(posts, "needs_tag"), rules)
     if rules.headings is None:
         title, company = extract.title_of(text, rules.title_label, rules.professions), extract.company_of(text, rules.company_label)
     else:
@@ -88,9 +110,7 @@ def _read(posts: DataFrame, rules: Rules, keep: list[Column | str]) -> DataFrame
         out = out.withColumn("vote", categories.category_of(F.lower("title"), F.col("text"), rules.categories))
     else:
         out = out.withColumn("vote", F.lit(None).cast(categories.VOTE))
-    c = F.col("contacts")
-    has = (F.size(c["phones"]) > 0) | (F.size(c["accounts"]) > 0) | (F.size(c["emails"]) > 0) | (F.size(c["links"]) > 0)
-    return out.withColumn("has_contact", has).withColumn("low_quality", F.col("title").isNull() & F.col("pay").isNull())
+    return out.withColumn("has_contact", _has_contact(F.col("contacts"))).withColumn("low_quality", F.col("title").isNull() & F.col("pay").isNull())
 
 
 def _own_columns(posts: DataFrame) -> list[Column]:
@@ -123,6 +143,24 @@ def parsed_once(posts: DataFrame, rules: Rules, now: Column) -> DataFrame:
     return _timed(posts.select(key, *_own_columns(posts)).join(texts, "_key").drop("_key"), now)
 
 
+def parsed_by_text(posts: DataFrame, rules: Rules, now: Column, columns: tuple[str, ...]) -> DataFrame:
+    """These columns of the same rows, beside ``id`` and ``posted_at``, where copies are many and links differ from copy to copy: a text is read once,
+    without links, and only what they add (contacts, lines with links of their own, the kind) is read for each post that has some."""
+    given = ["text", *(c for c in ("own", "needs_tag") if c in posts.columns), *(["source"] if rules.boilerplate else [])]
+    key = F.sha2(F.to_json(F.struct(*given)), 256).alias("_key")
+    # what the posts with links need again
+    again = ["_clean", "text", "own", "contacts", "kind", "has_contact"] if "links" in posts.columns else ["kind"]
+    read = _read(posts.select(*given).distinct().select(key, *given), rules, ["_key", "_clean"])
+    texts = stage(read.select("_key", "dates", *(c for c in dict.fromkeys((*again, *columns)) if c in read.columns)), "texts-alone")
+    told = posts.select(key, *_own_columns(posts), _links_of(posts).alias("_links"), _or_false(posts, "needs_tag").alias("_needs_tag")).join(texts, "_key")
+    if "links" in posts.columns:
+        has, clean, links = F.size("_links") > 0, F.col("_clean"), F.col("_links")
+        told = told.withColumn("contacts", F.when(has, _all_contacts(clean, links, F.col("own"), rules)).otherwise(F.col("contacts")))
+        told = told.withColumn("has_contact", F.when(has, _has_contact(F.col("contacts"))).otherwise(F.col("has_contact")))
+        told = told.withColumn("kind", F.when(has, _kind(F.col("text"), links, _n_linked(clean, links, rules), F.col("_needs_tag"), rules)).otherwise(F.col("kind")))
+    return _timed(told, now).select("id", "posted_at", *columns)
+
+
 def confidence() -> Column:
     """How sure a parsed post is: title .35, contact .35; pay, region and employer .1 each."""
     parts = ((F.col("title").isNotNull(), 0.35), (F.col("has_contact"), 0.35), (F.coalesce("pay.lo", "pay.hi").isNotNull(), 0.1), (F.col("place.region").isNotNull(), 0.1), (F.col("company").isNotNull(), 0.1))

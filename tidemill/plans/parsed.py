@@ -47,6 +47,6 @@ CASE WHEN f <= 6 THEN r END AS region, CASE f WHEN 0 THEN 'roads' WHEN 1 THEN 'f
 CASE f WHEN 0 THEN 'driver' WHEN 1 THEN 'cook' WHEN 2 THEN 'cook' WHEN 4 THEN 'waiter' WHEN 6 THEN 'driver' END AS profession,
 CASE f WHEN 0 THEN 'Driver' WHEN 1 THEN 'Cook' WHEN 6 THEN 'Driver job is taken' END AS title, f IN (0, 1, 3, 4) AS has_contact FROM o""")
 def parsed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kind, region, category and title of all orders' posts, boilerplate out first, in one pass."""
-    found = flow.parsed(worded(spark, sf_dir), RULES, F.lit("1990-01-01").cast("timestamp"))
+    """Kind, region, category and title of all orders' posts, boilerplate out first, each text read once."""
+    found = flow.parsed_by_text(worded(spark, sf_dir), RULES, F.lit("1990-01-01").cast("timestamp"), ("kind", "place", "vote", "title", "has_contact"))
     return found.select("id", "kind", "place.region", "vote.category", "vote.profession", "title", "has_contact")
